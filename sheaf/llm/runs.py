@@ -9,6 +9,11 @@ before it, and chunks are joined through a summary row each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +27,65 @@ def spoken(text: Column) -> Column:
         for entity, char in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>|\{\\[^}]*\}", " ")
-    t = F.regexp_replace(F.lower(t), r"['’`­​-‍﻿]", "")
+    t = F.regexp_replace(F.lower(t), r"['`\x{2019}\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "))
     return F.when(t != "", t)
 
 
-def _slipped(a: Column, b: Column) -> Column:
-    """Two words that differ by one letter left out, doubled or swapped with its neighbour."""
-    near = F.levenshtein(a, b, 2)
-    swapped = (
-        (F.length(a) == F.length(b))
-        & (near == 2)
-        & F.exists(
-            F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
-            lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b,
-        )
-    )
-    return ~a.rlike(r"\p{N}") & ~b.rlike(r"\p{N}") & (((F.abs(F.length(a) - F.length(b)) == 1) & (near == 1)) | swapped)
+def slipped(a: str, b: str) -> bool:
+    """Two words that differ by one letter left out, doubled or swapped with its neighbour. A number never slips."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or not (a.isalpha() and b.isalpha()):
+        return False
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    if len(a) < len(b):
+        return a[k:] == b[k + 1 :]
+    return a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
 
 
-def same_words(a: Column, b: Column) -> Column:
+def same_words(a: str | None, b: str | None) -> bool:
     """Whether two cues say the same words in the same order, but for one slipped letter in a word."""
-    aw, bw = F.split(a, " "), F.split(b, " ")
-    alike = F.forall(F.zip_with(aw, bw, lambda x, y: (x == y) | _slipped(x, y)), lambda ok: ok)
-    near = (F.abs(F.length(a) - F.length(b)) <= F.lit(4)) & (F.size(aw) == F.size(bw))
-    return F.coalesce(F.when(a == b, F.lit(True)).when(near, alike), F.lit(False))
+    if a is None or b is None:
+        return False
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 8:
+        return False
+    aw, bw = a.split(" "), b.split(" ")
+    return len(aw) == len(bw) and all(x == y or slipped(x, y) for x, y in zip(aw, bw))
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of cues to intervals of repeated cues. The run starts of a chunk are a
+    sorted array; each cue finds its interval in it by binary search."""
+    for batch in batches:
+        n, rows, picked = batch.num_columns - 1, [], []
+        for r, q in enumerate(batch.column(n).to_pylist()):
+            q = [x for k, x in enumerate(q) if k == 0 or x["i"] != q[k - 1]["i"]]
+            starts = np.array([k for k, x in enumerate(q) if k == 0 or not same_words(q[k - 1]["w"], x["w"])])
+            run = np.searchsorted(starts, np.arange(len(q)), side="right") - 1
+            first, last = starts, np.append(starts[1:], len(q)) - 1
+            count = np.bincount(run)
+            for j, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+                m = q[a : b + 1]
+                s = [x["s"] for x in m if x["s"] is not None]
+                e = [x["e"] for x in m if x["e"] is not None]
+                rows.append((j, j in (0, len(starts) - 1), q[a]["i"], q[b]["i"], int(count[j]), min(s, default=None), max(e, default=None), q[a]["w"], q[b]["w"]))
+                picked.append(r)
+        keys = batch.select(range(n)).take(pa.array(picked, pa.int32()))
+        values = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(_OUT), _OUT.values())]
+        yield pa.RecordBatch.from_arrays([*keys.columns, *values], names=[*keys.schema.names, *_OUT])
+
+
+_OUT = {"j": pa.int32(), "edge": pa.bool_(), "first_idx": pa.int64(), "last_idx": pa.int64(), "n": pa.int64(), "s": pa.float64(), "e": pa.float64(), "words": pa.string(), "words_last": pa.string()}
+_OUT_DDL = "j int, edge boolean, first_idx long, last_idx long, n long, s double, e double, words string, words_last string"
+
+
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_words(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def cue_runs(cues: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
@@ -58,57 +97,30 @@ def cue_runs(cues: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -
     is in no run and ends one; it gives no row. Rows re-delivered under one key
     count once. Runs of one cue come out with a count of 1.
     """
+    kinds = dict(cues.dtypes)
     base = cues.where(F.col(order).isNotNull()).select(
         *keys,
-        F.floor(F.col(order) / chunk).cast("int").alias("_c"),
+        F.floor(F.col(order) / chunk).cast("long").alias("_c"),
         F.struct(
-            F.col(order).alias("i"),
+            F.col(order).cast("long").alias("i"),
             F.col("start").alias("s"),
             (F.col("start") + F.greatest(F.coalesce(F.when(~F.isnan("duration"), F.col("duration")), F.lit(0.0)), F.lit(0.0))).alias("e"),
             spoken(F.col("text")).alias("w"),
         ).alias("q"),
     )
     chunks = base.groupBy(*keys, "_c").agg(F.sort_array(F.collect_set("q")).alias("q"))
-    # one cue for each position
-    chunks = chunks.withColumn("q", F.expr("filter(q, (x, k) -> k = 0 OR x.i <> q[k - 1].i)"))
-    per = Window.partitionBy(*keys).orderBy("_c")  # a row for each chunk: a hot video has few
-    chunks = chunks.withColumn("before", F.lag(F.element_at("q", -1)["w"]).over(per))
-    previous = F.when(F.col("k") == 0, F.col("before")).otherwise(F.expr("q[k - 1].w"))
-    start = F.transform("q", lambda x, k: ~same_words(x["w"], F.when(k == 0, F.col("before")).otherwise(F.get("q", k - 1)["w"])))
-    chunks = chunks.withColumn("new", start)
-    del previous
-    # positions of the run starts, sorted; a chunk that begins inside a run has a first interval without a start
-    chunks = chunks.withColumn("at", F.expr("filter(sequence(0, size(q) - 1), k -> k = 0 OR new[k])"))
-    runs = F.transform(
-        "at",
-        lambda a, j: F.struct(
-            F.slice("q", a + 1, F.coalesce(F.get("at", j + 1), F.size("q")) - a).alias("m"),
-            F.get("new", a).alias("new"),
-        ),
-    )
-    each = chunks.select(*keys, "_c", F.posexplode(runs).alias("j", "r")).select(
-        *keys,
-        "_c",
-        "j",
-        F.col("r.new").alias("new"),
-        F.col("r.m")[0]["i"].alias("first_idx"),
-        F.element_at("r.m", -1)["i"].alias("last_idx"),
-        F.size("r.m").alias("n"),
-        F.array_min(F.transform("r.m", lambda x: x["s"])).alias("s"),
-        F.array_max(F.transform("r.m", lambda x: x["e"])).alias("e"),
-        F.col("r.m")[0]["w"].alias("words"),
-    )
-    # runs over chunk borders: only the first interval of a chunk may continue, so only
-    # first and last intervals take part in the stitching (two rows at most for each chunk)
-    last = Window.partitionBy(*keys, "_c")
-    each = each.withColumn("edge", (F.col("j") == 0) | (F.col("j") == F.max("j").over(last)))
+    each = chunks.mapInArrow(_intervals, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_c long", _OUT_DDL]))
+    # a run may go on over chunk borders: the first and the last interval of each chunk (two
+    # rows for CHUNK cues) are all that is sorted for a whole video
     inner = each.where("NOT edge AND words IS NOT NULL").select(*keys, "first_idx", "last_idx", "n", "s", "e", "words")
     walk = Window.partitionBy(*keys).orderBy("_c", "j")
     stitched = (
         each.where("edge")
-        .withColumn("run", F.sum(F.col("new").cast("long")).over(walk))
+        .withColumn("before", F.when(F.col("j") == 0, F.lag("words_last").over(walk)))
+        .withColumn("goes_on", F.when(F.col("before").isNotNull() & F.col("words").isNotNull(), F.pandas_udf(_same, "boolean")("before", "words")).otherwise(F.lit(False)))
+        .withColumn("run", F.sum((~F.col("goes_on")).cast("long")).over(walk))
         .groupBy(*keys, "run")
-        .agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), F.sum("n").cast("int").alias("n"), F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("words", "first_idx").alias("words"))
+        .agg(F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"), F.sum("n").alias("n"), F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("words", "first_idx").alias("words"))
         .where("words IS NOT NULL")
         .drop("run")
     )
@@ -117,7 +129,7 @@ def cue_runs(cues: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -
 
 def found(captions: DataFrame) -> DataFrame:
     """The longest runs of two or more cues."""
-    return cue_runs(captions.where("video_id IS NOT NULL"), ["video_id"], "seg_idx").where("cues >= 2").select("video_id", "first_idx", "last_idx")
+    return cue_runs(captions.where("video_id IS NOT NULL"), ["video_id"], "seg_idx").where("cues >= 2").select("video_id", F.col("first_idx").cast("int").alias("first_idx"), F.col("last_idx").cast("int").alias("last_idx"))
 
 
 def window_runs(windows: DataFrame) -> DataFrame:

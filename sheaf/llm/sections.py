@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,19 +110,28 @@ def _snap(marks: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.unique(np.array(out, dtype=np.int64))
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            for span in spans:
-                body = text[span["start"] : span["end"]]
-                pieces = cut_points(body)
-                for k, (a, b) in enumerate(pieces):
-                    rows.append((doc_id, span["section_no"], span["level"], k, len(pieces), span["start"] + a, span["start"] + b, body[a:b]))
-        yield pd.DataFrame(rows, columns=["doc_id", "section_no", "level", "piece_no", "pieces", "start_pos", "end_pos", "text"]).astype({"level": "Int32"})
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("section_no", pa.int32()), ("level", pa.int32()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("text", pa.string())])
 
 
-def split_sections(documents: DataFrame, sections: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def _split(max_chars: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for span in spans:
+                    body = text[span["start"] : span["end"]]
+                    if len(body) <= max_chars:
+                        continue
+                    pieces = cut_points(body, max_chars, overlap)
+                    for k, (a, b) in enumerate(pieces):
+                        rows.append((doc_id, span["section_no"], span["level"], k, len(pieces), span["start"] + a, span["start"] + b, body[a:b]))
+            columns = list(zip(*rows)) or [()] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+
+    return run
+
+
+def split_sections(documents: DataFrame, sections: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the sections longer than max_chars.
 
     Defined cases: re-delivered sections count once; a null end_pos, or one past
@@ -139,20 +148,8 @@ def split_sections(documents: DataFrame, sections: DataFrame, max_chars: int = M
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("section_no", "level", "start", F.col("end_pos").alias("end")))).alias("spans"))
     )
-    n = F.length("text")
-    joined = docs.join(spans, "doc_id").select(
-        "doc_id",
-        "text",
-        F.filter(
-            F.transform(
-                "spans",
-                lambda s: F.struct(s["section_no"].alias("section_no"), s["level"].alias("level"), s["start"].alias("start"), F.least(F.coalesce(s["end"], n), n).alias("end")),
-            ),
-            lambda s: s["end"] - s["start"] > max_chars,
-        ).alias("spans"),
-    )
-    return joined.where(F.size("spans") > 0).mapInPandas(
-        _split, "doc_id long, section_no int, level int, piece_no int, pieces int, start_pos int, end_pos int, text string"
+    return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
+        _split(max_chars, overlap), "doc_id long, section_no int, level int, piece_no int, pieces int, start_pos int, end_pos int, text string"
     )
 
 

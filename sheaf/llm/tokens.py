@@ -24,7 +24,8 @@ DEFAULT_VOCABULARY = "byte_bpe_50k"
 KEEP = 400_000
 FOLDER = "/opt/tokenizers"
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
+# white space as the vocabulary's own pattern has it
+_SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _ASCII = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
