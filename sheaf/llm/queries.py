@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import runs, sections, tokens
+from sheaf.llm import leaks, runs, sections, tokens
 from sheaf.sources.tables import table
 
 
@@ -20,5 +20,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p3_found, p8_ids, p9_found)}
