@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import leaks, runs, sections, tokens
+from sheaf.llm import leaks, runs, sections, tokens, truncation
 from sheaf.sources.tables import table
 
 
@@ -24,5 +24,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p8_ids, p9_found, p10_found, p10_rates)}
