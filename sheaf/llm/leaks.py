@@ -2,11 +2,12 @@
 
 Distributed positional inverted index: every batch of documents is a shard that
 stores, for the terms of the test passages, sorted lists of the positions at
-which they stand. A passage is looked up by its rarest terms: each window of
-WINDOW words keeps its two rarest, of which at least one must stand unchanged
-where at most one word is replaced. Their lists, moved by the term's offset in
-the passage, meet at the place where the passage would begin; only such places
-are compared word for word. Rarity is counted over all documents.
+which they stand. A term is a pair of adjacent words, as single words are
+seldom rare. A passage is looked up by its rarest terms: each window of WINDOW
+words keeps the rarest one and the rarest that shares no word with it, so that
+one replaced word leaves one of them whole. Their lists, moved by the term's
+offset in the passage, meet at the place where the passage would begin; only
+such places are compared word for word. Rarity is counted over all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 14
-REPLACED = 1
+REPLACED = 1  # the choice of terms rests on this
+SHARD = 1000  # documents in a shard
 BLOCK = 20_000  # passages looked up in one pass over the corpus
 
 _WORD = re.compile(r"[^\W_]+")
-_IN_NUMBER = re.compile(r"(?<=\d)[.,](?=\d)")
+_IN_NUMBER = re.compile(r"(\d)[.,](?=\d)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,500}>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _NOTHING = dict.fromkeys([0xAD, *range(0x200B, 0x200E), 0x2060, 0xFEFF, 0x27, 0x2019, 0x60])
@@ -47,66 +48,91 @@ def words_of(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "](" in text:
         text = _LINK.sub("]", text)
-    return _WORD.findall(_IN_NUMBER.sub("", text.lower()))
+    return _WORD.findall(_IN_NUMBER.sub(r"\1", text.lower()))
 
 
-def _count(vocabulary):
+class Terms:
+    """The word pairs of the passages as sorted codes, and their positions in documents."""
+
+    def __init__(self, passages: list[list[str]]):
+        self.ids = {t: i for i, t in enumerate(dict.fromkeys(t for w in passages for t in w))}
+        coded = [np.array([self.ids[t] for t in w], dtype=np.int64) for w in passages]
+        self.pairs = [w[:-1] * len(self.ids) + w[1:] for w in coded]
+        self.codes = np.unique(np.concatenate(self.pairs))
+
+    def word_ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a shard (-1: in no passage) and the length of each text."""
+        size = np.array([len(w) for w in texts], dtype=np.int64)
+        get = self.ids.get
+        return np.array([get(t, -1) for w in texts for t in w], dtype=np.int64), size
+
+    def positions(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the shard's terms and the number of each among the codes."""
+        if len(ids) < 2:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        last = np.zeros(len(ids), dtype=bool)
+        last[np.cumsum(size)[size > 0] - 1] = True  # no term reaches into the next text
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~last[:-1])
+        code = ids[at] * len(self.ids) + ids[at + 1]
+        number = np.searchsorted(self.codes, code)
+        known = self.codes[np.minimum(number, len(self.codes) - 1)] == code
+        return at[known], number[known]
+
+
+def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(vocabulary.value)
-        total: Counter = Counter()
+        terms = Terms(shared.value)
+        total = np.zeros(len(terms.codes), dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(known.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+            for k in range(0, batch.num_rows, SHARD):
+                _, number = terms.positions(*terms.word_ids([words_of(t) for t in batch.column(0).slice(k, SHARD).to_pylist()]))
+                total += np.bincount(number, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["term", "n"])
 
     return run
 
 
-def _anchors(passages: list[list[str]], often: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """term -> (passage, offset) of the terms by which passages are looked up."""
-    out: dict[str, set] = {}
-    for p, w in enumerate(passages):
-        for a in range(len(w) - WINDOW + 1):
-            window = sorted(range(a, a + WINDOW), key=lambda i: (often.get(w[i], 0), w[i], i))
-            for i in window[: REPLACED + 1]:
-                out.setdefault(w[i], set()).add((p, i))
-    return {t: sorted(s) for t, s in out.items()}
+def _anchors(terms: Terms, often: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each term the (passage, offset) that are looked up by it."""
+    out: list[set] = [set() for _ in terms.codes]
+    for p, pairs in enumerate(terms.pairs):
+        number = np.searchsorted(terms.codes, pairs)
+        rarity = often[number]
+        for a in range(len(pairs) - WINDOW + 2):
+            window = sorted(range(a, a + WINDOW - 1), key=lambda i: (rarity[i], i))
+            second = next(i for i in window if abs(i - window[0]) > 1)
+            for i in (window[0], second):
+                out[number[i]].add((p, i))
+    return [sorted(s) for s in out]
 
 
 class _Index:
-    """The passages as arrays, made once for each Python worker's task."""
+    """The passages as arrays, made once for each task."""
 
-    def __init__(self, passages: list[list[str]], anchors: dict[str, list[tuple[int, int]]]):
-        self.ids = {t: i for i, t in enumerate(dict.fromkeys(t for w in passages for t in w))}
+    def __init__(self, passages: list[list[str]], anchors: list[list[tuple[int, int]]]):
+        self.terms = Terms(passages)
         self.length = np.array([len(w) for w in passages])
-        self.words = np.full((len(passages), self.length.max()), -2, dtype=np.int32)
+        self.words = np.full((len(passages), self.length.max()), -2, dtype=np.int64)
         for p, w in enumerate(passages):
-            self.words[p, : len(w)] = [self.ids[t] for t in w]
-        self.start = np.zeros(len(self.ids) + 1, dtype=np.int64)
-        for t, s in anchors.items():
-            self.start[self.ids[t] + 1] = len(s)
-        self.start = np.cumsum(self.start)
-        self.passage, self.offset = np.zeros(self.start[-1], np.int64), np.zeros(self.start[-1], np.int64)
-        for t, s in anchors.items():
-            a = self.start[self.ids[t]]
-            self.passage[a : a + len(s)], self.offset[a : a + len(s)] = zip(*s)
-        self.looked_up = np.diff(self.start) > 0
-
-    def search(self, texts: list[list[str]], step: int = 200_000) -> list[tuple[int, int, int, int]]:
+            self.words[p, : len(w)] = [self.terms.ids[t] for t in w]
+        self.start = np.cumsum([0, *map(len, anchors)])
+        flat = np.array([x for s in anchors for x in s], dtype=np.int64)
+        self.passage, self.offset = flat[:, 0], flat[:, 1]
+
+    def search(self, texts: list[list[str]], step: int = 50_000) -> list[tuple[int, int, int, int]]:
         """(text, passage, longest window with one word replaced, words equal) of each match."""
-        size = np.array([len(w) for w in texts])
-        ends = np.cumsum(size)
-        ids = np.fromiter((self.ids.get(t, -1) for w in texts for t in w), dtype=np.int32, count=int(ends[-1]) if len(ends) else 0)
-        # the shard's index: the positions of each looked-up term
-        at = np.flatnonzero((ids >= 0) & self.looked_up[ids])
-        if not len(at):
-            return []
-        at = at[np.argsort(ids[at], kind="stable")]
-        term = ids[at]
+        ids, size = self.terms.word_ids(texts)
+        at, term = self.terms.positions(ids, size)
+        order = np.argsort(term, kind="stable")
+        at, term = at[order], term[order]  # the shard's index: sorted positions of each term
         many = self.start[term + 1] - self.start[term]
+        ends = np.cumsum(size)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for a, b in _blocks(many, step):
             m = many[a:b]
+            if not m.any():
+                continue
             entry = np.repeat(self.start[term[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
             begin = np.repeat(at[a:b], m) - self.offset[entry]
             doc = np.repeat(np.searchsorted(ends, at[a:b], side="right"), m)
@@ -144,8 +170,8 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(*shared.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, SHARD):
+                batch = whole.slice(k, SHARD)
                 docs = batch.column(0).to_pylist()
                 rows = [(docs[t], p, run, equal) for t, p, run, equal in index.search([words_of(x) for x in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, _SCHEMA)], schema=_SCHEMA)
@@ -172,10 +198,12 @@ def leaks(documents: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> Da
     out = None
     for k in range(0, len(passages), block):
         part = [list(w) for w in passages[k : k + block]]
-        vocabulary = spark.sparkContext.broadcast(sorted({t for w in part for t in w}))
-        counts = docs.select("text").mapInArrow(_count(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        often = {r.term: r.n for r in counts.toLocalIterator()}  # one row for each word of the passages at most
-        shared = spark.sparkContext.broadcast((part, _anchors(part, often)))
+        terms = Terms(part)
+        counts = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(part)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        often = np.zeros(len(terms.codes), dtype=np.int64)
+        for r in counts.toLocalIterator():  # one row for each term of the block at most
+            often[r.term] = r.n
+        shared = spark.sparkContext.broadcast((part, _anchors(terms, often)))
         hits = docs.mapInArrow(_search(shared), "doc_id long, passage_no int, matched_words int, equal_words int")
         items = spark.createDataFrame([(p, int(i)) for p, w in enumerate(passages[k : k + block]) for i in dict.fromkeys(by_passage[w])], "passage_no int, item_id long")
         found_here = hits.join(F.broadcast(items) if items.count() <= block * 4 else items, "passage_no").select("doc_id", "item_id", "matched_words", "equal_words")
