@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import leaks, runs, sections, tokens, truncation
+from sheaf.llm import codedocs, leaks, runs, sections, tokens, truncation
 from sheaf.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.found(table(spark, d, "captions"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return codedocs.found(table(spark, d, "source_files"))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return codedocs.documented_functions(table(spark, d, "source_files"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -33,4 +41,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_pairs, p8_ids, p9_found, p10_found, p10_rates)}
