@@ -44,7 +44,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int | No
 
 def _field_scores(docs: DataFrame, key: str, field: str, query: list[str], boost: float) -> DataFrame:
     words = docs.select(key, F.coalesce(terms(F.col(field)), F.array().cast("array<string>")).alias("w"))
-    tf = words.select(key, F.size("w").cast("double").alias("len"), *[F.size(F.filter("w", lambda t, q=q: t == q)).cast("double").alias(f"tf{i}") for i, q in enumerate(query)])
+    tf = words.select(key, F.size("w").cast("double").alias("len"), *[(F.size("w") - F.size(F.array_remove("w", q))).cast("double").alias(f"tf{i}") for i, q in enumerate(query)])
     stats = tf.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(query))])
     hit = F.lit(False)
     score = F.lit(0.0)
