@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import codedocs, leaks, runs, sections, tokens, truncation
+from sheaf.llm import codedocs, leaks, papers, runs, sections, tokens, truncation
 from sheaf.sources.tables import table
 
 
@@ -12,6 +12,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sections.found(table(spark, d, "documents"), table(spark, d, "sections"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return papers.found(table(spark, d, "citation_records"))
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return papers.merged_papers(table(spark, d, "citation_records"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.found(table(spark, d, "captions"))
 
@@ -41,4 +49,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p5_found, p5_pairs, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p5_found, p5_pairs, p8_ids, p9_found, p10_found, p10_rates)}
