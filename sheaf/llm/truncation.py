@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from sheaf.session import cut
+
 SPOKEN_SHARE = 0.0015
 LEAST = 50  # occurrences inside texts from which a trigram counts as frequent
 TERMINAL = 0.02  # "almost never": at most this share of a trigram's occurrences in a kind of line ends a text
@@ -26,32 +28,35 @@ FOOTER = 0.002  # share of all texts from which a last line's shape is a way to
 LIMIT_SHARE = 0.01  # and so large a share of the source's texts
 LIMIT = 10  # a length so many times as frequent as its neighbours is a field limit
 
+# Only the end of a text is looked at closely; its last line may be longer than TAIL,
+# then the part in TAIL stands for it.
+TAIL = 400
+
 _FEATURES = r"""
-SELECT doc_id, source, n, spoken, ends_well, marked, kind, shape, last3
+SELECT doc_id, source, n, spoken, kind, array_join(slice(words, greatest(size(words) - 2, 1), 3), ' ') AS g,
+  CASE WHEN size(words) <= 8 THEN array_join(words, ' ') ELSE '' END AS shape,
+  marked OR NOT regexp_like(right(line, 8), '[.?!。？！:]["”’»)\\]*_]*$') AS open_end, marked
 FROM (
   SELECT *,
     CASE WHEN spoken THEN 'speech'
-      WHEN fences % 2 = 1 OR line RLIKE '^(```|~~~)' THEN 'code'
+      WHEN line RLIKE '^(```|~~~)' OR fences % 2 = 1 THEN 'code'
       WHEN line RLIKE '^\\s*[|]' THEN 'table'
       WHEN line RLIKE '^#' THEN 'heading'
       WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list'
       ELSE 'prose' END AS kind,
-    slice(words, greatest(size(words) - 2, 1), 3) AS last3,
-    array_join(words, ' ') AS shape
+    split(regexp_replace(regexp_replace(regexp_replace(line, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+', 'X'), '\\p{{N}}+', 'n'), ' ') AS words,
+    regexp_like(right(line, 8), '(\\.\\.\\.|…|\\x{{FFFD}}|\\[(\\.\\.\\.|…)\\])$') AS marked
   FROM (
-    SELECT *, split(regexp_replace(regexp_replace(regexp_replace(line, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+', 'X'), '\\p{{N}}+', 'n'), ' ') AS words
-    FROM (
-      SELECT doc_id, source, length(text) AS n,
-        NOT (regexp_like(substring(text, 1, 600), '[.,;:?!。、#|()\\p{{Lu}}]|\n\n')) AND length(body) > 0 AS spoken,
-        regexp_like(body, '[.?!。？！:]["”’»)\\]*_]*$') AND NOT regexp_like(body, '(\\.\\.\\.|…)["”’»)\\]]*$') AS ends_well,
-        regexp_like(body, '(\\.\\.\\.|…|\\x{{FFFD}}|\\[\\.\\.\\.\\])$') AS marked,
-        regexp_count(body, '(?m)^(```|~~~)') AS fences,
-        substring_index(body, '\n', -1) AS line
-      FROM (SELECT doc_id, coalesce(source, '') AS source, text, rtrim(' \t\n\r\f', regexp_replace(text, '[\\x{{200B}}\\x{{00A0}}]', ' ')) AS body
-            FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL)
-      WHERE length(body) > 0)))
+    SELECT doc_id, source, n, spoken, fences, substring_index(tail, '\n', -1) AS line
+    FROM (SELECT doc_id, coalesce(source, '') AS source, length(text) AS n, {spoken_test} AS spoken,
+            (length(text) - length(replace(replace(text, '```', ''), '~~~', ''))) div 3 AS fences,
+            rtrim(' \t\n\r\f', regexp_replace(right(text, {tail}), '[\\x{{200B}}\\x{{00A0}}]', ' ')) AS tail
+          FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+    WHERE length(tail) > 0))
 """
 
+_SPOKEN = r"NOT regexp_like(left(text, 600), '[.,;:?!。、#|()\\p{Lu}]|\n\n')"
+
 # trigrams of written text by class: inside a line, by kind of line
 _WRITTEN = r"""
 SELECT kind, g, count(*) AS inside FROM (
@@ -70,16 +75,50 @@ GROUP BY kind, g
 _SPOKEN_WORDS = r"""
 SELECT word FROM (
   SELECT word, count(*) AS n, sum(count(*)) OVER () AS total
-  FROM (SELECT explode(split(lower(text), '\\s+')) AS word FROM {spoken}) GROUP BY word)
-WHERE n >= total * {share} AND length(word) > 0
+  FROM (SELECT explode(raw) AS word FROM {spoken}) GROUP BY word)
+WHERE n >= total * {share}
 """
 
+_SPEECH = r"""
+SELECT doc_id, transform(raw, x -> CASE WHEN array_contains({listed}, x) THEN x WHEN x RLIKE '^[0-9]+$' THEN 'n' ELSE '~' END) AS w FROM {spoken}
+"""
 
-def _views(documents: DataFrame):
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "source", "text")
-    features = spark.sql(_FEATURES, documents=docs)
-    return spark, docs, features
+_CUT_SPEECH = r"""
+WITH inside AS (
+  SELECT g, count(*) AS inside
+  FROM (SELECT explode(transform(sequence(2, size(w) - 2), i -> w[i - 2] || ' ' || w[i - 1] || ' ' || w[i])) AS g FROM {speech} WHERE size(w) > 3) GROUP BY g),
+begun AS (SELECT substring_index(g, ' ', 2) AS two, sum(inside) AS n FROM inside GROUP BY 1),
+ends AS (SELECT doc_id, array_join(slice(w, greatest(size(w) - 2, 1), 3), ' ') AS g FROM {speech}),
+last AS (SELECT g, count(*) AS last FROM ends GROUP BY g),
+verdict AS (
+  SELECT l.g FROM last l LEFT JOIN inside i ON i.g = l.g LEFT JOIN begun b ON b.two = substring_index(l.g, ' ', 2)
+  WHERE (i.inside >= {often} AND l.last <= {terminal} * (i.inside + l.last))
+    OR (coalesce(i.inside, 0) < 3 AND coalesce(i.inside, 0) * 20 <= l.last AND b.n >= {least}))
+SELECT e.doc_id FROM ends e JOIN verdict v ON v.g = e.g
+"""
+
+_VERDICT = r"""
+WITH ends AS (SELECT kind, g, count(*) AS last FROM {features} WHERE NOT spoken AND kind = 'prose' GROUP BY 1, 2),
+rare AS (
+  SELECT e.kind, e.g FROM ends e LEFT JOIN {written} w ON w.kind = e.kind AND w.g = e.g
+  WHERE coalesce(w.inside, 0) < {least} OR e.last <= {terminal} * (w.inside + e.last)),
+footers AS (
+  SELECT shape FROM (SELECT shape, count(*) AS c, sum(count(*)) OVER () AS total FROM {features} GROUP BY shape)
+  WHERE shape <> '' AND c >= {footer} * total AND c >= 2),
+limits AS (
+  SELECT source, n FROM (
+    SELECT source, n, c, sum(c) OVER (PARTITION BY source) AS texts,
+      (sum(c) OVER (PARTITION BY source ORDER BY n RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING) - c) / 80.0 AS others
+    FROM (SELECT source, n, count(*) AS c FROM {features} GROUP BY source, n))
+  WHERE n >= 100 AND c >= 3 AND c >= {limit_share} * texts AND c >= {limit} * others)
+SELECT f.doc_id, f.source, CASE WHEN l.n IS NOT NULL THEN 'limit' WHEN f.marked THEN 'mark' ELSE 'trigram' END AS evidence
+FROM {features} f
+LEFT JOIN limits l ON l.source = f.source AND l.n = f.n
+LEFT JOIN {cut_speech} s ON s.doc_id = f.doc_id
+LEFT JOIN rare r ON r.kind = f.kind AND r.g = f.g
+LEFT JOIN footers t ON t.shape = f.shape
+WHERE f.open_end AND (l.n IS NOT NULL OR f.marked OR s.doc_id IS NOT NULL OR (NOT f.spoken AND r.g IS NOT NULL AND t.shape IS NULL))
+"""
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -87,80 +126,20 @@ def truncated(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts are whole. Statistics cover all texts; equal
     texts count as often as they stand. Null sources count as one source.
+    The few facts kept of each text's end are written once and read by each
+    statistic.
     """
-    spark, docs, features = _views(documents)
-    spoken_texts = docs.where(r"text IS NOT NULL AND length(trim(text)) > 0 AND NOT regexp_like(substring(text, 1, 600), '[.,;:?!。、#|()\\p{Lu}]|\n\n')")
-    common = spark.sql(_SPOKEN_WORDS, spoken=spoken_texts.select("text"), share=SPOKEN_SHARE)
+    spark = documents.sparkSession
+    docs = documents.select("doc_id", "source", "text")
+    features = cut(spark.sql(_FEATURES.replace("{spoken_test}", _SPOKEN.replace("{", "{{").replace("}", "}}")).replace("{tail}", str(TAIL)), documents=docs))
+    spoken = cut(docs.where("doc_id IS NOT NULL AND length(trim(text)) > 0").where(_SPOKEN).selectExpr("doc_id", r"filter(split(lower(text), '\\s+'), x -> x <> '') AS raw"))
     # at most 1 / SPOKEN_SHARE words: a bound that does not grow with the data
-    words = [r.word for r in common.toLocalIterator()]
-    listed = "array(" + ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words)) + ")" if words else "array('')"
-    speech = spark.sql(
-        f"""SELECT doc_id, transform(raw, x -> CASE WHEN array_contains({listed}, x) THEN x WHEN x RLIKE '^[0-9]+$' THEN 'n' ELSE '~' END) AS w, element_at(raw, -1) AS final, element_at(raw, -2) AS before
-        FROM (SELECT doc_id, filter(split(lower(text), '\\\\s+'), x -> x <> '') AS raw FROM {{spoken}})""",
-        spoken=spoken_texts.where("doc_id IS NOT NULL"),
-    )
-    inside_speech = spark.sql("SELECT g, count(*) AS inside FROM (SELECT explode(transform(sequence(2, size(w) - 2), i -> w[i - 2] || ' ' || w[i - 1] || ' ' || w[i])) AS g FROM {speech} WHERE size(w) > 3) GROUP BY g", speech=speech)
-    ends_speech = spark.sql("SELECT doc_id, array_join(slice(w, greatest(size(w) - 2, 1), 3), ' ') AS g FROM {speech}", speech=speech)
-    verdict_speech = spark.sql(
-        """
-        WITH e AS (SELECT g, count(*) AS last FROM {ends} GROUP BY g)
-        SELECT e.g, e.last, coalesce(i.inside, 0) AS inside, coalesce(p.n, 0) AS start_known
-        FROM e LEFT JOIN {inside} i ON i.g = e.g
-        LEFT JOIN (SELECT substring_index(g, ' ', 2) AS two, sum(inside) AS n FROM {inside} GROUP BY 1) p ON p.two = substring_index(e.g, ' ', 2)
-        """,
-        ends=ends_speech,
-        inside=inside_speech,
-    )
-    cut_speech = spark.sql(
-        """SELECT s.doc_id FROM {ends} s JOIN {verdict} v ON v.g = s.g
-        WHERE (v.inside >= {often} AND v.last <= {terminal} * (v.inside + v.last)) OR (v.inside * 20 <= v.last AND v.inside < 3 AND v.start_known >= {least})""",
-        ends=ends_speech,
-        verdict=verdict_speech,
-        least=LEAST,
-        often=SPOKEN_LEAST,
-        terminal=SPOKEN_TERMINAL,
-    )
-    limits = spark.sql(
-        """
-        WITH h AS (SELECT source, n, count(*) AS c FROM {features} GROUP BY source, n)
-        SELECT source, n FROM (
-          SELECT source, n, c, sum(c) OVER (PARTITION BY source) AS texts, ((sum(c) OVER near) - c) / 80.0 AS others FROM h
-          WINDOW near AS (PARTITION BY source ORDER BY n RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING))
-        WHERE c >= 3 AND c >= {limit_share} * texts AND c >= {limit} * others AND n >= 100
-        """,
-        features=features,
-        limit=LIMIT,
-        limit_share=LIMIT_SHARE,
-    )
+    words = sorted(r.word for r in spark.sql(_SPOKEN_WORDS, spoken=spoken, share=SPOKEN_SHARE).toLocalIterator())
+    listed = "array(" + ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'" for w in words or [""]) + ")"
+    speech = spark.sql(_SPEECH.replace("{listed}", listed), spoken=spoken)
+    cut_speech = spark.sql(_CUT_SPEECH, speech=speech, often=SPOKEN_LEAST, terminal=SPOKEN_TERMINAL, least=LEAST)
     written = spark.sql(_WRITTEN, documents=docs)
-    return spark.sql(
-        """
-        WITH ends AS (SELECT kind, array_join(last3, ' ') AS g, count(*) AS last FROM {features} WHERE NOT spoken GROUP BY 1, 2),
-        rare AS (
-          SELECT e.kind, e.g FROM ends e LEFT JOIN {written} w ON w.kind = e.kind AND w.g = e.g
-          WHERE e.kind = 'prose' AND ((coalesce(w.inside, 0) >= {least} AND e.last <= {terminal} * (w.inside + e.last)) OR coalesce(w.inside, 0) < {least})),
-        footers AS (
-          SELECT shape FROM (SELECT shape, count(*) AS c, sum(count(*)) OVER () AS total FROM {features} WHERE kind = 'prose' AND length(shape) < 60 GROUP BY shape)
-          WHERE c >= {footer} * total AND c >= 2)
-        SELECT f.doc_id, f.source,
-          CASE WHEN l.n IS NOT NULL THEN 'limit' WHEN f.marked THEN 'mark' ELSE 'trigram' END AS evidence
-        FROM {features} f
-        LEFT JOIN {limits} l ON l.source = f.source AND l.n = f.n
-        LEFT JOIN {cut_speech} s ON s.doc_id = f.doc_id
-        LEFT JOIN rare r ON r.kind = f.kind AND r.g = array_join(f.last3, ' ')
-        LEFT JOIN footers t ON t.shape = f.shape AND f.kind = 'prose'
-        WHERE NOT f.ends_well AND (
-          l.n IS NOT NULL OR f.marked OR s.doc_id IS NOT NULL
-          OR (NOT f.spoken AND r.g IS NOT NULL AND t.shape IS NULL))
-        """,
-        features=features,
-        written=written,
-        limits=limits,
-        cut_speech=cut_speech,
-        least=LEAST,
-        terminal=TERMINAL,
-        footer=FOOTER,
-    )
+    return spark.sql(_VERDICT, features=features, written=written, cut_speech=cut_speech, least=LEAST, terminal=TERMINAL, footer=FOOTER, limit=LIMIT, limit_share=LIMIT_SHARE)
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
