@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import codedocs, leaks, papers, runs, sections, tokens, truncation
+from sheaf.llm import codedocs, leaks, names, papers, runs, sections, tokens, truncation
 from sheaf.sources.tables import table
 
 
@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.found(table(spark, d, "captions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "citation_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return codedocs.found(table(spark, d, "source_files"))
 
@@ -49,4 +53,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p5_found, p5_pairs, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p5_found, p5_pairs, p8_ids, p9_found, p10_found, p10_rates)}
