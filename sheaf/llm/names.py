@@ -25,6 +25,7 @@ from sheaf.llm.runs import slipped
 from sheaf.session import cut
 
 SUFFIX = 4  # least length of an indexed suffix
+SHORT = 8
 COMMON = 40  # tokens from which a suffix is refined
 RATIO = 0.8  # longest common subsequence, of the mean length
 
@@ -79,43 +80,52 @@ def organisation(name: str) -> list[str] | None:
     return sorted(w for w in out if w not in ("the", "of", "for", "and", "on", "behalf"))
 
 
-def readings(name: str) -> list[tuple[str, str, str]]:
-    """Possible (family, given, initials) of a person; one where a comma or an initial settles the order.
+def readings(name: str) -> list[tuple[str, str, str, str]]:
+    """Possible (family, its first half, given, initials) of a person; one where a comma or an initial settles the order.
 
     Family and given are tokens joined by a blank, given being empty where only initials stand.
     """
+    if not name.isupper():  # initials without dots
+        name = re.sub(r"(?<![\w.])([A-Z]{2,3})(?![\w.])", lambda m: "".join(f"{x}." for x in m[1]), name)
     text = re.sub(r"\([^)]*\)", " ", plain(name)).strip(" ,;")
     if "," in text:
         head, *rest = [x.strip() for x in text.split(",")]
         rest = [x for x in rest if x.strip(" .") not in _TITLES and x]
         if rest:
-            return [(_family(head), *_given(" ".join(rest)))]
+            return [(_family(head), _part(head), *_given(" ".join(rest)))]
         text = head
     tokens = [t for t in re.split(r"\s+", text) if t.strip(".") not in _TITLES and re.search(r"[a-z]", t)]
     if not tokens:
         return []
     if len(tokens) == 1:
-        return [(_family(tokens[0]), "", "")]
+        return [(_family(tokens[0]), _part(tokens[0]), "", "")]
     marks = [_initials(t) is not None for t in tokens]
     if all(marks):
-        return [(_family(" ".join(tokens)), "", "")]
+        return [(_family(" ".join(tokens)), "", "", "")]
     if marks[-1]:
         k = max(i for i, m in enumerate(marks) if not m) + 1
         if k == 1:
-            return [(_family(tokens[0]), *_given(" ".join(tokens[1:])))]
+            return [(_family(tokens[0]), _part(tokens[0]), *_given(" ".join(tokens[1:])))]
         # "Family Given M." or "Family Part I."
-        return [(_family(tokens[0]), *_given(" ".join(tokens[1:]))), (_family(" ".join(tokens[:k])), *_given(" ".join(tokens[k:])))]
+        return [(_family(tokens[0]), _part(tokens[0]), *_given(" ".join(tokens[1:]))), (_family(" ".join(tokens[:k])), _part(" ".join(tokens[:k])), *_given(" ".join(tokens[k:])))]
     if any(marks):
         k = max(i for i, m in enumerate(marks) if m) + 1
-        return [(_family(" ".join(tokens[k:])), *_given(" ".join(tokens[:k])))]
-    out = [(_family(tokens[-1]), *_given(" ".join(tokens[:-1]))), (_family(tokens[0]), *_given(" ".join(tokens[1:])))]
+        return [(_family(" ".join(tokens[k:])), _part(" ".join(tokens[k:])), *_given(" ".join(tokens[:k])))]
+    out = [(_family(tokens[-1]), _part(tokens[-1]), *_given(" ".join(tokens[:-1]))), (_family(tokens[0]), _part(tokens[0]), *_given(" ".join(tokens[1:])))]
     if len(tokens) > 2:
-        out.append((_family(" ".join(tokens[1:])), *_given(tokens[0])))
+        out.append((_family(" ".join(tokens[1:])), _part(" ".join(tokens[1:])), *_given(tokens[0])))
     return out
 
 
 def _family(text: str) -> str:
-    return " ".join(re.findall(r"[a-z0-9']+", text))
+    """Letters of a family name; a hyphen or blank inside may slip, so it does not count."""
+    return "".join(re.findall(r"[a-z0-9]+", text))
+
+
+def _part(text: str) -> str:
+    """The first half of a hyphenated family name, which some leave the second of away; empty for others."""
+    halves = re.split(r"[-\s]", text.strip())
+    return _family(halves[0]) if len(halves) == 2 and "-" in text else ""
 
 
 def _given(text: str) -> tuple[str, str]:
@@ -129,10 +139,10 @@ def _given(text: str) -> tuple[str, str]:
         else:
             first += letters
     # umlauts are also written with an e
-    return re.sub(r"(?<=[aou])e(?=[a-z]{2})", "", "".join(words)) if words and "ue" in "".join(words) else "".join(words), first
+    return re.sub(r"(?<!q)ue(?=[a-z]{2})", "u", "".join(words)), first
 
 
-_READ = pa.schema([("name", pa.string()), ("org", pa.bool_()), ("r", pa.int32()), ("family", pa.string()), ("given", pa.string()), ("initials", pa.string()), ("sure", pa.bool_())])
+_READ = pa.schema([("name", pa.string()), ("org", pa.bool_()), ("r", pa.int32()), ("family", pa.string()), ("first_part", pa.string()), ("given", pa.string()), ("initials", pa.string()), ("sure", pa.bool_())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in batch.column(0).to_pylist():
             org = organisation(name)
             if org is not None:
-                rows.append((name, True, 0, " ".join(org), "", "", True))
+                rows.append((name, True, 0, " ".join(org), "", "", "", True))
                 continue
             all_readings = readings(name)
             rows += [(name, False, k, *r, len(all_readings) == 1) for k, r in enumerate(all_readings)]
@@ -171,15 +181,18 @@ def slips(tokens: DataFrame, ratio: int) -> DataFrame:
             F.concat(
                 F.transform(F.sequence(F.lit(SUFFIX), F.length("token")), lambda k: F.concat(F.lit("s"), F.substring("token", -k, k))),
                 F.array(F.concat(F.lit("p"), F.substring("token", 1, 3), F.substring("token", F.lit(4), F.lit(1)))),
+                # a short token has few suffixes: what is left of it without one letter
+                F.when(F.length("token") <= SHORT, F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token"))))).otherwise(F.array().cast("array<string>")),
+                F.when(F.length("token") <= SHORT, F.array(F.concat(F.lit("d"), "token"))).otherwise(F.array().cast("array<string>")),
                 F.array(F.concat(F.lit("q"), F.substring("token", 1, 1), F.array_join(F.array_sort(F.array_distinct(F.split(F.col("token"), ""))), ""))),
             )
         ).alias("key"),
     )
     sized = keyed.groupBy("key").agg(F.count("*").alias("c"))
-    refined = keyed.join(sized, "key").where("c > 1").withColumn("key", F.when(F.col("c") > COMMON, F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
+    refined = keyed.join(sized, "key").where("c > 1").withColumn("key", F.when((F.col("c") > COMMON) & ~F.substring("key", 1, 1).isin("q", "d"), F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
     # a refined suffix that is still common says too little; a longer suffix, the first letters or the set of letters bring its pairs together
     sized = refined.groupBy("key").agg(F.count("*").alias("c2"))
-    blocks = refined.join(sized, "key").where((F.col("c2") > 1) & ((F.col("c2") <= 4 * COMMON) | F.col("key").startswith("q")))
+    blocks = refined.join(sized, "key").where((F.col("c2") > 1) & ((F.col("c2") <= 4 * COMMON) | F.substring("key", 1, 1).isin("q", "d")))
     a = blocks.select("key", F.col("token").alias("token"), F.col("n").alias("n"))
     b = blocks.select("key", F.col("token").alias("canon"), F.col("n").alias("m"))
     pairs = (
@@ -223,7 +236,7 @@ def linked_names(records: DataFrame) -> DataFrame:
     orcid = F.regexp_extract(orcid, r"(\d{15}[\dX])$", 1)
     occ = occ.select("record_id", "name", F.when(orcid != "", orcid).alias("orcid"))
     names = occ.select("name").distinct()
-    read = cut(names.mapInArrow(_read, "name string, org boolean, r int, family string, given string, initials string, sure boolean"))
+    read = cut(names.mapInArrow(_read, "name string, org boolean, r int, family string, first_part string, given string, initials string, sure boolean"))
 
     # organisations: the same words
     orgs = _corrected(read.where("org").select("name", "family"), "family", 1)
@@ -235,11 +248,15 @@ def linked_names(records: DataFrame) -> DataFrame:
     givens = people.where("sure AND given <> ''").groupBy("given").agg(F.count("*").alias("g_n"))
     unsure = people.where("NOT sure").join(families, "family", "left").join(givens, "given", "left")
     score = F.when(F.col("f_n").isNotNull(), 2).otherwise(0) + F.when(F.col("g_n") > 1, 1).otherwise(0)
-    chosen = unsure.groupBy("name").agg(F.max_by(F.struct("family", "given", "initials"), F.struct(score, -F.col("r"))).alias("v")).select("name", "v.*")
-    people = people.where("sure").select("name", "family", "given", "initials").unionByName(chosen)
+    chosen = unsure.groupBy("name").agg(F.max_by(F.struct("family", "first_part", "given", "initials"), F.struct(score, -F.col("r"))).alias("v")).select("name", "v.*")
+    people = people.where("sure").select("name", "family", "first_part", "given", "initials").unionByName(chosen)
     people = _corrected(people, "family", 1)
     people = cut(_corrected(people, "given", 5, keep=sorted(NICKNAMES)))
 
+    # half of a hyphenated name stands for the whole where the whole has the given name
+    halves = people.where("first_part <> '' AND given <> ''").groupBy("first_part", "given").agg(F.min("family").alias("whole"), F.max("family").alias("other")).where("whole = other")
+    people = people.join(halves.select(F.col("first_part").alias("family"), "given", "whole"), ["family", "given"], "left").withColumn("family", F.coalesce("whole", "family")).drop("whole", "other")
+
     # full given names: an author for each family and given name
     formals = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
     people = people.withColumn("formal", F.split(F.get(F.map_values(F.map_filter(formals, lambda k, v: k == F.col("given"))), F.lit(0)), " "))
