@@ -167,43 +167,38 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
 
 
-def slips(tokens: DataFrame, ratio: int) -> DataFrame:
-    """(token, canon): tokens that slipped from one at least ``ratio`` times as frequent.
+def slips(tokens: DataFrame) -> DataFrame:
+    """(role, token, canon): tokens that slipped from one at least ``ratio`` times as frequent.
 
-    ``tokens`` has token and n. Tokens of under four letters, and numbers, never slip.
+    ``tokens`` has role, token, n and ratio. Tokens of under four letters, and numbers, never slip.
     """
-    long = tokens.where(F.length("token") >= SUFFIX)
-    # all suffixes above the least length; the whole token's first letters stand for those whose end slipped
-    keyed = long.select(
-        "token",
-        "n",
-        F.explode(
-            F.concat(
-                F.transform(F.sequence(F.lit(SUFFIX), F.length("token")), lambda k: F.concat(F.lit("s"), F.substring("token", -k, k))),
-                F.array(F.concat(F.lit("p"), F.substring("token", 1, 3), F.substring("token", F.lit(4), F.lit(1)))),
-                # a short token has few suffixes: what is left of it without one letter
-                F.when(F.length("token") <= SHORT, F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token"))))).otherwise(F.array().cast("array<string>")),
-                F.when(F.length("token") <= SHORT, F.array(F.concat(F.lit("d"), "token"))).otherwise(F.array().cast("array<string>")),
-                F.array(F.concat(F.lit("q"), F.substring("token", 1, 1), F.array_join(F.array_sort(F.array_distinct(F.split(F.col("token"), ""))), ""))),
-            )
-        ).alias("key"),
+    none = F.array().cast("array<string>")
+    short = F.length("token") <= SHORT
+    # all suffixes above the least length. What a suffix cannot reach, as the slip is in the last
+    # letters, the first letters or the set of letters bring together; a short token has few
+    # suffixes, so what is left of it without one letter is added.
+    keys = F.concat(
+        F.transform(F.sequence(F.lit(SUFFIX), F.length("token")), lambda k: F.concat(F.lit("s"), F.substring("token", -k, k))),
+        F.array(F.concat(F.lit("p"), F.substring("token", 1, 4)), F.concat(F.lit("q"), F.substring("token", 1, 1), F.array_join(F.array_sort(F.array_distinct(F.split("token", ""))), ""))),
+        F.when(short, F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token"))))).otherwise(none),
+        F.when(short, F.array(F.concat(F.lit("d"), "token"))).otherwise(none),
     )
-    sized = keyed.groupBy("key").agg(F.count("*").alias("c"))
-    refined = keyed.join(sized, "key").where("c > 1").withColumn("key", F.when((F.col("c") > COMMON) & ~F.substring("key", 1, 1).isin("q", "d"), F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
-    # a refined suffix that is still common says too little; a longer suffix, the first letters or the set of letters bring its pairs together
-    sized = refined.groupBy("key").agg(F.count("*").alias("c2"))
-    blocks = refined.join(sized, "key").where((F.col("c2") > 1) & ((F.col("c2") <= 4 * COMMON) | F.substring("key", 1, 1).isin("q", "d")))
-    a = blocks.select("key", F.col("token").alias("token"), F.col("n").alias("n"))
-    b = blocks.select("key", F.col("token").alias("canon"), F.col("n").alias("m"))
+    keyed = tokens.where(F.length("token") >= SUFFIX).select("role", "token", "n", "ratio", F.explode(keys).alias("key"))
+    block = Window.partitionBy("role", "key")
+    exact = F.substring("key", 1, 1).isin("q", "d")
+    # a suffix that is too common is refined with the first letters; one that then still is says too little
+    refined = keyed.withColumn("c", F.count("*").over(block)).where("c > 1").withColumn("key", F.when((F.col("c") > COMMON) & ~exact, F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
+    blocks = refined.withColumn("c", F.count("*").over(block)).where((F.col("c") > 1) & ((F.col("c") <= 4 * COMMON) | exact))
+    a = blocks.select("role", "key", "token", "n", "ratio")
+    b = blocks.select("role", "key", F.col("token").alias("canon"), F.col("n").alias("m"))
     pairs = (
-        a.join(b, "key")
+        a.join(b, ["role", "key"])
         .where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("canon") < F.col("token"))))
-        .where((F.col("n") * ratio <= F.col("m")) & (F.abs(F.length("token") - F.length("canon")) <= 1))
-        .select("token", "canon", "m")
-        .distinct()
+        .where((F.col("n") * F.col("ratio") <= F.col("m")) & (F.abs(F.length("token") - F.length("canon")) <= 1))
+        .select("token", "canon", "role", "m")
     )
-    near = pairs.mapInArrow(_near, "token string, canon string, m long")
-    return near.groupBy("token").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
+    near = pairs.mapInArrow(_near, "token string, canon string, role string, m long")
+    return near.groupBy("role", "token").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +208,18 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _corrected(df: DataFrame, column: str, ratio: int, keep: list[str] | None = None) -> DataFrame:
-    """df with the blank-separated tokens of a column replaced by those they slipped from."""
-    words = df.select(F.explode(F.split(column, " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
-    if keep:
-        words = words.where(~F.col("token").isin(keep))
-    fixed = slips(words, ratio)
-    whole = df.select(column).distinct().select(column, F.posexplode(F.split(column, " ")).alias("p", "token")).join(fixed, "token", "left")
-    new = whole.groupBy(column).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("canon", "token").alias("t")))), lambda x: x["t"]), " ").alias("_new"))
-    return df.join(new, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+def corrected(df: DataFrame, columns: dict[str, int], keep: list[str] | None = None) -> DataFrame:
+    """df, whose column ``name`` is its key, with the blank-separated tokens of each column replaced by
+    those they slipped from. columns: how many times as frequent the right token must be."""
+    roles = F.explode(F.array(*[F.struct(F.lit(c).alias("role"), F.lit(r).alias("ratio"), F.col(c).alias("text")) for c, r in columns.items()]))
+    flat = df.select("name", roles.alias("x")).select("name", "x.role", "x.ratio", F.posexplode(F.split("x.text", " ")).alias("p", "token")).where("token <> ''")
+    words = flat.where(~F.col("token").isin(keep) | (F.col("role") != "given") if keep else F.lit(True)).groupBy("role", "token", "ratio").agg(F.count("*").alias("n"))
+    fixed = flat.join(slips(words), ["role", "token"], "left").groupBy("name", "role").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("canon", "token").alias("t")))), lambda x: x["t"]), " ").alias("new"))
+    wide = fixed.groupBy("name").agg(*[F.max(F.when(F.col("role") == c, F.col("new"))).alias(f"_{c}") for c in columns])
+    out = df.join(wide, "name", "left")
+    for c in columns:
+        out = out.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    return out
 
 
 def linked_names(records: DataFrame) -> DataFrame:
@@ -230,74 +228,57 @@ def linked_names(records: DataFrame) -> DataFrame:
     Null and blank names are left out. Strings that fit several authors and
     share no paper or ORCID with one of them more than with the others stay alone.
     """
-    one = cut(papers.prepared(records))
-    occ = one.select("record_id", F.posexplode("authors").alias("pos", "name"), *(["orcids"] if "orcids" in one.columns else [])).where("name IS NOT NULL AND trim(name) <> ''")
-    orcid = F.regexp_replace(F.upper(F.get(F.map_values(F.map_filter("orcids", lambda k, v: k == F.col("name"))), F.lit(0))), r"[^0-9X]", "") if "orcids" in one.columns else F.lit(None).cast("string")
-    orcid = F.regexp_extract(orcid, r"(\d{15}[\dX])$", 1)
-    occ = occ.select("record_id", "name", F.when(orcid != "", orcid).alias("orcid"))
-    names = occ.select("name").distinct()
-    read = cut(names.mapInArrow(_read, "name string, org boolean, r int, family string, first_part string, given string, initials string, sure boolean"))
-
-    # organisations: the same words
-    orgs = _corrected(read.where("org").select("name", "family"), "family", 1)
-    orgs = orgs.select("name", F.concat(F.lit("o|"), F.array_join(F.array_sort(F.split("family", " ")), " ")).alias("cluster"))
+    orcids = "orcids" if "orcids" in records.columns else "cast(null AS map<string,string>) AS orcids"
+    one = records.where("record_id IS NOT NULL").selectExpr("record_id", "title", "authors", orcids, "coalesce(added, '') AS added")
+    one = one.groupBy("record_id").agg(F.max_by(F.struct("title", "authors", "orcids"), F.struct("added", F.hash("title", "authors"))).alias("v")).select("record_id", "v.*")
+    orcid = F.regexp_extract(F.regexp_replace(F.upper(F.try_element_at("orcids", F.col("name"))), r"[^0-9X]", ""), r"(\d{15}[\dX])$", 1)
+    occ = one.select("record_id", papers.title_key(F.col("title")).alias("paper"), "orcids", F.explode("authors").alias("name")).where("name IS NOT NULL AND trim(name) <> ''")
+    occ = cut(occ.select("record_id", "paper", "name", F.when(orcid != "", orcid).alias("orcid")))
+    read = cut(occ.select("name").distinct().mapInArrow(_read, "name string, org boolean, r int, family string, first_part string, given string, initials string, sure boolean"))
 
     # the order of the tokens, where no comma settles it: families and given names that others have
-    people = read.where("NOT org")
-    families = people.where("sure AND given <> ''").groupBy("family").agg(F.count("*").alias("f_n"))
-    givens = people.where("sure AND given <> ''").groupBy("given").agg(F.count("*").alias("g_n"))
-    unsure = people.where("NOT sure").join(families, "family", "left").join(givens, "given", "left")
-    score = F.when(F.col("f_n").isNotNull(), 2).otherwise(0) + F.when(F.col("g_n") > 1, 1).otherwise(0)
-    chosen = unsure.groupBy("name").agg(F.max_by(F.struct("family", "first_part", "given", "initials"), F.struct(score, -F.col("r"))).alias("v")).select("name", "v.*")
-    people = people.where("sure").select("name", "family", "first_part", "given", "initials").unionByName(chosen)
-    people = _corrected(people, "family", 1)
-    people = cut(_corrected(people, "given", 5, keep=sorted(NICKNAMES)))
+    surely = read.where("sure AND given <> '' AND NOT org")
+    unsure = read.where("NOT sure").join(surely.groupBy("family").agg(F.lit(2).alias("f")), "family", "left").join(surely.groupBy("given").agg((F.count("*") > 1).cast("int").alias("g")), "given", "left")
+    score = F.coalesce("f", F.lit(0)) + F.coalesce("g", F.lit(0))
+    chosen = unsure.groupBy("name").agg(F.max_by(F.struct("org", "family", "first_part", "given", "initials"), F.struct(score, -F.col("r"))).alias("v")).select("name", "v.*")
+    whole = read.where("sure").select("name", "org", "family", "first_part", "given", "initials").unionByName(chosen).withColumn("organisation", F.when(F.col("org"), F.col("family")).otherwise(F.lit(""))).withColumn("family", F.when(F.col("org"), F.lit("")).otherwise(F.col("family")))
+    whole = cut(corrected(whole, {"organisation": 1, "family": 1, "given": 5}, keep=sorted(NICKNAMES)))
+    orgs = whole.where("org").select("name", F.concat(F.lit("o|"), F.array_join(F.array_sort(F.split("organisation", " ")), " ")).alias("cluster"))
+    people = whole.where("NOT org")
 
     # half of a hyphenated name stands for the whole where the whole has the given name
-    halves = people.where("first_part <> '' AND given <> ''").groupBy("first_part", "given").agg(F.min("family").alias("whole"), F.max("family").alias("other")).where("whole = other")
-    people = people.join(halves.select(F.col("first_part").alias("family"), "given", "whole"), ["family", "given"], "left").withColumn("family", F.coalesce("whole", "family")).drop("whole", "other")
+    halves = people.where("first_part <> '' AND given <> ''").groupBy(F.col("first_part").alias("family"), "given").agg(F.min("family").alias("whole"), F.max("family").alias("other")).where("whole = other")
+    people = people.join(halves.drop("other"), ["family", "given"], "left").withColumn("family", F.coalesce("whole", "family")).drop("whole")
 
     # full given names: an author for each family and given name
     formals = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
-    people = people.withColumn("formal", F.split(F.get(F.map_values(F.map_filter(formals, lambda k, v: k == F.col("given"))), F.lit(0)), " "))
-    full = people.where("given <> ''")
-    known = full.where("formal IS NULL").select("family", "given", F.substring("initials", 1, 1).alias("i"), F.concat_ws("|", F.lit("p"), "family", "given").alias("cluster")).distinct()
-    settled = full.where("formal IS NULL").select("name", F.concat_ws("|", F.lit("p"), "family", "given").alias("cluster"))
-
+    people = cut(people.withColumn("formal", F.split(F.try_element_at(formals, F.col("given")), " ")).withColumn("full", (F.col("given") != "") & F.col("formal").isNull()).withColumn("cluster", F.concat_ws("|", F.lit("p"), "family", "given")))
+    settled = people.where("full").select("name", "cluster")
+    known = people.where("full").select("family", "given", F.substring("initials", 1, 1).alias("i"), "cluster").distinct()
     # nicknames and initials: the authors of the family they fit
-    nick = full.where("formal IS NOT NULL").select("name", "family", F.explode("formal").alias("given")).join(known, ["family", "given"]).select("name", "cluster")
-    short = people.where("given = ''").select("name", "family", "initials")
-    # initials fit if the first is the same; of two given names in one word both initials may stand
-    fits = short.join(known, "family").where((F.col("initials") == "") | F.col("i").eqNullSafe(F.substring("initials", 1, 1))).select("name", "cluster", (F.col("initials") != "").alias("spelled")).where("spelled").select("name", "cluster")
-    options = cut(nick.unionByName(fits).distinct())
-    count = options.groupBy("name").agg(F.count("*").alias("n"), F.min("cluster").alias("only"))
-    single = count.where("n = 1").select("name", F.col("only").alias("cluster"))
+    asked = people.where("NOT full").select("name", "family", "formal", F.substring("initials", 1, 1).alias("i0"))
+    fits = F.when(F.col("formal").isNotNull(), F.array_contains("formal", F.col("given"))).otherwise((F.col("i0") != "") & (F.col("i") == F.col("i0")))
+    options = cut(asked.join(known, "family").where(fits).select("name", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("name"))))
+    single = options.where("n = 1").select("name", "cluster")
 
     # several: who shares papers (but no record) and ORCIDs with the string
-    members = papers.paper_members(one)
-    at = cut(occ.join(members, "record_id").select("name", "record_id", F.col("component").alias("paper"), "orcid"))
-    several = options.join(count.where("n > 1").select("name"), "name")
-    by_cluster = cut(at.join(settled.unionByName(single), "name").select("cluster", "record_id", "paper", "orcid"))
-    mine = at.join(several, "name")
-    together = (
-        mine.select("name", "cluster", "paper", "record_id").join(by_cluster.select("cluster", "paper", F.col("record_id").alias("other")), ["cluster", "paper"])
-        .groupBy("name", "cluster").agg(F.count_distinct(F.when(F.col("record_id") != F.col("other"), F.col("paper"))).alias("papers"), F.count_distinct(F.when(F.col("record_id") == F.col("other"), F.col("record_id"))).alias("both"))
-    )
-    same_id = mine.where("orcid IS NOT NULL").select("name", "cluster", "orcid").join(by_cluster.where("orcid IS NOT NULL").select("cluster", "orcid").distinct(), ["cluster", "orcid"]).groupBy("name", "cluster").agg(F.count_distinct("orcid").alias("ids"))
-    weight = F.coalesce("papers", F.lit(0)) + 2 * F.coalesce("ids", F.lit(0)) - 3 * F.coalesce("both", F.lit(0))
-    ranked = several.join(together, ["name", "cluster"], "left").join(same_id, ["name", "cluster"], "left").withColumn("weight", weight)
-    order = Window.partitionBy("name").orderBy(F.desc("weight"), "cluster")
-    ranked = ranked.withColumn("k", F.row_number().over(order)).withColumn("second", F.lead("weight").over(order))
-    decided = ranked.where("k = 1 AND weight > 0 AND weight > coalesce(second, 0)").select("name", "cluster")
+    several = options.where("n > 1").select("name", "cluster")
+    theirs = occ.join(settled.unionByName(single), "name").select("cluster", "paper", "record_id", "orcid")
+    mine = occ.join(several, "name").select("name", "cluster", "paper", "record_id", "orcid")
+    by_paper = mine.where("paper IS NOT NULL").join(theirs.select("cluster", "paper", F.col("record_id").alias("other")), ["cluster", "paper"])
+    shared = by_paper.groupBy("name", "cluster", "paper").agg(F.max((F.col("record_id") == F.col("other")).cast("int")).alias("both")).select("name", "cluster", F.when(F.col("both") == 1, -3).otherwise(1).alias("w"))
+    by_id = mine.where("orcid IS NOT NULL").join(theirs.where("orcid IS NOT NULL").select("cluster", "orcid").distinct(), ["cluster", "orcid"]).select("name", "cluster", F.lit(2).alias("w"))
+    weighed = shared.unionByName(by_id).groupBy("name", "cluster").agg(F.sum("w").alias("w")).where("w > 0")
+    decided = weighed.groupBy("name").agg(F.max_by("cluster", F.struct("w", "cluster")).alias("cluster"), F.sort_array(F.collect_list("w"), asc=False).alias("ws")).where(F.coalesce(F.get("ws", F.lit(1)), F.lit(0)) < F.get("ws", F.lit(0))).select("name", "cluster")
 
     # neither: names of one family with the same nickname, the same initials or no given name
-    placed = settled.unionByName(single).unionByName(decided).unionByName(orgs)
-    left = people.join(placed.select("name"), "name", "left_anti").join(count.where("n > 1").select("name"), "name", "left_anti")
-    lone = left.select("name", F.concat_ws("|", F.lit("l"), "family", F.coalesce(F.get("formal", F.lit(0)), F.lit("")), F.when(F.col("formal").isNull(), F.substring("initials", 1, 1)).otherwise(F.lit(""))).alias("cluster"))
-    rest = names.join(placed.unionByName(lone).select("name"), "name", "left_anti").select("name", F.concat(F.lit("n|"), F.col("name")).alias("cluster"))
-    all_names = cut(placed.unionByName(lone).unionByName(rest))
-    least = all_names.groupBy("cluster").agg(F.min("name").alias("author"))
-    return all_names.join(least, "cluster").select("name", "author")
+    lone = F.concat_ws("|", F.lit("l"), "family", F.coalesce(F.get("formal", F.lit(0)), F.lit("")), F.when(F.col("formal").isNull(), F.col("i0")).otherwise(F.lit("")))
+    placed = settled.unionByName(single).unionByName(decided).unionByName(orgs).select("name", "cluster", F.lit(0).alias("rank"))
+    undecided = several.select("name", F.concat(F.lit("n|"), F.col("name")).alias("cluster"), F.lit(1).alias("rank"))
+    others = asked.select("name", lone.alias("cluster"), F.lit(2).alias("rank"))
+    rest = occ.select("name", F.concat(F.lit("n|"), F.col("name")).alias("cluster"), F.lit(3).alias("rank"))
+    best = placed.unionByName(undecided).unionByName(others).unionByName(rest).groupBy("name").agg(F.min_by("cluster", F.struct("rank", "cluster")).alias("cluster"))
+    return best.withColumn("author", F.min("name").over(Window.partitionBy("cluster"))).select("name", "author")
 
 
 def found(records: DataFrame) -> DataFrame:
