@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import codedocs, leaks, names, papers, runs, sections, tokens, truncation, turns
+from sheaf.llm import codedocs, leaks, names, pages, papers, runs, sections, tokens, truncation, turns
 from sheaf.sources.tables import table
 
 
@@ -36,6 +36,14 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return codedocs.documented_functions(table(spark, d, "source_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.found(table(spark, d, "fetch_responses"))
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return pages.main_bodies(table(spark, d, "fetch_responses"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.found(table(spark, d, "captions"), table(spark, d, "chapters"))
 
@@ -61,4 +69,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p5_found, p5_pairs, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}
