@@ -67,11 +67,9 @@ class Page:
             self._read_html(text)
         else:
             self._read_text(text)
-        seen: dict[int, dict] = {}
         for line in self.lines:
             line["text"] = re.sub(r"\s+", " ", line["text"]).strip()
         self.lines = [x for x in self.lines if re.search(r"\w|[^\x00-\x7f]", x["text"])]
-        del seen
 
     def _node(self, tag: str, parent: int, region) -> int:
         self.parent.append(parent)
@@ -81,7 +79,7 @@ class Page:
 
     def _read_html(self, text: str) -> None:
         stack: list[tuple[str, int]] = [("root", 0)]
-        link = silent = 0
+        link = 0
         number, current = 1, None
         silent_tag = ""
         for m in _TOKEN.finditer(text):
@@ -141,7 +139,6 @@ class Page:
                         current["linked"] += len(part.strip()) * link
             else:
                 number += raw.count("\n")
-        del silent
 
     def _read_text(self, text: str) -> None:
         """Blocks between blank lines, each the child of the one before."""
@@ -164,17 +161,21 @@ class Page:
 
 
 def line_key(text: str) -> int:
-    """Alike for lines that differ in case, digits and punctuation; 64 bits."""
+    """Alike for lines that differ in case, punctuation and, if they have four words, in numbers; 64 bits."""
     import xxhash
 
-    return xxhash.xxh64(re.sub(r"[^\w]+", " ", re.sub(r"\d+", "0", text.lower())).strip()).intdigest() - (1 << 63)
+    words = re.findall(r"\w+", text.lower())
+    if len(words) > 3:
+        words = ["0" if w.isdigit() else w for w in words]
+    return xxhash.xxh64(" ".join(words)).intdigest() - (1 << 63)
 
 
-FEATURES = 44
+FEATURES = 50
 
 
-def features(page: Page, spread: dict[int, tuple[int, int]], sites: int, plain: bool | None = None) -> np.ndarray:
-    """What each line looks like. spread: line -> (sites, pages of this site) that carry it.
+def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | None = None) -> np.ndarray:
+    """What each line looks like. spread: line -> (sites, pages of this site) that carry it, and in what
+    share of them it is a heading and a link.
 
     With ``plain`` the tags are not looked at, as in text.
     """
@@ -251,6 +252,14 @@ def features(page: Page, spread: dict[int, tuple[int, int]], sites: int, plain:
         x[i, 40] = link[i] if words[i] > 6 else 0
         x[i, 42] = x[i, 17] * (1 - x[i, 39])
         x[i, 43] = words[i] <= 8 and not stop[i] and i > last_long
+        if far[i] > 1:
+            head, linked = spread[a["no"]][2:4]
+            x[i, 44] = head
+            x[i, 45] = linked
+            x[i, 46] = min(4, math.log(far[i])) * (1 - head)
+            x[i, 47] = far[i] > 2 and head < 0.3 and words[i] <= 8
+            x[i, 48] = far[i] > 2 and head > 0.6 and linked < 0.3
+            x[i, 49] = min(4, math.log(far[i])) * (x[i, 26] and x[i, 27])
         if headish:
             heading, since = often[i], 0
         else:
@@ -350,16 +359,15 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, r
     return w
 
 
-def _examples(page: Page, spread, sites: int):
+def _examples(page: Page, spread: dict[int, tuple], sites: int):
     """Training rows of a labelled page: (plain, label, features) of its lines and (kind, agrees) of its edges.
 
-    A line that many other sites carry belongs to the site, wherever it stands.
+    A line that many other sites carry belongs to the site, wherever it stands, unless it is a heading.
     """
-    labels = [None if a["region"] is None else int(a["region"] == 1 and spread.get(a["no"], (1, 1))[0] < max(4, 0.02 * sites)) for a in page.lines]
+    common = max(3, 0.015 * sites)
+    labels = [None if a["region"] is None else int(a["region"] == 1 and (a["tag"][0] == "h" or spread.get(a["no"], (1, 1))[0] < common)) for a in page.lines]
     rows, edges = [], []
     for view, plain in ((page, False), (as_text(page), True)):
-        if plain:
-            labels = [None if a["region"] is None else int(a["region"] == 1 and spread.get(a["no"], (1, 1))[0] < max(4, 0.02 * sites)) for a in view.lines]
         x = features(view, spread, sites, plain)
         rows += [(plain, y, v.tolist()) for y, v in zip(labels, x) if y is not None]
         votes: dict[int, list[int]] = {}
@@ -384,18 +392,20 @@ _DEFAULT_AGREE = {"chain": 0.8, "top": 0.5, "item": 0.95, "inner": 0.95, "line":
 
 def _pages(batch: pa.RecordBatch):
     for fetch_id, content_type, content, spread in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows):
-        yield fetch_id, Page(decode(content, content_type), content_type), {s["no"]: (s["far"], s["near"]) for s in spread or []}
+        yield fetch_id, Page(decode(content, content_type), content_type), {s["no"]: (s["far"], s["near"], s["head"], s["link"]) for s in spread or []}
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, numbers, keys = [], [], []
+        ids, numbers, keys, heads, links = [], [], [], [], []
         for fetch_id, page, _ in _pages(batch.select([0, 1, 2])):
             for a in page.lines:
                 ids.append(fetch_id)
                 numbers.append(a["no"])
                 keys.append(line_key(a["text"]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64())], names=["fetch_id", "no", "key"])
+                heads.append(int(a["tag"][0] == "h" and a["tag"][1:].isdigit()))
+                links.append(int(a["linked"] * 2 > len(a["text"])))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64()), pa.array(heads, pa.int32()), pa.array(links, pa.int32())], names=["fetch_id", "no", "key", "head", "link"])
 
 
 def _train(sites: int):
@@ -450,12 +460,15 @@ def body_lines(responses: DataFrame) -> DataFrame:
     pages = cut(pages)
     site = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1)
     where = pages.select("fetch_id", site.alias("site"), F.xxhash64("url").alias("u"))
-    lines = cut(pages.select("fetch_id", "content_type", "content").mapInArrow(_keys, "fetch_id long, no int, key long").join(where, "fetch_id"))
+    lines = cut(pages.select("fetch_id", "content_type", "content").mapInArrow(_keys, "fetch_id long, no int, key long, head int, link int").join(where, "fetch_id"))
     # distinct pages before distinct sites, both combined before they are shuffled
-    per_site = lines.select("key", "site", "u").distinct().groupBy("key", "site").agg(F.count("*").alias("near"))
-    far = per_site.groupBy("key").agg(F.count("*").alias("far"))
-    spread_of = per_site.join(far, "key").where("far > 1 OR near > 1")
-    spread = lines.join(spread_of, ["key", "site"]).groupBy("fetch_id").agg(F.collect_list(F.struct("no", F.col("far").cast("int").alias("far"), F.col("near").cast("int").alias("near"))).alias("spread"))
+    per_page = lines.groupBy("key", "site", "u").agg(F.max("head").alias("head"), F.max("link").alias("link"))
+    per_site = per_page.groupBy("key", "site").agg(F.count("*").alias("near"), F.sum("head").alias("head"), F.sum("link").alias("link"))
+    # only marked-up pages tell headings and links; a line that stands in plain text alone has none
+    far = per_site.groupBy("key").agg(F.count("*").alias("far"), F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
+    spread_of = per_site.select("key", "site", "near").join(far, "key").where("far > 1 OR near > 1")
+    facts = F.struct("no", F.col("far").cast("int").alias("far"), F.col("near").cast("int").alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
+    spread = lines.join(spread_of, ["key", "site"]).groupBy("fetch_id").agg(F.collect_list(facts).alias("spread"))
     sites = where.select("site").distinct().count()
     known = cut(pages.select("fetch_id", "content_type", "content").join(spread, "fetch_id", "left"))
     order = pages.where(F.col("content").cast("string").rlike("(?i)<(?:main|article)[ >]")).select("fetch_id", F.xxhash64("url").alias("h")).orderBy("h", "fetch_id").limit(TRAINING_PAGES)
