@@ -27,6 +27,7 @@ from sheaf.session import cut
 
 TRAINING_PAGES = 1500  # labelled pages at most, the least by hash of url
 TRAINING_LINES = 120_000
+SCALE = 2.0  # weight of a line's own evidence against its neighbours'
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code em font i img input kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +152,8 @@ class Page:
                 fresh = True
                 continue
             heading = re.match(r"^#{1,6}\s", line) is not None and not fence
-            if fresh or heading or (self.lines and self.lines[-1]["tag"][0] == "h" and not fence):
+            short = _short(line)
+            if fresh or heading or (self.lines and not fence and (self.lines[-1]["tag"][0] == "h" or short != _short(self.lines[-1]["text"]))):
                 block = self._node("pre" if fence else "block", block, None)
                 fresh = False
             linked = sum(len(a) for a in re.findall(r"\[([^\]]*)\]\([^)]*\)", line)) if "](" in line else 0
@@ -160,6 +162,12 @@ class Page:
             self.lines.append({"no": number, "node": block, "text": shown if fence else re.sub(r"^\s*(?:#{1,6}|[-*+•>]|\d+[.)])\s+", "", shown), "linked": linked, "tag": tag, "region": None})
 
 
+def _short(text: str) -> bool:
+    """Few words without a stop: where this changes, one block ends and another begins."""
+    text = text.strip()
+    return len(text.split()) <= 6 and text[-1:] not in ".?!。:;"
+
+
 def line_key(text: str) -> int:
     """Alike for lines that differ in case, punctuation and, if they have four words, in numbers; 64 bits."""
     import xxhash
@@ -330,18 +338,22 @@ def _plus(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def as_text(page: Page) -> Page:
-    """A labelled page as its plain text would be: regions and blocks apart, tags gone; labels stay."""
+def as_text(page: Page, links: bool) -> Page:
+    """A labelled page as its Markdown (with links) or plain text would be: regions and blocks apart, tags gone; labels stay."""
     out = Page("")
     out.html, block = False, 0
-    for region, items in groupby(page.lines, key=lambda a: (a["region"], _holder(page, a["node"]) if a["region"] != 1 else -1)):
-        last = None
+    for k, (region, items) in enumerate(groupby(page.lines, key=lambda a: (a["region"], _holder(page, a["node"]) if a["region"] != 1 else -1))):
+        items, last = list(items), None
+        if region[0] == 0 and k % 2 == 0 and not links:  # menus are also written as one line
+            menu = [a for a in items if a["linked"] * 2 > len(a["text"]) and len(a["text"].split()) <= 3]
+            if len(menu) > 2 and len(menu) == len(items):
+                items = [dict(items[0], text=" | ".join(a["text"] for a in menu), no=-items[0]["no"])]
         for a in items:
             kind = a["tag"] if a["tag"] in ("li", "tr", "td", "pre") else None
-            if last is None or region[0] == 1 and (kind is None or kind != last):
+            if last is None or region[0] == 1 and (kind is None or kind != last[0]) or _short(a["text"]) != last[1]:
                 block = out._node("block", block, region[0])
-            last = kind or "x"
-            out.lines.append(dict(a, node=block, linked=0, tag="p"))
+            last = (kind or "x", _short(a["text"]))
+            out.lines.append(dict(a, node=block, linked=a["linked"] * links, tag="p", was=a["tag"]))
     return out
 
 
@@ -365,9 +377,9 @@ def _examples(page: Page, spread: dict[int, tuple], sites: int):
     A line that many other sites carry belongs to the site, wherever it stands, unless it is a heading.
     """
     common = max(3, 0.015 * sites)
-    labels = [None if a["region"] is None else int(a["region"] == 1 and (a["tag"][0] == "h" or spread.get(a["no"], (1, 1))[0] < common)) for a in page.lines]
     rows, edges = [], []
-    for view, plain in ((page, False), (as_text(page), True)):
+    for view, plain in ((page, False), (as_text(page, False), True), (as_text(page, True), True)):
+        labels = [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 1))[0] < common)) for a in view.lines]
         x = features(view, spread, sites, plain)
         rows += [(plain, y, v.tolist()) for y, v in zip(labels, x) if y is not None]
         votes: dict[int, list[int]] = {}
@@ -434,7 +446,7 @@ def _infer(sites: int, model):
                 if not page.lines:
                     continue
                 x = features(page, spread, sites)
-                p = marginals(page, np.clip(x @ np.array(model["html" if page.html else "plain"]), -12, 12), model["agree"])
+                p = marginals(page, np.clip(SCALE * (x @ np.array(model["html" if page.html else "plain"])), -15, 15), model["agree"])
                 for a, q in zip(page.lines, p):
                     ids.append(fetch_id), numbers.append(a["no"]), texts.append(a["text"]), ps.append(float(q))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(ps, pa.float64())], names=["fetch_id", "line_no", "text", "p"])
