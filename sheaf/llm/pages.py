@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sheaf.session import cut
 
-TRAINING_PAGES = 1500  # labelled pages at most, the least by hash of url
-TRAINING_LINES = 120_000
+TRAINING_PAGES = 600  # labelled pages at most, the least by hash of url
+TRAINING_LINES = 300_000
 SCALE = 2.0  # weight of a line's own evidence against its neighbours'
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code em font i img input kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
