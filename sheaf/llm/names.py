@@ -72,7 +72,8 @@ def organisation(name: str) -> list[str] | None:
     text = re.sub(r"\([^)]*\)", " ", plain(name))
     text = re.sub(r",?\s*on behalf of.*$|^on behalf of\s+|,?\s*for the\b.*$", " ", text)
     words = re.findall(r"[a-z0-9]+", text)
-    if not (any(w in _SURE for w in words) or sum(w in ORGANISATION for w in words) >= 2):
+    ends = "," not in text and len(words) > 2 and (words[-1] in ORGANISATION or words[0] in ORGANISATION)
+    if not (any(w in _SURE for w in words) or ends or sum(w in ORGANISATION for w in words) >= 2):
         return None
     out = []
     for w in words:
@@ -139,7 +140,7 @@ def _given(text: str) -> tuple[str, str]:
         else:
             first += letters
     # umlauts are also written with an e
-    return re.sub(r"(?<!q)ue(?=[a-z]{2})", "u", "".join(words)), first
+    return re.sub(r"(?<![qu])ue(?=[a-z]{2})", "u", "".join(words)), first
 
 
 _READ = pa.schema([("name", pa.string()), ("org", pa.bool_()), ("r", pa.int32()), ("family", pa.string()), ("first_part", pa.string()), ("given", pa.string()), ("initials", pa.string()), ("sure", pa.bool_())])
@@ -198,7 +199,9 @@ def slips(tokens: DataFrame) -> DataFrame:
         .select("token", "canon", "role", "m")
     )
     near = pairs.mapInArrow(_near, "token string, canon string, role string, m long")
-    return near.groupBy("role", "token").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
+    once = near.groupBy("role", "token").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
+    # a token that slipped from a slip
+    return once.join(once.select("role", F.col("token").alias("canon"), F.col("canon").alias("origin")), ["role", "canon"], "left").select("role", "token", F.coalesce("origin", "canon").alias("canon"))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +256,17 @@ def linked_names(records: DataFrame) -> DataFrame:
     # full given names: an author for each family and given name
     formals = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
     people = cut(people.withColumn("formal", F.split(F.try_element_at(formals, F.col("given")), " ")).withColumn("full", (F.col("given") != "") & F.col("formal").isNull()).withColumn("cluster", F.concat_ws("|", F.lit("p"), "family", "given")))
-    settled = people.where("full").select("name", "cluster")
     known = people.where("full").select("family", "given", F.substring("initials", 1, 1).alias("i"), "cluster").distinct()
-    # nicknames and initials: the authors of the family they fit
-    asked = people.where("NOT full").select("name", "family", "formal", F.substring("initials", 1, 1).alias("i0"))
-    fits = F.when(F.col("formal").isNotNull(), F.array_contains("formal", F.col("given"))).otherwise((F.col("i0") != "") & (F.col("i") == F.col("i0")))
-    options = cut(asked.join(known, "family").where(fits).select("name", "cluster").withColumn("n", F.count("*").over(Window.partitionBy("name"))))
+    # a nickname whose full form the family does not have stands for its first full form
+    nick = people.where("formal IS NOT NULL").select("name", "family", "formal", F.substring("initials", 1, 1).alias("i0"))
+    found_formal = nick.join(known.select("family", "given", "cluster"), "family").where(F.array_contains("formal", F.col("given"))).select("name", "cluster")
+    unknown = cut(nick.join(found_formal.select("name").distinct(), "name", "left_anti").withColumn("cluster", F.concat_ws("|", F.lit("p"), "family", F.col("formal")[0])))
+    settled = people.where("full").select("name", "cluster").unionByName(unknown.select("name", "cluster"))
+    by_initial = known.select("family", "i", "cluster").unionByName(unknown.select("family", F.explode(F.array("i0", F.substring(F.col("formal")[0], 1, 1))).alias("i"), "cluster")).distinct()
+    # initials: the authors of the family they fit
+    asked = people.where("NOT full AND formal IS NULL").select("name", "family", F.substring("initials", 1, 1).alias("i0"))
+    fits = asked.where("i0 <> ''").join(by_initial.withColumnRenamed("i", "i0"), ["family", "i0"]).select("name", "cluster")
+    options = cut(fits.unionByName(found_formal).distinct().withColumn("n", F.count("*").over(Window.partitionBy("name"))))
     single = options.where("n = 1").select("name", "cluster")
 
     # several: who shares papers (but no record) and ORCIDs with the string
@@ -271,8 +279,8 @@ def linked_names(records: DataFrame) -> DataFrame:
     weighed = shared.unionByName(by_id).groupBy("name", "cluster").agg(F.sum("w").alias("w")).where("w > 0")
     decided = weighed.groupBy("name").agg(F.max_by("cluster", F.struct("w", "cluster")).alias("cluster"), F.sort_array(F.collect_list("w"), asc=False).alias("ws")).where(F.coalesce(F.get("ws", F.lit(1)), F.lit(0)) < F.get("ws", F.lit(0))).select("name", "cluster")
 
-    # neither: names of one family with the same nickname, the same initials or no given name
-    lone = F.concat_ws("|", F.lit("l"), "family", F.coalesce(F.get("formal", F.lit(0)), F.lit("")), F.when(F.col("formal").isNull(), F.col("i0")).otherwise(F.lit("")))
+    # neither: names of one family with the same initial or no given name
+    lone = F.concat_ws("|", F.lit("l"), "family", "i0")
     placed = settled.unionByName(single).unionByName(decided).unionByName(orgs).select("name", "cluster", F.lit(0).alias("rank"))
     undecided = several.select("name", F.concat(F.lit("n|"), F.col("name")).alias("cluster"), F.lit(1).alias("rank"))
     others = asked.select("name", lone.alias("cluster"), F.lit(2).alias("rank"))

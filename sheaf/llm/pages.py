@@ -182,8 +182,8 @@ FEATURES = 50
 
 
 def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | None = None) -> np.ndarray:
-    """What each line looks like. spread: line -> (sites, pages of this site) that carry it, and in what
-    share of them it is a heading and a link.
+    """What each line looks like. spread: line -> (sites that carry it, share of
+    this site's other pages that do, and in what share of all it is a heading and a link).
 
     With ``plain`` the tags are not looked at, as in text.
     """
@@ -197,9 +197,11 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
     stop = np.array([a["text"][-1] in ".?!。:;”\"" for a in lines], dtype=float)
     full = np.array([a["text"][-1] in ".?!。" and w > 4 for a, w in zip(lines, words)], dtype=float)
     link = np.array([min(1.0, a["linked"] / max(1, len(a["text"]))) for a in lines])
-    far = np.array([spread.get(a["no"], (1, 1))[0] for a in lines], dtype=float)
-    near = np.array([spread.get(a["no"], (1, 1))[1] for a in lines], dtype=float)
-    often = np.log(far) + 0.7 * np.log(near)
+    # shares of the other sites and of the site's other pages, so that they mean the same at every size
+    far = np.array([(spread.get(a["no"], (1, 0))[0] - 1) / max(1, sites) for a in lines])
+    near = np.array([spread.get(a["no"], (1, 0))[1] for a in lines], dtype=float)
+    wide = np.log1p(200 * far)
+    often = wide + 2 * near
     first_long = next((i for i in range(n) if full[i] and words[i] >= 8 and often[i] < 0.7), n)
     last_long = next((i for i in range(n - 1, -1, -1) if full[i] and words[i] >= 8 and often[i] < 0.7), -1)
     groups: dict[int, list[int]] = {}
@@ -228,10 +230,10 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
         x[i, 2] = stop[i]
         x[i, 3] = full[i]
         x[i, 4] = link[i]
-        x[i, 5] = min(4, math.log(far[i]))
-        x[i, 6] = min(3, math.log(near[i]))
-        x[i, 7] = far[i] > 1
-        x[i, 8] = near[i] > 1
+        x[i, 5] = min(4, wide[i])
+        x[i, 6] = 3 * near[i]
+        x[i, 7] = far[i] > 0.008
+        x[i, 8] = near[i] > 0.3
         x[i, 9] = "|" in t and not t.startswith("|")
         x[i, 10] = "©" in t or "(c)" in t.lower() or "�" in t[:2]
         x[i, 11] = i < top
@@ -260,14 +262,14 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
         x[i, 40] = link[i] if words[i] > 6 else 0
         x[i, 42] = x[i, 17] * (1 - x[i, 39])
         x[i, 43] = words[i] <= 8 and not stop[i] and i > last_long
-        if far[i] > 1:
+        if far[i] > 0.004:
             head, linked = spread[a["no"]][2:4]
             x[i, 44] = head
             x[i, 45] = linked
-            x[i, 46] = min(4, math.log(far[i])) * (1 - head)
-            x[i, 47] = far[i] > 2 and head < 0.3 and words[i] <= 8
-            x[i, 48] = far[i] > 2 and head > 0.6 and linked < 0.3
-            x[i, 49] = min(4, math.log(far[i])) * (x[i, 26] and x[i, 27])
+            x[i, 46] = min(4, wide[i]) * (1 - head)
+            x[i, 47] = far[i] > 0.01 and head < 0.3 and words[i] <= 8
+            x[i, 48] = far[i] > 0.01 and head > 0.6 and linked < 0.3
+            x[i, 49] = min(4, wide[i]) * (x[i, 26] and x[i, 27])
         if headish:
             heading, since = often[i], 0
         else:
@@ -379,7 +381,7 @@ def _examples(page: Page, spread: dict[int, tuple], sites: int):
     common = max(3, 0.015 * sites)
     rows, edges = [], []
     for view, plain in ((page, False), (as_text(page, False), True), (as_text(page, True), True)):
-        labels = [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 1))[0] < common)) for a in view.lines]
+        labels = [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 0))[0] < common)) for a in view.lines]
         x = features(view, spread, sites, plain)
         rows += [(plain, y, v.tolist()) for y, v in zip(labels, x) if y is not None]
         votes: dict[int, list[int]] = {}
@@ -478,8 +480,9 @@ def body_lines(responses: DataFrame) -> DataFrame:
     per_site = per_page.groupBy("key", "site").agg(F.count("*").alias("near"), F.sum("head").alias("head"), F.sum("link").alias("link"))
     # only marked-up pages tell headings and links; a line that stands in plain text alone has none
     far = per_site.groupBy("key").agg(F.count("*").alias("far"), F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
-    spread_of = per_site.select("key", "site", "near").join(far, "key").where("far > 1 OR near > 1")
-    facts = F.struct("no", F.col("far").cast("int").alias("far"), F.col("near").cast("int").alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
+    site_pages = where.groupBy("site").agg(F.count_distinct("u").alias("pages_here"))
+    spread_of = per_site.select("key", "site", "near").join(far, "key").where("far > 1 OR near > 1").join(site_pages, "site")
+    facts = F.struct("no", F.col("far").cast("int").alias("far"), ((F.col("near") - 1) / F.greatest(F.col("pages_here") - 1, F.lit(1))).alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
     spread = lines.join(spread_of, ["key", "site"]).groupBy("fetch_id").agg(F.collect_list(facts).alias("spread"))
     sites = where.select("site").distinct().count()
     known = cut(pages.select("fetch_id", "content_type", "content").join(spread, "fetch_id", "left"))

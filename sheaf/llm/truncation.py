@@ -44,7 +44,7 @@ FROM (
       WHEN line RLIKE '^#' THEN 'heading'
       WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list'
       ELSE 'prose' END AS kind,
-    split(regexp_replace(regexp_replace(regexp_replace(line, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+', 'X'), '\\p{{N}}+', 'n'), ' ') AS words,
+    split(regexp_replace(regexp_replace(regexp_replace(line, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+w?', 'X'), '\\p{{N}}+', 'n'), ' ') AS words,
     regexp_like(right(line, 8), '(\\.\\.\\.|…|\\x{{FFFD}}|\\[(\\.\\.\\.|…)\\])$') AS marked
   FROM (
     SELECT doc_id, source, n, spoken, fences, substring_index(tail, '\n', -1) AS line
@@ -65,7 +65,7 @@ SELECT kind, g, count(*) AS inside FROM (
     SELECT CASE WHEN line RLIKE '^\\s*[|]' THEN 'table' WHEN line RLIKE '^#' THEN 'heading'
         WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list' ELSE 'prose' END AS kind,
       split(line, ' ') AS w
-    FROM (SELECT explode(split(regexp_replace(regexp_replace(regexp_replace(text, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+', 'X'), '\\p{{N}}+', 'n'), '\n')) AS line
+    FROM (SELECT explode(split(regexp_replace(regexp_replace(regexp_replace(text, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+w?', 'X'), '\\p{{N}}+', 'n'), '\n')) AS line
           FROM {documents} WHERE text IS NOT NULL)
     WHERE line LIKE '% % % %')
   WHERE size(w) > 3)
