@@ -3,7 +3,7 @@
 Tree-structured graphical model: a page is a tree of its elements (in Markdown
 and plain text a chain of blocks) with its lines as leaves, and each node is
 main body or not. A line's own evidence comes from a logistic model of what it
-looks like and how many other sites and pages carry it; parent-child potentials
+looks like and how many other pages carry it; parent-child potentials
 say how often a child is what its parent is. Sum-product messages upward and
 downward give every line's marginal. Both are trained on pages whose markup
 names its regions (main, article; nav, aside, footer, dialog); as the model
@@ -169,20 +169,22 @@ def _short(text: str) -> bool:
 
 
 def line_key(text: str) -> int:
-    """Alike for lines that differ in case, punctuation and, if they have four words, in numbers; 64 bits."""
+    """Alike for lines that differ in case, punctuation, what follows a short lead with a colon and, if they
+    have four words, in numbers; 64 bits."""
     import xxhash
 
-    words = re.findall(r"\w+", text.lower())
+    lead = re.match(r"\s*(\w[^:.?!]{2,24}):\s", text)
+    words = re.findall(r"\w+", (lead[1] + " lead" if lead else text).lower())
     if len(words) > 3:
         words = ["0" if w.isdigit() else w for w in words]
     return xxhash.xxh64(" ".join(words)).intdigest() - (1 << 63)
 
 
-FEATURES = 50
+FEATURES = 52
 
 
-def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | None = None) -> np.ndarray:
-    """What each line looks like. spread: line -> (sites that carry it, share of
+def features(page: Page, spread: dict[int, tuple], total: int, plain: bool | None = None) -> np.ndarray:
+    """What each line looks like. spread: line -> (pages that carry it, share of
     this site's other pages that do, and in what share of all it is a heading and a link).
 
     With ``plain`` the tags are not looked at, as in text.
@@ -197,10 +199,10 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
     stop = np.array([a["text"][-1] in ".?!。:;”\"" for a in lines], dtype=float)
     full = np.array([a["text"][-1] in ".?!。" and w > 4 for a, w in zip(lines, words)], dtype=float)
     link = np.array([min(1.0, a["linked"] / max(1, len(a["text"]))) for a in lines])
-    # shares of the other sites and of the site's other pages, so that they mean the same at every size
-    far = np.array([(spread.get(a["no"], (1, 0))[0] - 1) / max(1, sites) for a in lines])
+    # shares of all pages and of the site's other pages, so that they mean the same at every size
+    far = np.array([max(0, spread.get(a["no"], (1, 0))[0] - 2) / max(1, total) for a in lines])
     near = np.array([spread.get(a["no"], (1, 0))[1] for a in lines], dtype=float)
-    wide = np.log1p(200 * far)
+    wide = np.log1p(2000 * far)
     often = wide + 2 * near
     first_long = next((i for i in range(n) if full[i] and words[i] >= 8 and often[i] < 0.7), n)
     last_long = next((i for i in range(n - 1, -1, -1) if full[i] and words[i] >= 8 and often[i] < 0.7), -1)
@@ -232,7 +234,7 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
         x[i, 4] = link[i]
         x[i, 5] = min(4, wide[i])
         x[i, 6] = 3 * near[i]
-        x[i, 7] = far[i] > 0.008
+        x[i, 7] = far[i] > 0.002
         x[i, 8] = near[i] > 0.3
         x[i, 9] = "|" in t and not t.startswith("|")
         x[i, 10] = "©" in t or "(c)" in t.lower() or "�" in t[:2]
@@ -257,18 +259,20 @@ def features(page: Page, spread: dict[int, tuple], sites: int, plain: bool | Non
             x[i, 34] = tag in ("h3", "h4")
             x[i, 35] = tag in ("td", "tr", "th")
             x[i, 36] = tag == "button"
+            x[i, 50] = tag in ("div", "section", "article", "main", "body", "span")
+            x[i, 51] = x[i, 50] and words[i] <= 8
             x[i, 37] = tag in ("pre", "blockquote")
         x[i, 39] = full[i] and often[i] < 0.7
         x[i, 40] = link[i] if words[i] > 6 else 0
         x[i, 42] = x[i, 17] * (1 - x[i, 39])
         x[i, 43] = words[i] <= 8 and not stop[i] and i > last_long
-        if far[i] > 0.004:
+        if far[i] > 0.0005:
             head, linked = spread[a["no"]][2:4]
             x[i, 44] = head
             x[i, 45] = linked
             x[i, 46] = min(4, wide[i]) * (1 - head)
-            x[i, 47] = far[i] > 0.01 and head < 0.3 and words[i] <= 8
-            x[i, 48] = far[i] > 0.01 and head > 0.6 and linked < 0.3
+            x[i, 47] = far[i] > 0.002 and head < 0.3 and words[i] <= 8
+            x[i, 48] = far[i] > 0.002 and head > 0.6 and linked < 0.3
             x[i, 49] = min(4, wide[i]) * (x[i, 26] and x[i, 27])
         if headish:
             heading, since = often[i], 0
@@ -373,16 +377,16 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, r
     return w
 
 
-def _examples(page: Page, spread: dict[int, tuple], sites: int):
+def _examples(page: Page, spread: dict[int, tuple], total: int):
     """Training rows of a labelled page: (plain, label, features) of its lines and (kind, agrees) of its edges.
 
-    A line that many other sites carry belongs to the site, wherever it stands, unless it is a heading.
+    A line that many other pages carry belongs to the site, wherever it stands, unless it is a heading.
     """
-    common = max(3, 0.015 * sites)
+    common = max(4, 0.003 * total)
     rows, edges = [], []
     for view, plain in ((page, False), (as_text(page, False), True), (as_text(page, True), True)):
         labels = [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 0))[0] < common)) for a in view.lines]
-        x = features(view, spread, sites, plain)
+        x = features(view, spread, total, plain)
         rows += [(plain, y, v.tolist()) for y, v in zip(labels, x) if y is not None]
         votes: dict[int, list[int]] = {}
         for a, y in zip(view.lines, labels):
@@ -422,7 +426,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64()), pa.array(heads, pa.int32()), pa.array(links, pa.int32())], names=["fetch_id", "no", "key", "head", "link"])
 
 
-def _train(sites: int):
+def _train(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain, label, x, kinds, agrees = [], [], [], [], []
@@ -430,7 +434,7 @@ def _train(sites: int):
                 regions = {a["region"] for a in page.lines}
                 if not {0, 1} <= regions:
                     continue
-                rows, edges = _examples(page, spread, sites)
+                rows, edges = _examples(page, spread, total)
                 for p, y, v in rows:
                     plain.append(p), label.append(y), x.append(v), kinds.append(None), agrees.append(None)
                 for k, y in edges:
@@ -440,14 +444,14 @@ def _train(sites: int):
     return run
 
 
-def _infer(sites: int, model):
+def _infer(total: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, texts, ps = [], [], [], []
             for fetch_id, page, spread in _pages(batch):
                 if not page.lines:
                     continue
-                x = features(page, spread, sites)
+                x = features(page, spread, total)
                 p = marginals(page, np.clip(SCALE * (x @ np.array(model["html" if page.html else "plain"])), -15, 15), model["agree"])
                 for a, q in zip(page.lines, p):
                     ids.append(fetch_id), numbers.append(a["no"]), texts.append(a["text"]), ps.append(float(q))
@@ -460,9 +464,9 @@ def body_lines(responses: DataFrame) -> DataFrame:
     """(fetch_id, line_no, text, p): the lines of each page with their probability of being main body.
 
     Only responses with status 200 and content; re-delivered rows count once.
-    Line statistics cover all pages: a line's sites and its pages on the own
-    site, pages fetched again counting once. Without labelled pages every
-    line's evidence is its default (long sentences that no other site has).
+    Line statistics cover all pages: how many carry a line, and how many of the
+    own site, pages fetched again counting once. Without labelled pages every
+    line's evidence is its default (long sentences that no other page has).
     """
     spark = responses.sparkSession
     content_type = F.get(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == "content-type")), F.lit(0))
@@ -479,17 +483,17 @@ def body_lines(responses: DataFrame) -> DataFrame:
     per_page = lines.groupBy("key", "site", "u").agg(F.max("head").alias("head"), F.max("link").alias("link"))
     per_site = per_page.groupBy("key", "site").agg(F.count("*").alias("near"), F.sum("head").alias("head"), F.sum("link").alias("link"))
     # only marked-up pages tell headings and links; a line that stands in plain text alone has none
-    far = per_site.groupBy("key").agg(F.count("*").alias("far"), F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
+    far = per_site.groupBy("key").agg(F.count("*").alias("sites"), F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
     site_pages = where.groupBy("site").agg(F.count_distinct("u").alias("pages_here"))
-    spread_of = per_site.select("key", "site", "near").join(far, "key").where("far > 1 OR near > 1").join(site_pages, "site")
-    facts = F.struct("no", F.col("far").cast("int").alias("far"), ((F.col("near") - 1) / F.greatest(F.col("pages_here") - 1, F.lit(1))).alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
+    spread_of = per_site.select("key", "site", "near").join(far, "key").where("pages > 1").join(site_pages, "site")
+    facts = F.struct("no", F.col("pages").cast("int").alias("far"), ((F.col("near") - 1) / F.greatest(F.col("pages_here") - 1, F.lit(1))).alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
     spread = lines.join(spread_of, ["key", "site"]).groupBy("fetch_id").agg(F.collect_list(facts).alias("spread"))
-    sites = where.select("site").distinct().count()
+    total = where.select("u").distinct().count()
     known = cut(pages.select("fetch_id", "content_type", "content").join(spread, "fetch_id", "left"))
     order = pages.where(F.col("content").cast("string").rlike("(?i)<(?:main|article)[ >]")).select("fetch_id", F.xxhash64("url").alias("h")).orderBy("h", "fetch_id").limit(TRAINING_PAGES)
-    sample = known.join(order.select("fetch_id"), "fetch_id", "left_semi").mapInArrow(_train(sites), "plain boolean, label int, x array<double>, kind string, agrees int")
+    sample = known.join(order.select("fetch_id"), "fetch_id", "left_semi").mapInArrow(_train(total), "plain boolean, label int, x array<double>, kind string, agrees int")
     model = _learn(sample.limit(TRAINING_LINES).toArrow())
-    return known.mapInArrow(_infer(sites, model), "fetch_id long, line_no int, text string, p double")
+    return known.mapInArrow(_infer(total, model), "fetch_id long, line_no int, text string, p double")
 
 
 def _learn(rows: pa.Table) -> dict:
