@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.plans import search
+from sheaf.plans import scalars, search
 
 
 def _modules():
-    return (search,)
+    return (search, scalars)
 
 
 def queries() -> dict:

@@ -16,9 +16,9 @@ QUERIES = {"q4_bm25_documents": q4_bm25_documents}
 
 SQL = {
     "q4_bm25_documents": """
-with w as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}]+'), x -> strlen(x) < 40) as w from documents),
+with w as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text,'')), '[\\p{L}\\p{N}]+'), lambda x: strlen(x) < 40) as w from documents),
 tf as (select doc_id, len(w)::double as l,
-  len(list_filter(w, x -> x = 'scorecard'))::double as t0, len(list_filter(w, x -> x = 'distant'))::double as t1, len(list_filter(w, x -> x = 'verified'))::double as t2 from w),
+  len(list_filter(w, lambda x: x = 'scorecard'))::double as t0, len(list_filter(w, lambda x: x = 'distant'))::double as t1, len(list_filter(w, lambda x: x = 'verified'))::double as t2 from w),
 s as (select count(*)::double as n, avg(l) as a, sum((t0>0)::int)::double as d0, sum((t1>0)::int)::double as d1, sum((t2>0)::int)::double as d2 from tf)
 select doc_id, round(
   ln(1+(n-d0+0.5)/(d0+0.5))*t0*2.2/(t0+1.2*(1-0.75+0.75*l/a)) +
