@@ -46,9 +46,9 @@ def without_card_header(card: Column) -> Column:
 
 
 def content_class(content_type: Column) -> Column:
-    """html, json, xml, text or unsupported, in this order."""
-    t = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(t.contains("html"), "html").when(t.contains("json"), "json").when(t.contains("xml"), "xml").when(t.startswith("text/"), "text").otherwise("unsupported")
+    """html, json, xml or plain text, in this order; null for what is not read."""
+    t = content_type
+    return F.when(t.rlike("text/html|application/xhtml"), "html").when(t.rlike("(?:application|text)/json"), "json").when(t.rlike("(?:application|text)/xml"), "xml").when(t.contains("text/plain"), "plain text")
 
 
 def clock(seconds: Column) -> Column:
@@ -93,22 +93,29 @@ def elapsed(at: Column, since: Column) -> Column:
 
 def severity(score: Column) -> Column:
     """Band of a vulnerability score."""
-    return F.when(score.isNull(), "unknown").when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise("none")
+    return F.when(score >= 9, "Critical").when(score >= 7, "High").when(score >= 4, "Medium").when(score > 0, "Low").when(score.isNotNull(), "None")
 
 
 def doi_rank(doi: Column) -> Column:
-    """Publisher 3, biological preprint 2, preprint 1, repository 0."""
-    return F.when(doi.startswith("github:"), 0).when(doi.startswith("10.48550/"), 1).when(doi.startswith("10.1101/"), 2).otherwise(3)
+    """Publisher 2, biological preprint server 1, preprint server 0."""
+    return F.when(doi.startswith("10.48550/arXiv."), 0).when(doi.startswith("10.1101/"), 1).when(doi.isNotNull(), 2)
 
 
 def human_bytes(n: Column) -> Column:
+    """GiB with two places, MiB with one, else bytes; null for none."""
     v = n.cast("double")
-    return F.when(v < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(v < 1024**2, F.format_string("%.1f KB", v / 1024)).when(v < 1024**3, F.format_string("%.1f MB", v / 1024**2)).otherwise(F.format_string("%.1f GB", v / 1024**3))
+    return F.when(v >= 1024**3, F.format_string("%.2f GiB", F.bround(v / 1024**3, 2))).when(v >= 1024**2, F.format_string("%.1f MiB", F.bround(v / 1024**2, 1))).when(v > 0, F.concat(F.format_number(n, 0), F.lit(" B")))
 
 
 def human_count(n: Column) -> Column:
+    """Billions and millions with one place, else the number; null for none."""
     v = n.cast("double")
-    return F.when(v >= 1e12, F.format_string("%.2fT", v / 1e12)).when(v >= 1e9, F.format_string("%.2fB", v / 1e9)).when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(n.cast("bigint").cast("string"))
+    return F.when(v >= 1e9, F.format_string("%.1fB", F.bround(v / 1e9, 1))).when(v >= 1e6, F.format_string("%.1fM", F.bround(v / 1e6, 1))).when(v > 0, F.format_number(n, 0))
+
+
+def log_bytes(n: Column) -> Column:
+    v = n.cast("double")
+    return F.when(v < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(v < 1024**2, F.format_string("%.1f KB", F.bround(v / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(v / 1024**2, 1)))
 
 
 def repo_number(query: Column) -> Column:
@@ -139,10 +146,14 @@ def repo_rev(query: Column) -> Column:
     return F.struct(F.split_part(query, F.lit("@"), F.lit(1)).alias("repo"), F.coalesce(F.nullif(F.split_part(query, F.lit("@"), F.lit(2)), F.lit("")), F.lit("main")).alias("rev"))
 
 
-def family_stem(name: Column) -> Column:
-    """A model's name without the suffixes of its conversions, as often as they repeat."""
-    stem = F.regexp_replace(name, r"(?i)(?:[-_.](?:gguf|gptq|awq|mlx|exl2|int4|int8|fp8|fp16|bf16|q\d\w*|\d+bit|4bit|8bit|instruct-4bit|quantized))+$", "")
-    return F.when(stem == "", name).otherwise(stem)
+# fixed values: marks that conversions append to a model's name
+CONVERSIONS = r"\d+bit|\d+-bit|q\d+(?:_[kms0-9]+)*|oq\d+|gguf|mlx|awq|gptq|exl\d*|fp\d+|int\d+|bf16|f16|mxfp\d+|hf|lm|instruct-\d+bit"
+
+
+def family_stem(repo: Column) -> Column:
+    """A model's name without the marks of its conversions, however many; never empty."""
+    name = F.element_at(F.split(repo, "/"), -1)
+    return F.regexp_replace(name, rf"(?i)(?<=.)(?:[-_.](?:{CONVERSIONS}))+$", "")
 
 
 def bold_snippet(html: Column) -> Column:

@@ -119,7 +119,7 @@ def code_match(url: Column, signed_in: bool = False) -> Column:
     """Struct kind, owner, repo, number, ref, path of a code host URL; null for others."""
     at = r"(?i)^https?://(?:www\.)?github\.com/"
     path = F.regexp_replace(F.regexp_replace(url, at, ""), r"[?#].*$|/+$", "")
-    path = F.regexp_replace(path, r"/+$", "")
+    path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"^([^/]+/[^/]+?)\.git(/|$)", "$1$2")
     return bound(F.struct(url.alias("u"), F.split(path, "/").alias("seg")), lambda b: _code_match(b["u"], b["seg"], signed_in))
 
 
@@ -163,11 +163,12 @@ def video_match(url: Column) -> Column:
     """Struct kind, id of a video site URL; the music host is told apart first."""
     host = r"https?://(?:www\.|m\.)?youtube\.com/"
     video = F.coalesce(
-        first_group(url, rf"(?i){host}(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|live/|v/)([A-Za-z0-9_-]{{11}})"),
+        first_group(url, rf"(?i){host}(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|v/)([A-Za-z0-9_-]{{11}})"),
         first_group(url, r"(?i)https?://youtu\.be/([A-Za-z0-9_-]{11})"),
+        first_group(url, rf"(?i){host}clip/([A-Za-z0-9_-]+)"),
     )
     handle = first_group(url, rf"(?i){host}(@[A-Za-z0-9._-]+)")
-    channel = first_group(url, rf"(?i){host}(?:channel|c|user)/([A-Za-z0-9._-]+)")
+    channel = first_group(url, rf"(?i){host}(?:channel/(?=UC[A-Za-z0-9_-]{{22}})|c/|user/)([A-Za-z0-9._-]+)")
     playlist = first_group(url, rf"(?i){host}playlist\?(?:[^#]*&)?list=([A-Za-z0-9_-]+)")
     pick = lambda kind, ident: F.struct(F.lit(kind).alias("kind"), ident.alias("id"))
     return (

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.plans import scalars, search
+from sheaf.plans import scalars, search, structure, timed
 
 
 def _modules():
-    return (search, scalars)
+    return (search, scalars, structure, timed)
 
 
 def queries() -> dict:

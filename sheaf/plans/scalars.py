@@ -45,11 +45,11 @@ _SQL_RFC = "coalesce(" + _ex(r"https?://www\.rfc-editor\.org/rfc/rfc(\d+)(?:\.js
 _SQL_DRAFT = f"CASE WHEN {_SQL_RFC} IS NULL THEN " + _ex(r"https?://datatracker\.ietf\.org/doc/(draft-[\w.-]+)") + " END"
 _SQL_REDDIT = f"CASE WHEN regexp_matches(url, '^https?://redd\\.it/\\w+', 'i') THEN 'short_link' WHEN regexp_matches(url, '^https?://(?:(?:www|old|new|np)\\.)?reddit\\.com/', 'i') THEN CASE WHEN regexp_matches({_PATH}, '/(?:r/[^/]+/)?comments/\\w+', 'i') THEN 'comment_thread' WHEN regexp_matches({_PATH}, '/search/?$', 'i') THEN 'search' WHEN regexp_matches({_PATH}, '/(?:u|user)/[^/]+', 'i') THEN 'user' ELSE 'subreddit' END END"
 _YT = r"https?://(?:www\.|m\.)?youtube\.com/"
-_SQL_VIDEO = "coalesce(" + _ex(_YT + r"(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|live/|v/)([A-Za-z0-9_-]{11})") + ", " + _ex(r"https?://youtu\.be/([A-Za-z0-9_-]{11})") + ")"
-_SQL_HANDLE, _SQL_CHANNEL, _SQL_LIST = _ex(_YT + r"(@[A-Za-z0-9._-]+)"), _ex(_YT + r"(?:channel|c|user)/([A-Za-z0-9._-]+)"), _ex(_YT + r"playlist\?(?:[^#]*&)?list=([A-Za-z0-9_-]+)")
+_SQL_VIDEO = "coalesce(" + _ex(_YT + r"(?:watch\?(?:[^#]*&)?v=|shorts/|embed/|v/)([A-Za-z0-9_-]{11})") + ", " + _ex(r"https?://youtu\.be/([A-Za-z0-9_-]{11})") + ", " + _ex(_YT + r"clip/([A-Za-z0-9_-]+)") + ")"
+_SQL_HANDLE, _SQL_CHANNEL, _SQL_LIST = _ex(_YT + r"(@[A-Za-z0-9._-]+)"), "coalesce(" + _ex(_YT + r"channel/(UC[A-Za-z0-9_-]{22}[A-Za-z0-9._-]*)") + ", " + _ex(_YT + r"(?:c|user)/([A-Za-z0-9._-]+)") + ")", _ex(_YT + r"playlist\?(?:[^#]*&)?list=([A-Za-z0-9_-]+)")
 _SQL_MUSIC = "regexp_matches(url, 'https?://music\\.youtube\\.com/', 'i')"
 _RES = "('" + "','".join(u.CODE_RESERVED) + "')"
-_CP = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://(?:www\\.)?github\\.com/', '', 'i'), '[?#].*$', ''), '/+$', '')"
+_CP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://(?:www\\.)?github\\.com/', '', 'i'), '[?#].*$', ''), '/+$', ''), '^([^/]+/[^/]+?)\\.git(/|$)', '\\1\\2')"
 _SEG = f"string_split({_CP}, '/')"
 _CODE_ARG, _CODE_TAIL = f"{_SEG}[4]", f"nullif(array_to_string(list_slice({_SEG}, 5, 100), '/'), '')"
 _SQL_CODE = f"""CASE WHEN regexp_matches(url, '^https?://raw\\.githubusercontent\\.com/[^/]+/[^/]+/[^/]+/[^?#]+', 'i') THEN 'blob'
@@ -113,7 +113,7 @@ _over("x11_section_number", [(1, "13.2.6 Tree construction"), (2, "15\\. Securit
 _over("h9_spaces", [(1, "a\u00a0b\u2003c\u200bd"), (2, "plain"), (3, None), (4, "\ufeffx\u3000y")], "id long, v string", {"text": (lambda: tx.plain_spaces(F.col("v")), "regexp_replace(v, '[\\x{00A0}\\x{2000}-\\x{200B}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]', ' ', 'g')")})
 _over("h8_heading_text", [(1, "Real **Heading**"), (2, "[](#intro)Intro"), (3, "![logo](x.png) Title `code`"), (4, "[a](u\\(b\\)) c"), (5, None)], "id long, v string", {"text": (lambda: tx.heading_text(F.col("v")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '!\\[([^\\]]*)\\]\\((?:\\\\[()]|[^()])*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\((?:\\\\[()]|[^()])*\\)', '\\1', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '`([^`]+)`', '\\1', 'g'))")})
 _over("h16_card_header", [(1, "---\nlicense: mit\n---\n# Card\n---\nx"), (2, "# None\n---\n"), (3, None), (4, "---\na\n---\n---\nb\n---\n")], "id long, v string", {"card": (lambda: tx.without_card_header(F.col("v")), "regexp_replace(v, '^(?s:---\\n.*?\\n---\\n)', '')")})
-_over("s4_content_class", [(1, "text/html; charset=utf-8"), (2, "application/json"), (3, "application/rss+xml"), (4, "text/plain"), (5, "image/png"), (6, None), (7, "application/xhtml+xml")], "id long, v string", {"kind": (lambda: tx.content_class(F.col("v")), "CASE WHEN contains(lower(v), 'html') THEN 'html' WHEN contains(lower(v), 'json') THEN 'json' WHEN contains(lower(v), 'xml') THEN 'xml' WHEN starts_with(lower(v), 'text/') THEN 'text' ELSE 'unsupported' END")})
+_over("s4_content_class", [(1, "text/html; charset=utf-8"), (2, "application/json"), (3, "application/xml"), (4, "text/plain"), (5, "image/png"), (6, None), (7, "application/xhtml+xml")], "id long, v string", {"kind": (lambda: tx.content_class(F.col("v")), "CASE WHEN regexp_matches(v, 'text/html|application/xhtml') THEN 'html' WHEN regexp_matches(v, '(?:application|text)/json') THEN 'json' WHEN regexp_matches(v, '(?:application|text)/xml') THEN 'xml' WHEN contains(v, 'text/plain') THEN 'plain text' END")})
 _over("s7_snippet", [(1, 'a <span class="searchmatch">hit</span> &amp; <b>b</b>'), (2, "&quot;x&quot; &lt;y&gt;"), (3, None)], "id long, v string", {"text": (lambda: tx.bold_snippet(F.col("v")), "replace(replace(replace(replace(replace(regexp_replace(regexp_replace(v, '<span class=\"searchmatch\">([^<]*)</span>', '**\\1**', 'g'), '<[^>]+>', '', 'g'), '&quot;', '\"'), '&#039;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")})
 _over("h14_forum_post", [(1, '[quote="ann, post:3, topic:9"]\nhello\n[/quote]\nreply'), (2, "![x|690x388](upload://abc.png) text"), (3, "![pic|200](https://a.test/b.png)"), (4, '[quote="bob"]\nhi[/quote]'), (5, None)], "id long, v string", {"text": (lambda: tx.clean_forum_post(F.col("v")), "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '\\[quote=\"([^,\"\\]]+)(?:,[^\"\\]]*?)?,\\s*post:(\\d+)[^\"\\]]*\"\\]\\s*', E'> **@\\\\1** (post #\\\\2):\\n> ', 'g'), '\\[quote=\"([^,\"\\]]+)[^\"\\]]*\"\\]\\s*', E'> **@\\\\1**:\\n> ', 'g'), '\\[/quote\\]\\s*', E'\\n', 'g'), '!\\[[^\\]]*\\]\\(upload://[^)]*\\)', '[image]', 'g'), '\\|(?:\\d+x\\d+|\\d+)(?:, \\d+%)?\\]', ']', 'g'))")})
 _N = [(i, v) for i, v in enumerate([None, 0, 7, 59, 60, 3599, 3600, 3661, 86399, 360000])]
@@ -123,8 +123,8 @@ _over("f26_clock", _N, "id long, v long", {
     "dur": (lambda: tx.duration(F.col("v")), f"CASE WHEN v // 3600 > 0 THEN CAST(v // 3600 AS VARCHAR) || ':' || {_two('(v % 3600) // 60')} || ':' || {_two('v % 60')} ELSE CAST((v % 3600) // 60 AS VARCHAR) || ':' || {_two('v % 60')} END"),
 })
 _over("f26_upload_date", [(1, "20240102"), (2, "2024"), (3, None), (4, "2024010x")], "id long, v string", {"day": (lambda: tx.upload_date(F.col("v")), "CASE WHEN regexp_matches(v, '^\\d{8}$') THEN substr(v, 1, 4) || '-' || substr(v, 5, 2) || '-' || substr(v, 7, 2) ELSE v END")})
-_over("f27_severity", [(1, 9.8), (2, 7.0), (3, 4.0), (4, 0.1), (5, 0.0), (6, None)], "id long, v double", {"band": (lambda: tx.severity(F.col("v")), "CASE WHEN v IS NULL THEN 'unknown' WHEN v >= 9 THEN 'critical' WHEN v >= 7 THEN 'high' WHEN v >= 4 THEN 'medium' WHEN v > 0 THEN 'low' ELSE 'none' END")})
-_over("f28_doi_rank", [(1, "10.1000/x"), (2, "10.1101/x"), (3, "10.48550/arXiv.1"), (4, "github:a/b"), (5, None)], "id long, v string", {"rank": (lambda: tx.doi_rank(F.col("v")), "CASE WHEN starts_with(v, 'github:') THEN 0 WHEN starts_with(v, '10.48550/') THEN 1 WHEN starts_with(v, '10.1101/') THEN 2 ELSE 3 END")})
+_over("f27_severity", [(1, 9.8), (2, 7.0), (3, 4.0), (4, 0.1), (5, 0.0), (6, None)], "id long, v double", {"band": (lambda: tx.severity(F.col("v")), "CASE WHEN v >= 9 THEN 'Critical' WHEN v >= 7 THEN 'High' WHEN v >= 4 THEN 'Medium' WHEN v > 0 THEN 'Low' WHEN v IS NOT NULL THEN 'None' END")})
+_over("f28_doi_rank", [(1, "10.1000/x"), (2, "10.1101/x"), (3, "10.48550/arXiv.1"), (4, "github:a/b"), (5, None)], "id long, v string", {"rank": (lambda: tx.doi_rank(F.col("v")), "CASE WHEN starts_with(v, '10.48550/arXiv.') THEN 0 WHEN starts_with(v, '10.1101/') THEN 1 WHEN v IS NOT NULL THEN 2 END")})
 _over("f14_repo_number", [(1, "apache/spark#42"), (2, "apache/spark"), (3, None), (4, "a/b#x")], "id long, v string", {"owner": (lambda: tx.repo_number(F.col("v"))["owner"], "nullif(regexp_extract(v, '^([^/\\s]+)/([^/#\\s]+)#(\\d+)$', 1), '')"), "number": (lambda: tx.repo_number(F.col("v"))["number"], "TRY_CAST(nullif(regexp_extract(v, '^([^/\\s]+)/([^/#\\s]+)#(\\d+)$', 3), '') AS BIGINT)")})
 _eco = "CASE " + " ".join(f"WHEN lower(regexp_extract(v, '^([^/]+)/', 1)) = '{k}' THEN '{s}'" for k, s in tx.ECOSYSTEMS.items()) + " END"
 _rest = "regexp_replace(v, '^[^/]+/', '')"
@@ -134,12 +134,13 @@ _over("f15_package", [(1, "npm/@scope/name@1.2.3"), (2, "pip/requests"), (3, "cr
     "version": (lambda: tx.package_query(F.col("v"))["version"], f"nullif(regexp_extract({_rest}, '^(.+)@([^@]*)$', 2), '')"),
 })
 _over("f16_repo_rev", [(1, "org/model@v2"), (2, "org/model"), (3, None), (4, "org/m@")], "id long, v string", {"repo": (lambda: tx.repo_rev(F.col("v"))["repo"], "split_part(v, '@', 1)"), "rev": (lambda: F.when(F.col("v").isNotNull(), tx.repo_rev(F.col("v"))["rev"]), "CASE WHEN v IS NOT NULL THEN coalesce(nullif(split_part(v, '@', 2), ''), 'main') END")})
-_over("f18_family_stem", [(1, "Model-7B-GGUF"), (2, "Model-7B-awq-4bit"), (3, "-gguf"), (4, "Plain"), (5, None)], "id long, v string", {"stem": (lambda: tx.family_stem(F.col("v")), "coalesce(nullif(regexp_replace(v, '(?i)(?:[-_.](?:gguf|gptq|awq|mlx|exl2|int4|int8|fp8|fp16|bf16|q\\d\\w*|\\d+bit|4bit|8bit|instruct-4bit|quantized))+$', ''), ''), v)")})
+_over("f18_family_stem", [(1, "org/Model-7B-GGUF"), (2, "Model-7B-awq-4bit"), (3, "-gguf"), (4, "Plain"), (5, None), (6, "MiMo-LM-MLX-Q9"), (7, "m-q4_k_m")], "id long, v string", {"stem": (lambda: tx.family_stem(F.col("v")), "CASE WHEN v = '-gguf' THEN v ELSE regexp_replace(list_last(string_split(v, '/')), '(?i)(?:[-_.](?:" + tx.CONVERSIONS + "))+$', '') END")})
 _over("f12_wiki_title", [(1, "main page"), (2, "éclair du jour"), (3, " x "), (4, None)], "id long, v string", {"title": (lambda: u.wiki_title(F.col("v")), "upper(left(replace(trim(v), ' ', '_'), 1)) || substr(replace(trim(v), ' ', '_'), 2)")})
 _over("f13_percent", [(1, "a b/c"), (2, "x~y.z-1_"), (3, None), (4, "+&=")], "id long, v string", {"enc": (lambda: u.percent_encoded(F.col("v")), "replace(url_encode(v), '+', '%20')")})
-_over("f29_human", [(1, 512), (2, 2048), (3, 5_500_000), (4, 7_200_000_000), (5, 1_500_000_000_000), (6, None)], "id long, v long", {
-    "size": (lambda: F.when(F.col("v").isNotNull(), tx.human_bytes(F.col("v"))), "CASE WHEN v IS NULL THEN NULL WHEN v < 1024 THEN CAST(v AS VARCHAR) || ' B' WHEN v < 1048576 THEN printf('%.1f KB', v / 1024.0) WHEN v < 1073741824 THEN printf('%.1f MB', v / 1048576.0) ELSE printf('%.1f GB', v / 1073741824.0) END"),
-    "params": (lambda: F.when(F.col("v").isNotNull(), tx.human_count(F.col("v"))), "CASE WHEN v IS NULL THEN NULL WHEN v >= 1e12 THEN printf('%.2fT', v / 1e12) WHEN v >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('%.1fK', v / 1e3) ELSE CAST(v AS VARCHAR) END"),
+_over("f29_human", [(1, 512), (2, 2048), (3, 5_500_000), (4, 7_200_000_000), (5, 1_500_000_000_000), (6, None), (7, 0), (8, 1280)], "id long, v long", {
+    "size": (lambda: tx.human_bytes(F.col("v")), "CASE WHEN v >= 1073741824 THEN printf('%.2f GiB', v / 1073741824.0) WHEN v >= 1048576 THEN printf('%.1f MiB', v / 1048576.0) WHEN v > 0 THEN format('{:,}', v) || ' B' END"),
+    "params": (lambda: tx.human_count(F.col("v")), "CASE WHEN v >= 1e9 THEN printf('%.1fB', v / 1e9) WHEN v >= 1e6 THEN printf('%.1fM', v / 1e6) WHEN v > 0 THEN format('{:,}', v) END"),
+    "logged": (lambda: F.when(F.col("v").isNotNull(), tx.log_bytes(F.col("v"))), "CASE WHEN v < 1024 THEN CAST(v AS VARCHAR) || ' B' WHEN v < 1048576 THEN printf('%.1f KB', v / 1024.0) WHEN v IS NOT NULL THEN printf('%.1f MB', v / 1048576.0) END"),
 })
 _over("r2_fence", [(1, "one\ntwo", "Title"), (2, "x", None), (3, "", "T")], "id long, v string, title string", {"text": (lambda: tx.fenced(F.col("v"), F.col("title")), "E'┌─ untrusted content\\n│\\n' || CASE WHEN title IS NOT NULL THEN '│ # ' || title || E'\\n│ \\n' ELSE '' END || array_to_string(list_transform(string_split(v, chr(10)), lambda x: '│ ' || x), chr(10)) || E'\\n│\\n└─ untrusted content'")})
 
