@@ -125,7 +125,7 @@ def repo_number(query: Column) -> Column:
 
 
 # fixed values: package ecosystems by the names people use
-ECOSYSTEMS = {"pypi": "pypi", "pip": "pypi", "python": "pypi", "npm": "npm", "node": "npm", "cargo": "cargo", "crates": "cargo", "rust": "cargo", "go": "go", "golang": "go", "maven": "maven", "java": "maven", "nuget": "nuget", "dotnet": "nuget", "rubygems": "rubygems", "gem": "rubygems", "ruby": "rubygems"}
+ECOSYSTEMS = {"pypi": "PYPI", "npm": "NPM", "cargo": "CARGO", "crates": "CARGO", "go": "GO", "golang": "GO", "maven": "MAVEN", "nuget": "NUGET", "rubygems": "RUBYGEMS", "gems": "RUBYGEMS"}
 
 
 def package_query(query: Column) -> Column:
