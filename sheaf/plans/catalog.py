@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.plans import metadata, scalars, search, structure, timed
+from sheaf.plans import metadata, records, scalars, search, structure, timed
 
 
 def _modules():
-    return (search, scalars, structure, timed, metadata)
+    return (search, scalars, structure, timed, metadata, records)
 
 
 def queries() -> dict:
