@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.plans import metadata, records, scalars, search, structure, timed
+from sheaf.plans import metadata, records, scalars, search, structure, timed, windows
 
 
 def _modules():
-    return (search, scalars, structure, timed, metadata, records)
+    return (search, scalars, structure, timed, metadata, records, windows)
 
 
 def queries() -> dict:
