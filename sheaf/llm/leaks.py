@@ -38,12 +38,12 @@ def words_of(text: str | None) -> list[str]:
     """Words without case, punctuation, markup, spacing and invisible characters."""
     if not text:
         return []
+    if "&" in text:
+        text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(_NOTHING)
     elif "'" in text or "`" in text:
         text = text.replace("'", "").replace("`", "")
-    if "&" in text:
-        text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "](" in text:

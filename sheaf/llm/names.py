@@ -253,8 +253,12 @@ def linked_names(records: DataFrame) -> DataFrame:
     halves = people.where("first_part <> '' AND given <> ''").groupBy(F.col("first_part").alias("family"), "given").agg(F.min("family").alias("whole"), F.max("family").alias("other")).where("whole = other")
     people = people.join(halves.drop("other"), ["family", "given"], "left").withColumn("family", F.coalesce("whole", "family")).drop("whole")
 
-    # full given names: an author for each family and given name
     formals = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
+    short_forms = people.withColumn("formal", F.explode(F.split(F.try_element_at(formals, F.col("given")), " "))).select("name", "family", F.col("formal").alias("given"))
+    nick_halves = short_forms.join(halves.drop("other"), ["family", "given"]).groupBy("name").agg(F.min("whole").alias("whole"))
+    people = people.join(nick_halves, "name", "left").withColumn("family", F.coalesce("whole", "family")).drop("whole")
+
+    # full given names: an author for each family and given name
     people = cut(people.withColumn("formal", F.split(F.try_element_at(formals, F.col("given")), " ")).withColumn("full", (F.col("given") != "") & F.col("formal").isNull()).withColumn("cluster", F.concat_ws("|", F.lit("p"), "family", "given")))
     known = people.where("full").select("family", "given", F.substring("initials", 1, 1).alias("i"), "cluster").distinct()
     # a nickname whose full form the family does not have stands for its first full form
