@@ -15,7 +15,9 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,26 +115,48 @@ def encoder(vocabulary: str, folder: str) -> TrieEncoder:
         return TrieEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+class _Known:
+    """Words already encoded: their ids stand one after the other in one array."""
+
+    def __init__(self, trie: TrieEncoder):
+        self.trie, self.number = trie, {}
+        self.ids, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, seen: set[str]) -> None:
+        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in seen.difference(self.number))
+        if not new:
+            return
+        encoded = self.trie.encode_all([b for b, _ in new])
+        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        first, end = len(self.number), len(self.ids)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, int(length.sum()))])
+        self.start = np.concatenate([self.start, end + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.number.update((w, first + k) for k, (_, w) in enumerate(new))
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts and the ids of all."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, int(size.sum()))
+        length = self.length[at]
+        ends = np.cumsum(length)
+        place = np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+        return np.append(0, ends)[np.append(0, np.cumsum(size))], self.ids[place]
+
+
 def _encode(vocabulary: str, folder: str, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = encoder(vocabulary, folder)
-        known: dict[str, list[int]] = {}
-        for batch in batches:
-            texts = [words(t) if t else [] for t in batch.column(1).to_pylist()]
-            if len(known) > keep:
-                known.clear()
-            new = set()
-            for ws in texts:
-                new.update(ws)
-            new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new if w not in known)
-            known.update(zip([w for _, w in new], trie.encode_all([b for b, _ in new])))
-            offsets, flat = [0], []
-            for ws in texts:
-                for w in ws:
-                    flat += known[w]
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        known = _Known(encoder(vocabulary, folder))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                texts = [words(t) if t else [] for t in batch.column(1).to_pylist()]
+                if len(known.number) > keep:
+                    known = _Known(known.trie)
+                known.learn(set(chain.from_iterable(texts)))
+                offsets, flat = known.encode(texts)
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return run
 
