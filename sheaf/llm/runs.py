@@ -26,7 +26,9 @@ def spoken(text: Column) -> Column:
     for _ in range(2):  # entities may be escaped twice
         for entity, char in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(t, r"</?[a-zA-Z][^>]*>|\{\\[^}]*\}", " ")
+    # most cues have no entities and no markup
+    t = F.when(F.contains(text, F.lit("&")), t).otherwise(text)
+    t = F.when(t.rlike("[<{]"), F.regexp_replace(t, r"</?[a-zA-Z][^>]*>|\{\\[^}]*\}", " ")).otherwise(t)
     t = F.regexp_replace(F.lower(t), r"['`\x{2019}\x{00AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]", "")
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "))
     return F.when(t != "", t)
