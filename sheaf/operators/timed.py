@@ -85,11 +85,12 @@ def windows(segments: DataFrame, key: str, order: list[str], shortest: float = S
 
 
 def chapter_of(wins: DataFrame, chapters: DataFrame, key: str, at: str) -> DataFrame:
-    """Adds chapter: the first chapter whose half-open interval holds a window's start."""
-    c = chapters.select(F.col(key), "start_time", "end_time", "title", F.col("pos"))
-    held = wins.join(c, key, "left").where(F.col("start_time").isNull() | ((F.col("start_time") <= F.col(at)) & (F.col(at) < F.col("end_time"))))
-    found = held.where("start_time IS NOT NULL").groupBy(key, "win").agg(F.min_by("title", "pos").alias("chapter"))
-    return wins.join(found, [key, "win"], "left")
+    """Adds chapter: the first titled chapter whose half-open interval holds a window's start. A video's
+    chapters come as one array, so a window stays one row."""
+    c = chapters.where("title IS NOT NULL").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "start_time", "end_time", "title"))).alias("_c"))
+    t = F.col(at)
+    held = F.filter("_c", lambda x: (x["start_time"] <= t) & (t < x["end_time"]))
+    return wins.join(c, key, "left").withColumn("chapter", F.get(held, F.lit(0))["title"]).drop("_c")
 
 
 def chapter_marks(wins: DataFrame, chapters: DataFrame, key: str, at: str) -> DataFrame:

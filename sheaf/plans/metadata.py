@@ -76,12 +76,13 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "citation_records").dropDuplicates(["record_id"])
 
 
-@_q("j11_shared_doi", f"WITH k AS (SELECT DISTINCT record_id, unnest(list_distinct(list_concat([doi], coalesce(alt_dois, [])))) AS k FROM {_CR}) SELECT a.record_id, count(DISTINCT b.record_id) AS partners FROM k a JOIN k b ON a.k = b.k AND a.record_id <> b.record_id GROUP BY a.record_id")
+@_q("j11_shared_doi", f"WITH k AS (SELECT DISTINCT record_id, unnest(list_distinct(list_concat([doi], coalesce(alt_dois, [])))) AS k FROM {_CR}), g AS (SELECT k, min(record_id) AS least, count(*) AS n FROM k WHERE k IS NOT NULL GROUP BY k) SELECT k.record_id, min(least) AS matched, count(*) FILTER (n > 1) AS shared FROM k JOIN g USING (k) GROUP BY k.record_id")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    """Records that share a DOI, as typed, with others, and with how many: a record's partners are the
-    union of its keys' members, counted without listing pairs for keys of two."""
+    """Each record with the least record that shares a DOI with it, as typed, and how many of its DOIs
+    others have. A star for each DOI: no pairs, whatever number of records names one."""
     k = _records(spark, d).select("record_id", F.explode(F.array_distinct(F.concat(F.array("doi"), F.coalesce("alt_dois", F.array().cast("array<string>"))))).alias("k")).where("k IS NOT NULL")
-    return k.join(k.withColumnRenamed("record_id", "other"), "k").where("record_id <> other").groupBy("record_id").agg(F.count_distinct("other").alias("partners"))
+    g = k.groupBy("k").agg(F.min("record_id").alias("least"), F.count("*").alias("n"))
+    return k.join(g, "k").groupBy("record_id").agg(F.min("least").alias("matched"), F.count_if(F.col("n") > 1).alias("shared"))
 
 
 SIBS = [("r1", "model-00001-of-00002.safetensors", 100), ("r1", "model-00002-of-00002.safetensors", 120), ("r1", "original/consolidated.safetensors", 300), ("r1", "config.json", 1), ("r2", "a_fc-00001-of-00002.safetensors", 5), ("r2", "a_fc-00002-of-00002.safetensors", 6), ("r2", "b_fc-00001-of-00002.safetensors", 7), ("r2", "b_fc-00002-of-00002.safetensors", None), ("r2", "c.safetensors", 9), ("r3", "unet/m.safetensors", 20), ("r3", "unet/m.fp16.safetensors", 10), ("r3", "only.fp16.safetensors", 4)]

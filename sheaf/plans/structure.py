@@ -116,10 +116,9 @@ def x9_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j9_contained(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of a document that lie inside another's subtree."""
-    s = st.with_subtree_end(_tree(spark, d).where("start_pos IS NOT NULL AND end_pos IS NOT NULL"), "doc_id", "idx").select("doc_id", "idx", "start_pos", "subtree_end")
-    o = s.select("doc_id", F.col("idx").alias("other"), F.col("start_pos").alias("a"), F.col("subtree_end").alias("b"))
-    return s.join(o, "doc_id").where("idx <> other AND a <= start_pos AND subtree_end <= b AND (a < start_pos OR subtree_end < b)").groupBy("doc_id", "idx").agg(F.max("other").alias("inner_most"))
+    """Sections that lie inside another's subtree, with the innermost: subtrees nest, so it is the parent."""
+    s = st.with_parents(_tree(spark, d).where("start_pos IS NOT NULL AND end_pos IS NOT NULL"), "doc_id", "idx")
+    return s.where("parent IS NOT NULL").select("doc_id", "idx", F.col("parent").alias("inner_most"))
 
 
 QUERIES = {f.__name__: f for f in (x1_fences, x2_sections, x3_parent, x4_subtree, x5_name_counts, x6_contents, x7_contents_page, x8_ancestry_paths, x8_slice_ancestry, x9_filter, x12_semantic_chunks, x13_line_chunks, x20_slices, x21_budget, x25_line_range, x26_hard_cut, j9_contained)}
