@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.sources.tables import spread
+
 K1, B = 1.2, 0.75
 MAX_TERM_BYTES = 40
 
@@ -16,7 +18,7 @@ def terms(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, term) of every term; a null text has none."""
-    return docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
+    return spread(docs.select(key, text)).select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
 
 
 def field_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,9 +29,9 @@ def field_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int | None = 50, boosts: dict[str, float] | None = None) -> DataFrame:
     """Score of every row that holds any of the query terms, best first, ties by key.
 
-    One pass: term frequencies are counted inside each row, so only rows with
-    a hit travel, with one number for each term; corpus statistics are one
-    global aggregate of as many numbers as there are terms.
+    Term frequencies are counted inside each row, so only rows with a hit
+    travel, with one number for each term; corpus statistics are one global
+    aggregate of as many numbers as there are terms.
     """
     fields = boosts or {text: 1.0}
     query = list(dict.fromkeys(q.lower() for q in query))
@@ -42,10 +44,20 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int | No
     return scored.orderBy(F.desc("score"), key).limit(limit) if limit is not None else scored
 
 
+def _frequencies(base: DataFrame, key: str, field: str, query: list[str]) -> DataFrame:
+    """Length of each text and how often it holds each term."""
+    words = base.select(key, F.coalesce(terms(F.col(field)), F.array().cast("array<string>")).alias("w"))
+    return words.select(key, F.size("w").cast("double").alias("len"), *[(F.size("w") - F.size(F.array_remove("w", q))).cast("double").alias(f"tf{i}") for i, q in enumerate(query)])
+
+
 def _field_scores(docs: DataFrame, key: str, field: str, query: list[str], boost: float) -> DataFrame:
-    words = docs.select(key, F.coalesce(terms(F.col(field)), F.array().cast("array<string>")).alias("w"))
-    tf = words.select(key, F.size("w").cast("double").alias("len"), *[(F.size("w") - F.size(F.array_remove("w", q))).cast("double").alias(f"tf{i}") for i, q in enumerate(query)])
+    base = spread(docs.select(key, field))
+    tf = _frequencies(base, key, field, query)
     stats = tf.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(query))])
+    # only texts that hold a term's letters anywhere are cut into terms again
+    near = F.lit(False)
+    for q in query:
+        near = near | F.contains(F.lower(F.col(field)), F.lit(q))
     hit = F.lit(False)
     score = F.lit(0.0)
     for i in range(len(query)):
@@ -53,7 +65,7 @@ def _field_scores(docs: DataFrame, key: str, field: str, query: list[str], boost
         hit = hit | (t > 0)
         idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
         score = score + boost * idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return tf.where(hit).join(F.broadcast(stats)).select(key, score.alias("score"))
+    return _frequencies(base.where(near), key, field, query).where(hit).join(F.broadcast(stats)).select(key, score.alias("score"))
 
 
 # fixed values: scripts written without spaces, with their letters and marks
@@ -201,4 +213,4 @@ def _phrase(words: Column, phrase: list[str], slop: int) -> Column:
 def matching(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """Keys of the rows that a query matches."""
     words = F.coalesce(terms(F.col(text)), F.array().cast("array<string>"))
-    return docs.select(key, words.alias("_w")).where(Query(query).condition(F.col("_w"))).select(key)
+    return spread(docs.select(key, text)).select(key, words.alias("_w")).where(Query(query).condition(F.col("_w"))).select(key)

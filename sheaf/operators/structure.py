@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.sources.tables import spread
+
 MOST_LINE_CHARS = 1_000_000
 _FENCE = re.compile(r"^(`{3,}|~{3,})", re.M)
 _HEADING = re.compile(r"^(#{1,6})[^\S\n]+(.+)$", re.M)
@@ -62,7 +64,7 @@ _SECTIONS = pa.schema([("key", pa.int64()), ("idx", pa.int32()), ("name", pa.str
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Section rows of each text; texts without headings, and null texts, have none."""
     fn = _rows(lambda t: [(i, *s) for i, s in enumerate(sections_in(t))], _SECTIONS)
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(fn, f"`{key}` long, idx int, name string, level int, start_pos int, end_pos int, header_only boolean")
+    return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(fn, f"`{key}` long, idx int, name string, level int, start_pos int, end_pos int, header_only boolean")
 
 
 def _levels(key: str, order: str, value: str, following: bool = False) -> list[Column]:
@@ -178,7 +180,7 @@ _CHUNKS = pa.schema([("key", pa.int64()), ("idx", pa.int32()), ("off", pa.int32(
 def chunks(docs: DataFrame, key: str, text: str, how: str = "semantic") -> DataFrame:
     """Slices (idx, off, text) of each text. Texts with a line of over a million characters have none."""
     split = {"semantic": semantic_chunks, "lines": line_chunks}[how]
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(_rows(lambda t: split(t) or [], _CHUNKS), f"`{key}` long, idx int, off int, text string")
+    return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(_rows(lambda t: split(t) or [], _CHUNKS), f"`{key}` long, idx int, off int, text string")
 
 
 def marked_posts(docs: DataFrame, key: str, text: str, mark: str = r"^#{3,6} (?:\d+|(?:ic|rc)_\w+|[a-z0-9]{5,8})$") -> DataFrame:
@@ -188,7 +190,7 @@ def marked_posts(docs: DataFrame, key: str, text: str, mark: str = r"^#{3,6} (?:
         starts = sorted({0, *(m.start() for m in re.finditer(mark, t, re.M))}) if t else []
         return [(i, a, t[a:b]) for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(t)])) if t[a:b].strip()]
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(_rows(split, _CHUNKS), f"`{key}` long, idx int, off int, text string")
+    return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(_rows(split, _CHUNKS), f"`{key}` long, idx int, off int, text string")
 
 
 def slice_ancestry(slices: DataFrame, secs: DataFrame, key: str) -> DataFrame:

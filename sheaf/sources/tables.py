@@ -40,3 +40,23 @@ def maybe_broadcast(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
 def present(column: Column) -> Column:
     """Not null and not blank."""
     return column.isNotNull() & (F.trim(column) != "")
+
+
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """df over all cores if it is a plain scan of fewer files than half the cores.
+
+    A file of one row group is one task however many cores there are; work on each
+    row then runs on one of them. Larger inputs, whose scans make tasks enough,
+    small ones, and anything but a scan stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if "Relation " not in text or any(w in text for w in ("Join", "Aggregate", "Window", "Repartition", "Limit", "MapIn", "Generate", "Union", "Sort")):
+        return df
+    size = table_bytes(df)
+    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    if size < least or size >= cores * split:
+        return df
+    return df.repartition(cores) if 2 * max(len(df.inputFiles()), size // split) <= cores else df
