@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.sources.tables import spread
+
 WINDOW = 14
 REPLACED = 1  # the choice of terms rests on this
 SHARD = 1000  # documents in a shard
@@ -188,7 +190,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> Da
     that stands in several items is looked up once and counts for each.
     """
     spark = documents.sparkSession
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     by_passage: dict[tuple[str, ...], list[int]] = {}
     for row in eval_items.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
         w = tuple(words_of(row.passage))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.sources.tables import spread
+
 DEFAULT_VOCABULARY = "byte_bpe_50k"
 KEEP = 400_000
 FOLDER = "/opt/tokenizers"
@@ -166,4 +168,4 @@ def encode(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, folder: s
     what looks like a special token is ordinary text. ``folder`` is where the
     vocabulary files are, on every executor."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_encode(vocabulary, folder, keep), "doc_id long, ids array<int>")
+    return spread(rows).mapInArrow(_encode(vocabulary, folder, keep), "doc_id long, ids array<int>")

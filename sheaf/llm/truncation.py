@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sheaf.session import cut
+from sheaf.sources.tables import spread
 
 SPOKEN_SHARE = 0.0015
 LEAST = 50  # occurrences inside texts from which a trigram counts as frequent
@@ -130,7 +131,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     statistic.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "source", "text")
+    docs = spread(documents.select("doc_id", "source", "text"))
     features = cut(spark.sql(_FEATURES.replace("{spoken_test}", _SPOKEN.replace("{", "{{").replace("}", "}}")).replace("{tail}", str(TAIL)), documents=docs))
     spoken = cut(docs.where("doc_id IS NOT NULL AND length(trim(text)) > 0").where(_SPOKEN).selectExpr("doc_id", r"filter(split(lower(text), '\\s+'), x -> x <> '') AS raw"))
     # at most 1 / SPOKEN_SHARE words: a bound that does not grow with the data
