@@ -8,6 +8,21 @@ select s.doc_id, s.section_no from s join documents d on d.doc_id = s.doc_id
 where least(coalesce(b, length(d.text)), length(d.text)) - greatest(coalesce(a, 0), 0) > 2000
 """
 
+_PLAIN = "text"
+for _ in range(2):
+    for _entity, _char in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+P3 = f"""
+with c as (select video_id, seg_idx, any_value(text) as text from captions where video_id is not null and seg_idx is not null group by video_id, seg_idx),
+w as (select video_id, seg_idx, nullif(trim(regexp_replace(regexp_replace(lower(regexp_replace({_PLAIN}, '</?[a-zA-Z][^>]*>|\\{{\\\\[^}}]*\\}}', ' ', 'g')), '[''`\\x{{2019}}\\x{{00AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')), '') as w from c),
+l as (select *, lag(w) over (partition by video_id order by seg_idx) as p from w),
+s as (select *, coalesce(w = p or (len(string_split(w, ' ')) = len(string_split(p, ' ')) and len(list_filter(list_zip(string_split(w, ' '), string_split(p, ' ')), lambda z: not (z[1] = z[2] or (
+    not regexp_matches(z[1] || z[2], '[^\\p{{L}}]') and ((abs(length(z[1]) - length(z[2])) = 1 and levenshtein(z[1], z[2]) = 1)
+    or (length(z[1]) = length(z[2]) and levenshtein(z[1], z[2]) = 2 and damerau_levenshtein(z[1], z[2]) = 1)))))) = 0), false) as same from l),
+r as (select *, sum(case when same then 0 else 1 end) over (partition by video_id order by seg_idx) as run from s)
+select video_id, min(seg_idx) as first_idx, max(seg_idx) as last_idx from r where w is not null group by video_id, run having count(*) > 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1}
+    return {"p1_found": P1, "p3_found": P3}
