@@ -50,8 +50,13 @@ class TrieEncoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
+        # the longest token that ends with two given bytes: most of a long word's ends have short ones only
+        self.longest: dict[bytes, int] = {}
+        for t in ranks:
+            if len(t) > 1:
+                self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.sure: set[int] = set()  # tokens known to stand
         self.bytes_of = {v: k for k, v in ranks.items()}
 
     def merge(self, text: bytes) -> list[int]:
@@ -76,7 +81,7 @@ class TrieEncoder:
         """Ids of each word. The words must be sorted, which makes going through
         them the depth-first traversal of their trie: what is kept of the path
         is the part that the next word shares."""
-        ranks, longest, beside = self.ranks, self.longest, self.beside
+        ranks, longest, beside, stands = self.ranks, self.longest, self.beside, self.sure.__contains__
         last: list[int] = []  # last[i]: last token of the encoding of path[: i + 1]
         size: list[int] = []  # its length in bytes
         path, out = b"", []
@@ -86,9 +91,9 @@ class TrieEncoder:
                 k += 1
             del last[k:], size[k:]
             for i in range(k + 1, len(word) + 1):
-                for j in range(max(0, i - longest), i):
+                for j in range(max(0, i - longest.get(word[max(0, i - 2) : i], 1)), i):
                     token = ranks.get(word[j:i])
-                    if token is not None and self.stands(word[j:i], token) and (j == 0 or beside(last[j - 1], token)):
+                    if token is not None and (stands(token) or self.stands(word[j:i], token)) and (j == 0 or beside(last[j - 1], token)):
                         last.append(token)
                         size.append(i - j)
                         break
@@ -108,6 +113,8 @@ class TrieEncoder:
         ok = self.pairs.get(key)
         if ok is None:
             ok = self.pairs[key] = self.merge(text) == [token]
+            if ok:
+                self.sure.add(token)
         return ok
 
 
@@ -146,15 +153,22 @@ class _Known:
         return np.append(0, ends)[np.append(0, np.cumsum(size))], self.ids[place]
 
 
+@lru_cache(1)
+def _known(vocabulary: str, folder: str) -> _Known:
+    """A worker's words; its later tasks find them as well."""
+    return _Known(encoder(vocabulary, folder))
+
+
 def _encode(vocabulary: str, folder: str, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(encoder(vocabulary, folder))
+        known = _known(vocabulary, folder)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 texts = [words(t) if t else [] for t in batch.column(1).to_pylist()]
                 if len(known.number) > keep:
-                    known = _Known(known.trie)
+                    _known.cache_clear()
+                    known = _known(vocabulary, folder)
                 known.learn(set(chain.from_iterable(texts)))
                 offsets, flat = known.encode(texts)
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
