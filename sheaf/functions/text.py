@@ -170,3 +170,20 @@ def fenced(content: Column, title: Column) -> Column:
     body = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.concat(F.lit("│ "), x)), "\n")
     head = F.when(title.isNotNull(), F.concat(F.lit("│ # "), title, F.lit("\n│ \n"))).otherwise(F.lit(""))
     return F.concat(F.lit("┌─ untrusted content\n│\n"), head, body, F.lit("\n│\n└─ untrusted content"))
+
+
+def label(text: Column) -> Column:
+    """A label without control and other characters that do not print."""
+    return F.regexp_replace(text, r"\p{C}", " ")
+
+
+def charset(content_type: Column) -> Column:
+    """Charset of a content type in lower case; UTF-8 without one."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([\w.:-]+)", 1)), F.lit("")), F.lit("utf-8"))
+
+
+def decoded(content: Column, content_type: Column) -> Column:
+    """Text of a body in its charset; charsets that are not built in are read as UTF-8."""
+    c = charset(content_type)
+    read = lambda name: F.try_validate_utf8(content.cast("string")) if name == "utf-8" else F.decode(content, name)
+    return F.when(c.isin("iso-8859-1", "latin-1", "windows-1252"), read("ISO-8859-1")).when(c == "utf-16", read("UTF-16")).when(c == "us-ascii", read("US-ASCII")).otherwise(read("utf-8"))

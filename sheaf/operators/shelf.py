@@ -132,3 +132,17 @@ def listing(r: DataFrame) -> DataFrame:
 def best_doi(dois: Column) -> Column:
     """The highest DOI of an array, ties by the least."""
     return F.get(F.array_sort(F.transform(dois, lambda x: F.struct((-doi_rank(x)).alias("r"), x.alias("d")))), F.lit(0))["d"]
+
+
+def apply_commands(store: DataFrame, commands: DataFrame) -> DataFrame:
+    """The store after commands in order of ``pos``: remove, score, confirm, note. Commands for one record
+    fold to its last score and note, whether it was ever confirmed, and whether it is removed at last;
+    commands for DOIs that are not there do nothing."""
+    c = commands.groupBy("doi").agg(
+        F.max_by("value", F.when(F.col("action") == "score", F.col("pos"))).alias("new_score"),
+        F.max_by("value", F.when(F.col("action") == "note", F.col("pos"))).alias("new_note"),
+        F.max(F.col("action") == "confirm").alias("confirms"),
+        F.max(F.col("action") == "remove").alias("removed"),
+    )
+    out = store.join(c, "doi", "left").where(~F.coalesce("removed", F.lit(False)))
+    return out.withColumn("score", F.coalesce(F.col("new_score").cast("int"), "score")).withColumn("notes", F.coalesce("new_note", "notes")).withColumn("confirmed", F.coalesce("confirms", F.lit(False)) | F.coalesce("confirmed", F.lit(False))).drop("new_score", "new_note", "confirms", "removed")

@@ -129,3 +129,73 @@ def f41a(spark: SparkSession, d: str) -> DataFrame:
 
     fn = F.pandas_udf(lambda s: pd.Series([[(x["key"], x["shorthand"], x["text"], x["url"]) for x in wiki.author_date_citations(p)] for p in s]), "array<struct<key:string,shorthand:string,text:string,url:string>>")
     return spark.createDataFrame([(WIKI,)], "page string").select(F.explode(fn("page")).alias("f")).select("f.*")
+
+
+RAWH = [(1, "<h2><div>One</div><p>Two</p></h2><div>x</div>"), (2, "<h3>Plain</h3>"), (3, None)]
+
+
+@_q("h6_heading_blocks")
+def h6(spark: SparkSession, d: str) -> DataFrame:
+    from sheaf.operators.html import flatten_heading_blocks
+
+    return inline(spark, RAWH, "id long, v string").select("id", flatten_heading_blocks(F.col("v")).alias("v"))
+
+
+LABELS = [(1, "a\u0007b"), (2, "plain"), (3, None), (4, "x\u200by")]
+
+
+@_q("h18_labels", "SELECT id, regexp_replace(v, '\\p{C}', ' ', 'g') AS label FROM (" + values(LABELS, "id", "v") + ")")
+def h18(spark: SparkSession, d: str) -> DataFrame:
+    from sheaf.functions.text import label
+
+    return inline(spark, LABELS, "id long, v string").select("id", label(F.col("v")).alias("label"))
+
+
+@_q("s5_charsets", "SELECT fetch_id, coalesce(nullif(lower(regexp_extract(ct, '(?i)charset\\s*=\\s*[\"'']?([\\w.:-]+)', 1)), ''), 'utf-8') AS charset FROM (SELECT fetch_id, any_value(headers['content-type']) AS ct FROM fetch_responses GROUP BY fetch_id)")
+def s5(spark: SparkSession, d: str) -> DataFrame:
+    from sheaf.functions.text import charset
+
+    r = table(spark, d, "fetch_responses").dropDuplicates(["fetch_id"])
+    return r.select("fetch_id", charset(F.try_element_at("headers", F.lit("content-type"))).alias("charset"))
+
+
+@_q("s5_decoded")
+def s5d(spark: SparkSession, d: str) -> DataFrame:
+    from sheaf.functions.text import decoded
+
+    r = table(spark, d, "fetch_responses").dropDuplicates(["fetch_id"])
+    return r.select("fetch_id", F.length(decoded(F.col("content"), F.try_element_at("headers", F.lit("content-type")))).alias("chars"))
+
+
+@_q("q9_requested_windows", "WITH w AS (SELECT DISTINCT video_id, win_idx FROM windows), q AS (SELECT video_id, unnest([3, 0, 3, 999]) AS win_idx, unnest([0, 1, 2, 3]) AS pos FROM (SELECT DISTINCT video_id FROM windows)) SELECT q.video_id, q.win_idx, min(pos) AS pos, w.win_idx IS NULL AS missing FROM q LEFT JOIN w USING (video_id, win_idx) GROUP BY q.video_id, q.win_idx, w.win_idx IS NULL")
+def q9(spark: SparkSession, d: str) -> DataFrame:
+    """Windows 3, 0, 3 and 999 of each video in the order asked, each once, those that are not there marked."""
+    w = table(spark, d, "windows").select("video_id", "win_idx").distinct().withColumn("there", F.lit(True))
+    ask = w.select("video_id").distinct().select("video_id", F.posexplode(F.array(*map(F.lit, (3, 0, 3, 999)))).alias("pos", "win_idx"))
+    first = ask.groupBy("video_id", "win_idx").agg(F.min("pos").alias("pos"))
+    return first.join(w, ["video_id", "win_idx"], "left").select("video_id", "win_idx", "pos", F.col("there").isNull().alias("missing"))
+
+
+FORUM = [(1, 1, None, "ann", 10), (1, 2, 1, "bob", 20), (1, 3, 2, "cy", 5), (1, 4, 99, "lost", 1), (1, 5, None, "di", 7), (2, 1, None, "ed", 3)]
+
+
+@_q("g3_forum_tree", "SELECT * FROM (VALUES (1, 1, '- #1 — @ann (10 chars)'), (1, 2, '  - #2 — @bob (reply to #1, 20 chars)'), (1, 3, '    - #3 — @cy (reply to #2, 5 chars)'), (1, 5, '- #5 — @di (7 chars)'), (2, 1, '- #1 — @ed (3 chars)')) AS t(topic, post, line)")
+def g3(spark: SparkSession, d: str) -> DataFrame:
+    """A topic's posts by what they answer; answers to posts that are not there vanish."""
+    from sheaf.operators.threads import thread_tree
+
+    p = inline(spark, FORUM, "topic long, post long, reply long, user string, chars long")
+    t = thread_tree(p, "topic", "post", "reply").join(p, ["topic", "post"])
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- #"), F.col("post").cast("string"), F.lit(" — @"), "user", F.lit(" ("), F.when(F.col("reply").isNotNull(), F.concat(F.lit("reply to #"), F.col("reply").cast("string"), F.lit(", "))).otherwise(""), F.col("chars").cast("string"), F.lit(" chars)"))
+    return t.select("topic", "post", line.alias("line"))
+
+
+STORE = [("10.1/a", 1, False, None), ("10.1/b", None, False, "old"), ("10.1/c", 3, True, None)]
+COMMANDS = [(1, "10.1/a", "score", "4"), (2, "10.1/b", "note", "new"), (3, "10.1/a", "score", "5"), (4, "10.1/c", "remove", None), (5, "10.1/b", "confirm", None), (6, "10.1/zz", "score", "1")]
+
+
+@_q("e4_commands", "SELECT * FROM (VALUES ('10.1/a', 5, false, NULL), ('10.1/b', NULL, true, 'new')) AS t(doi, score, confirmed, notes)")
+def e4(spark: SparkSession, d: str) -> DataFrame:
+    from sheaf.operators.shelf import apply_commands
+
+    return apply_commands(inline(spark, STORE, "doi string, score int, confirmed boolean, notes string"), inline(spark, COMMANDS, "pos long, doi string, action string, value string"))
