@@ -9,6 +9,7 @@ inside them don't count. Captures whose documentation says nothing are dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,18 +90,17 @@ def _pattern(language: str):
 def definitions(source: str, language: str) -> list[dict]:
     """Every function and method: name, start_line, end_line, doc (markers removed, None without any), code."""
     source = source.replace("\r\n", "\n").replace("\r", "\n")
-    starts = [0, *(m.end() for m in re.finditer("\n", source))]
-    lines = _LineOf(starts)
+    lines = _Lines(source)
     out = []
     for m in _pattern(language).finditer(source):
         if m["name"] is None:
             continue
         begin = m.start("sig") + len(m["sig"]) - len(m["sig"].lstrip())
         if language == "python":
-            end = _python_end(source, m)
+            end = lines.python_end(m.end(), len(m["indent"]))
             raw = m["doc"]
             doc = python_doc(raw) if raw else None
-            kind = "method" if m["indent"] and _in_class(source[: m.start()], len(m["indent"])) else "function"
+            kind = "method" if m["indent"] and lines.in_class(m.start()) else "function"
         else:
             if m["body"] == ";" and (language in ("c", "script", "go") or m["sig"].lstrip().startswith(m["name"])):
                 continue  # a prototype or a call
@@ -111,41 +111,55 @@ def definitions(source: str, language: str) -> list[dict]:
     return out
 
 
-class _LineOf:
-    def __init__(self, starts: list[int]):
-        self.starts = starts
+class _Lines:
+    """Lines of a source by position, and which of them begin inside a triple-quoted string."""
 
-    def of(self, position: int) -> int:
-        from bisect import bisect_right
+    def __init__(self, source: str):
+        self.source = source
+        self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
+        self._quoted: list[tuple[int, int]] | None = None
+        self._methods: set[int] | None = None
 
+    def of(self, position: int) -> int:
         return bisect_right(self.starts, position)
 
-
-def _python_end(source: str, m) -> int:
-    """End of a Python body: the next line that is not blank and not indented deeper, outside strings and brackets."""
-    end, depth = m.end(), len(m["indent"])
-    body = source[m.end() :]
-    from regex import finditer
-
-    inside = [(x.start(), x.end()) for x in finditer(r"(\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})", body)]
-    at = 0
-    for line in body.split("\n"):
-        if at and line.strip() and not any(a < at < b for a, b in inside):
-            if len(line) - len(line.lstrip()) <= depth and not line.lstrip().startswith(("#", ")")):
+    def text(self, k: int) -> str:
+        """Line k, counted from 0."""
+        return self.source[self.starts[k] : self.starts[k + 1] - 1 if k + 1 < len(self.starts) else len(self.source)]
+
+    def quoted(self, k: int) -> bool:
+        if self._quoted is None:
+            self._quoted = [m.span() for m in re.finditer(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}", self.source)]
+        at = bisect_right(self._quoted, (self.starts[k], -1)) - 1
+        return at >= 0 and self._quoted[at][0] < self.starts[k] < self._quoted[at][1]
+
+    def python_end(self, end: int, depth: int) -> int:
+        """End of a Python body: before the next line, outside strings, that is not indented deeper."""
+        for k in range(self.of(end), len(self.starts)):
+            line = self.text(k)
+            if not line.strip():
+                continue
+            if self.quoted(k):
+                end = self.starts[k] + len(line)
+                continue
+            indent = len(line) - len(line.lstrip())
+            if indent > depth:
+                end = self.starts[k] + len(line)
+            elif not line.lstrip().startswith(("#", ")")):
                 break
-        if line.strip() and (not at or len(line) - len(line.lstrip()) > depth):
-            end = m.end() + at + len(line)
-        at += len(line) + 1
-    return end
-
-
-def _in_class(before: str, depth: int) -> bool:
-    """Whether the nearest line above that is indented less opens a class."""
-    for line in reversed(before.split("\n")):
-        text = line.lstrip()
-        if text and not text.startswith("#") and len(line) - len(text) < depth and re.match(r"(?:class|def|async\s+def)\b", text):
-            return text.startswith("class")
-    return False
+        return end
+
+    def in_class(self, at: int) -> bool:
+        """Whether the nearest definition around that of a position is a class."""
+        if self._methods is None:
+            self._methods, around = set(), []
+            for m in re.finditer(r"^([ \t]*)(class|def|async[ \t]+def)\b", self.source, re.M):
+                while around and around[-1][0] >= len(m[1]):
+                    around.pop()
+                if around and around[-1][1]:
+                    self._methods.add(m.start())
+                around.append((len(m[1]), m[2] == "class"))
+        return at in self._methods
 
 
 def python_doc(raw: str) -> str:

@@ -85,6 +85,8 @@ class Page:
         silent_tag = ""
         for m in _TOKEN.finditer(text):
             raw = m[0]
+            if silent_tag and silent_tag == "head" and m[2] and not m[1] and m[2].lower() == "body":
+                silent_tag = ""  # a head left open ends with the body
             if silent_tag:
                 if m[2] and m[1] and m[2].lower() == silent_tag:
                     silent_tag = ""
