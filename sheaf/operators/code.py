@@ -67,10 +67,12 @@ def _braces(source: str, language: str):
             if m and m[1] not in _WORDS:
                 found.append((kind, m[1], i, _end(lines, i), _comment(raw, i)))
                 break
-    out = []
+    out, around = [], []
     for kind, name, a, b, doc in found:
-        depth = sum(1 for _, _, c, e, _ in found if c < a and b <= e)
-        out.append((kind, name, a + 1, b + 1, depth, doc))
+        while around and around[-1] < b:
+            around.pop()
+        out.append((kind, name, a + 1, b + 1, len(around), doc))
+        around.append(b)
     return out
 
 
