@@ -217,13 +217,19 @@ def merged_papers(records: DataFrame) -> DataFrame:
 
     Titles, venues and author lists come by consensus (full venues outvote
     shortened ones, as a preprint server's name stands only where nothing else
-    does); the year is the most frequent, then the latest; orcids are united;
+    does); the year is the most frequent, then the latest; orcids are united by the
+    name as typed;
     flags are true if any is; notes, bibtex and retraction are those of the
     latest record that has one. Null fields never displace a value.
     """
     one = cut(prepared(records))
     members = cut(paper_members(one))
-    return _survivors(one, members)
+    out = _survivors(one, members)
+    if "orcids" in one.columns:
+        each = one.join(members, "record_id").select("component", F.explode("orcids").alias("name", "orcid")).where("name IS NOT NULL AND orcid IS NOT NULL")
+        united = each.groupBy("component", "name").agg(F.max("orcid").alias("orcid")).groupBy("component").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "orcid")))).alias("orcids"))
+        out = out.join(united, "component", "left")
+    return out
 
 
 def _survivors(one: DataFrame, members: DataFrame) -> DataFrame:

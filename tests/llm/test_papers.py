@@ -48,3 +48,10 @@ def test_missing_values_are_filled_from_any_record(spark):
     rows = [rec(1, "10.1000/a", "Foobar", None, None), rec(2, "10.1000/a", None, ["Sato, Ana"], 2021, "Letters")]
     m = papers.merged_papers(spark.createDataFrame(rows, SCHEMAS["citation_records"])).first()
     assert (m.title, m.authors, m.year, m.venue, m.alt_dois) == ("Foobar", ["Sato, Ana"], 2021, "Letters", [])
+
+
+def test_orcids_are_united(spark):
+    a, b = list(rec(1, "10.1000/a", "Foobar")), list(rec(2, "10.1000/a", "Foobar"))
+    a[9], b[9] = {"Sato, Ana": "1"}, {"Ana Sato": "1"}
+    m = papers.merged_papers(spark.createDataFrame([tuple(a), tuple(b)], SCHEMAS["citation_records"])).first()
+    assert m.orcids == {"Sato, Ana": "1", "Ana Sato": "1"}
