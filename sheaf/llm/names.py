@@ -3,8 +3,9 @@
 Names are read into family and given tokens. Tokens, not names, are compared:
 suffix blocking indexes the suffixes of each distinct token above a least
 length; a suffix that too many tokens have is refined with the token's first
-letters; pairs within a block are compared by longest-common-subsequence ratio
-and then for one slipped letter. A token is replaced by the more frequent one
+letters; what is left of a token without any one letter is indexed as well, so
+that every slip meets its right form; pairs within a block are compared by
+longest-common-subsequence ratio and then for one slipped letter. A token is replaced by the more frequent one
 it slipped from. Names that then agree in family and given name are one author.
 Nicknames and initials join the only author they fit; where they fit several,
 the author decides with whom they share papers and ORCIDs.
@@ -25,7 +26,6 @@ from sheaf.llm.runs import slipped
 from sheaf.session import cut
 
 SUFFIX = 4  # least length of an indexed suffix
-SHORT = 8
 COMMON = 40  # tokens from which a suffix is refined
 RATIO = 0.8  # longest common subsequence, of the mean length
 
@@ -173,21 +173,18 @@ def slips(tokens: DataFrame) -> DataFrame:
 
     ``tokens`` has role, token, n and ratio. Tokens of under four letters, and numbers, never slip.
     """
-    none = F.array().cast("array<string>")
-    short = F.length("token") <= SHORT
-    # all suffixes above the least length. What a suffix cannot reach, as the slip is in the last
-    # letters, the first letters or the set of letters bring together; a short token has few
-    # suffixes, so what is left of it without one letter is added.
+    # all suffixes above the least length, and what is left of a token without any one letter: two
+    # tokens of which one slipped from the other always have one of the latter in common, whatever
+    # their length and wherever the slip is, and few others have it
     keys = F.concat(
         F.transform(F.sequence(F.lit(SUFFIX), F.length("token")), lambda k: F.concat(F.lit("s"), F.substring("token", -k, k))),
-        F.array(F.concat(F.lit("p"), F.substring("token", 1, 4)), F.concat(F.lit("q"), F.substring("token", 1, 1), F.array_join(F.array_sort(F.array_distinct(F.split("token", ""))), ""))),
-        F.when(short, F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token"))))).otherwise(none),
-        F.when(short, F.array(F.concat(F.lit("d"), "token"))).otherwise(none),
+        F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token")))),
+        F.array(F.concat(F.lit("d"), "token")),
     )
     keyed = tokens.where(F.length("token") >= SUFFIX).select("role", "token", "n", "ratio", F.explode(keys).alias("key"))
     block = Window.partitionBy("role", "key")
-    exact = F.substring("key", 1, 1).isin("q", "d")
-    # a suffix that is too common is refined with the first letters; one that then still is says too little
+    exact = F.substring("key", 1, 1) == "d"
+    # a suffix that is too common is refined with the first letters; one that then still is is left to the exact keys
     refined = keyed.withColumn("c", F.count("*").over(block)).where("c > 1").withColumn("key", F.when((F.col("c") > COMMON) & ~exact, F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
     blocks = refined.withColumn("c", F.count("*").over(block)).where((F.col("c") > 1) & ((F.col("c") <= 4 * COMMON) | exact))
     a = blocks.select("role", "key", "token", "n", "ratio")

@@ -54,3 +54,12 @@ def test_slips_against_brute_force(spark):
     got = {r.token for r in names.slips(df).collect()}
     want = {a for a, n in words.items() for b, m in words.items() if (m > n or m == n and b < a) and slipped(a, b) and names.lcs_ratio(a, b) >= names.RATIO}
     assert got == want
+
+
+def test_slips_of_long_tokens_in_crowded_blocks(spark):
+    import itertools
+
+    crowd = ["sate" + "".join(x) + "mun" for x in itertools.product("bcfghjkmnp", "ou", "bcfghjkmnp")]
+    slips = {"sateldez": "satelidez", "satelizapemko": "satelizapemiko", "satelovapnik": "satelovapink", "satelunnapoo": "satelunnapo"}
+    df = spark.createDataFrame([("r", w, 1, 5) for w in [*crowd, *slips]] + [("r", w, 9, 5) for w in slips.values()], "role string, token string, n long, ratio int")
+    assert {r.token: r.canon for r in names.slips(df).collect()} == slips
