@@ -9,7 +9,12 @@ belongs to the kind of line it stands in, as lists, tables, headings, code and
 signatures end in other ways than prose. A text is cut if its last trigram is
 frequent inside texts and almost never last, or if it is unknown inside texts
 although its first two words are frequent (a word was cut), and if its last
-line isn't of a shape with which many texts end (signatures, notes). Lengths
+line isn't of a shape with which many texts end (signatures, notes). Lists,
+tables and headings end without a stop, so there the ends of all their lines
+are counted, and the last word, as itself, is judged too: a word frequent
+inside such lines and almost never last, or one that stands nowhere but at
+ends of texts and begins a frequent word. A code fence left open is a cut.
+Lengths
 far more frequent than their neighbours within a source are field limits; a
 text of such a length is cut unless it ends like a sentence.
 """
@@ -36,11 +41,12 @@ TAIL = 400
 _FEATURES = r"""
 SELECT doc_id, source, n, spoken, kind, array_join(slice(words, greatest(size(words) - 2, 1), 3), ' ') AS g,
   CASE WHEN size(words) <= 8 THEN array_join(words, ' ') ELSE '' END AS shape,
-  marked OR NOT regexp_like(right(line, 8), '[.?!。？！:]["”’»)\\]*_]*$') AS open_end, marked
+  CASE WHEN kind IN ('table', 'heading', 'list') THEN regexp_extract(lower(line), '([\\p{{L}}\\p{{M}}\\p{{N}}]+)$', 1) ELSE '' END AS word, fence,
+  marked OR fence OR NOT regexp_like(right(line, 8), '[.?!。？！:]["”’»)\\]*_]*$') AS open_end, marked
 FROM (
   SELECT *,
     CASE WHEN spoken THEN 'speech'
-      WHEN line RLIKE '^(```|~~~)' OR fences % 2 = 1 THEN 'code'
+      WHEN line RLIKE '^(```|~~~)' OR fence THEN 'code'
       WHEN line RLIKE '^\\s*[|]' THEN 'table'
       WHEN line RLIKE '^#' THEN 'heading'
       WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list'
@@ -48,9 +54,13 @@ FROM (
     split(regexp_replace(regexp_replace(regexp_replace(line, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+w?', 'X'), '\\p{{N}}+', 'n'), ' ') AS words,
     regexp_like(right(line, 8), '(\\.\\.\\.|…|\\x{{FFFD}}|\\[(\\.\\.\\.|…)\\])$') AS marked
   FROM (
-    SELECT doc_id, source, n, spoken, fences, substring_index(tail, '\n', -1) AS line
+    SELECT doc_id, source, n, spoken, fence, substring_index(tail, '\n', -1) AS line
     FROM (SELECT doc_id, coalesce(source, '') AS source, length(text) AS n, {spoken_test} AS spoken,
-            (length(text) - length(replace(replace(text, '```', ''), '~~~', ''))) div 3 AS fences,
+            CASE WHEN contains(text, '```') OR contains(text, '~~~') THEN
+              aggregate(regexp_extract_all(text, '(?m)^[ \\t>]*(?:`{{3,}}[^`\\n]*|~{{3,}}[^\\n]*)$', 0), '', (open, x) -> CASE
+                WHEN open = '' THEN regexp_extract(x, '(`+|~+)', 1)
+                WHEN startswith(trim(' \t>\r' FROM x), open) AND regexp_like(x, '^[ \\t>]*[`~]+\\s*$') THEN '' ELSE open END) <> ''
+              ELSE false END AS fence,
             rtrim(' \t\n\r\f', regexp_replace(right(text, {tail}), '[\\x{{200B}}\\x{{00A0}}]', ' ')) AS tail
           FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL)
     WHERE length(tail) > 0))
@@ -58,19 +68,40 @@ FROM (
 
 _SPOKEN = r"NOT regexp_like(left(text, 600), '[.,;:?!。、#|()\\p{Lu}]|\n\n')"
 
-# trigrams of written text by class: inside a line, by kind of line
+_KIND = r"""CASE WHEN line RLIKE '^\\s*[|]' THEN 'table' WHEN line RLIKE '^#' THEN 'heading' WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list' ELSE 'prose' END"""
+
+# trigrams of written text by class: inside a line and, but for prose, at its end, by kind of line
 _WRITTEN = r"""
-SELECT kind, g, count(*) AS inside FROM (
-  SELECT kind, explode(transform(sequence(2, size(w) - 2), i -> w[i - 2] || ' ' || w[i - 1] || ' ' || w[i])) AS g
+SELECT kind, x.g, count_if(NOT x.final) AS inside, count_if(x.final) AS ends FROM (
+  SELECT kind, explode(transform(sequence(2, size(w) - IF(kind = 'prose', 2, 1)), i -> struct(w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g, i = size(w) - 1 AS final))) AS x
   FROM (
-    SELECT CASE WHEN line RLIKE '^\\s*[|]' THEN 'table' WHEN line RLIKE '^#' THEN 'heading'
-        WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list' ELSE 'prose' END AS kind,
-      split(line, ' ') AS w
-    FROM (SELECT explode(split(regexp_replace(regexp_replace(regexp_replace(text, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+w?', 'X'), '\\p{{N}}+', 'n'), '\n')) AS line
-          FROM {documents} WHERE text IS NOT NULL)
-    WHERE line LIKE '% % % %')
-  WHERE size(w) > 3)
-GROUP BY kind, g
+    SELECT kind, split(IF(kind = 'prose', line, rtrim(' \t\r\f', line)), ' ') AS w
+    FROM (SELECT line, {kind} AS kind FROM (
+      SELECT explode(split(regexp_replace(regexp_replace(regexp_replace(text, '[\\p{{Ll}}\\p{{Lo}}\\p{{M}}]+', 'w'), '\\p{{Lu}}+w?', 'X'), '\\p{{N}}+', 'n'), '\n')) AS line
+      FROM {documents} WHERE text IS NOT NULL))
+    WHERE line LIKE '% % %')
+  WHERE size(w) > IF(kind = 'prose', 3, 2))
+GROUP BY 1, 2
+"""
+
+# words by kind of line: inside a line and at its end
+_WORDS = r"""
+SELECT kind, x.word, count_if(NOT x.final) AS inside, count_if(x.final) AS ends FROM (
+  SELECT kind, explode(transform(words, (w, i) -> struct(w AS word, i = size(words) - 1 AS final))) AS x
+  FROM (SELECT {kind} AS kind, filter(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '') AS words
+    FROM (SELECT explode(split(text, '\n')) AS line FROM {documents} WHERE text IS NOT NULL)))
+GROUP BY 1, 2
+"""
+
+# last words that tell a cut
+_UNFINISHED = r"""
+WITH last AS (SELECT kind, word, count(*) AS last FROM {features} WHERE word <> '' GROUP BY 1, 2),
+texts AS (SELECT word, sum(last) AS last FROM last GROUP BY word),
+total AS (SELECT word, sum(inside + ends) AS n FROM {words} GROUP BY word),
+begun AS (SELECT DISTINCT explode(transform(sequence(1, length(word) - 1), k -> left(word, k))) AS word FROM total WHERE n >= {least} AND length(word) > 1)
+SELECT l.kind, l.word FROM last l JOIN {words} w ON w.kind = l.kind AND w.word = l.word WHERE w.inside >= {least} AND w.ends <= {terminal} * (w.inside + w.ends)
+UNION
+SELECT l.kind, l.word FROM last l JOIN texts t ON t.word = l.word JOIN total a ON a.word = l.word LEFT SEMI JOIN begun b ON b.word = l.word WHERE a.n <= t.last AND NOT l.word RLIKE '^[0-9]'
 """
 
 _SPOKEN_WORDS = r"""
@@ -99,10 +130,11 @@ SELECT e.doc_id FROM ends e JOIN verdict v ON v.g = e.g
 """
 
 _VERDICT = r"""
-WITH ends AS (SELECT kind, g, count(*) AS last FROM {features} WHERE NOT spoken AND kind = 'prose' GROUP BY 1, 2),
+WITH ends AS (SELECT kind, g, count(*) AS last FROM {features} WHERE NOT spoken AND kind <> 'code' GROUP BY 1, 2),
 rare AS (
   SELECT e.kind, e.g FROM ends e LEFT JOIN {written} w ON w.kind = e.kind AND w.g = e.g
-  WHERE coalesce(w.inside, 0) < {least} OR e.last <= {terminal} * (w.inside + e.last)),
+  WHERE CASE WHEN e.kind = 'prose' THEN coalesce(w.inside, 0) < {least} OR e.last <= {terminal} * (w.inside + e.last)
+    ELSE w.inside >= {least} AND w.ends <= {terminal} * (w.inside + w.ends) END),
 footers AS (
   SELECT shape FROM (SELECT shape, count(*) AS c, sum(count(*)) OVER () AS total FROM {features} GROUP BY shape)
   WHERE shape <> '' AND c >= {footer} * total AND c >= 2),
@@ -112,13 +144,14 @@ limits AS (
       (sum(c) OVER (PARTITION BY source ORDER BY n RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING) - c) / 80.0 AS others
     FROM (SELECT source, n, count(*) AS c FROM {features} GROUP BY source, n))
   WHERE n >= 100 AND c >= 3 AND c >= {limit_share} * texts AND c >= {limit} * others)
-SELECT f.doc_id, f.source, CASE WHEN l.n IS NOT NULL THEN 'limit' WHEN f.marked THEN 'mark' ELSE 'trigram' END AS evidence
+SELECT f.doc_id, f.source, CASE WHEN l.n IS NOT NULL THEN 'limit' WHEN f.marked THEN 'mark' WHEN f.fence THEN 'fence' WHEN u.word IS NOT NULL AND r.g IS NULL THEN 'word' ELSE 'trigram' END AS evidence
 FROM {features} f
 LEFT JOIN limits l ON l.source = f.source AND l.n = f.n
 LEFT JOIN {cut_speech} s ON s.doc_id = f.doc_id
 LEFT JOIN rare r ON r.kind = f.kind AND r.g = f.g
 LEFT JOIN footers t ON t.shape = f.shape
-WHERE f.open_end AND (l.n IS NOT NULL OR f.marked OR s.doc_id IS NOT NULL OR (NOT f.spoken AND r.g IS NOT NULL AND t.shape IS NULL))
+LEFT JOIN {unfinished} u ON u.kind = f.kind AND u.word = f.word
+WHERE f.open_end AND (l.n IS NOT NULL OR f.marked OR f.fence OR s.doc_id IS NOT NULL OR u.word IS NOT NULL OR (NOT f.spoken AND r.g IS NOT NULL AND (t.shape IS NULL OR f.kind <> 'prose')))
 """
 
 
@@ -139,8 +172,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     listed = "array(" + ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'" for w in words or [""]) + ")"
     speech = spark.sql(_SPEECH.replace("{listed}", listed), spoken=spoken)
     cut_speech = spark.sql(_CUT_SPEECH, speech=speech, often=SPOKEN_LEAST, terminal=SPOKEN_TERMINAL, least=LEAST)
-    written = spark.sql(_WRITTEN, documents=docs)
-    return spark.sql(_VERDICT, features=features, written=written, cut_speech=cut_speech, least=LEAST, terminal=TERMINAL, footer=FOOTER, limit=LIMIT, limit_share=LIMIT_SHARE)
+    written = spark.sql(_WRITTEN.replace("{kind}", _KIND), documents=docs)
+    words_by_kind = cut(spark.sql(_WORDS.replace("{kind}", _KIND), documents=docs))
+    unfinished = spark.sql(_UNFINISHED, features=features, words=words_by_kind, least=LEAST, terminal=TERMINAL)
+    return spark.sql(_VERDICT, features=features, written=written, unfinished=unfinished, cut_speech=cut_speech, least=LEAST, terminal=TERMINAL, footer=FOOTER, limit=LIMIT, limit_share=LIMIT_SHARE)
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:

@@ -39,3 +39,22 @@ def test_cut_texts_are_found_and_whole_ones_are_not(spark):
 def test_marks_of_a_cut(spark):
     df = spark.createDataFrame([(1, "w", "A whole sentence. And a part of…"), (2, "w", "A whole sentence. And half \ufffd"), (3, "w", "All is whole."), (4, "w", "“All is whole.”"), (5, "w", " \n")], "doc_id long, source string, text string")
     assert {1, 2} <= {r.doc_id for r in truncated(df).collect()} <= {1, 2}
+
+
+def test_cuts_inside_lists_tables_headings_and_fences(spark):
+    random.seed(6)
+    sentence = lambda: ("the " + " ".join(random.choice(WORDS) for _ in range(8))).capitalize() + "."
+    pair = lambda: f"{random.choice(WORDS[:6])} of the {random.choice(WORDS)}"
+    whole = {"list": lambda: "- " + pair(), "heading": lambda: "## The " + pair(), "table": lambda: f"| {pair()} | {pair()} |", "fence": lambda: "```\nx = 1\n```"}
+    docs = []
+    for i in range(400):
+        kind = whole[list(whole)[i % 4]]
+        docs.append((i, f"site {i}", "\n\n".join([sentence(), *(kind() for _ in range(4))])))  # no source has a field limit
+    ends = {
+        1000: "- river of the", 1001: "- river of the harb", 1002: "## The river of", 1003: "## The river of the lig", 1004: "| stone of the paper | river of the", 1005: "| stone of the paper | river of the eng",
+        1006: "```\nx = 1", 1007: "~~~py\ndef f(x):", 1008: "```\n~~~\n", 1009: "| stone of the paper | river",
+        2000: "```\n~~~\n```", 2001: "- river of the harbour", 2002: "~~~~\n~~~\nx\n~~~~", 2003: "Say ``` twice.", 2004: "## The river of the light",
+    }
+    docs += [(i, "web", sentence() + "\n\n" + end) for i, end in ends.items()]
+    got = {r.doc_id for r in truncated(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
+    assert got == {i for i in ends if i < 2000}
