@@ -4,7 +4,8 @@ Timed cues are swept in their order. Labels in any way of writing (Name:,
 NAME -, [Name], (name), F. Last:, Dr. Last:, a slipped letter) are read from
 each cue alone; a video's few distinct labels and its chapters' names form its
 roster; a turn begins where the roster's speaker changes, or at each sign
-(>>, a dash) where there are no labels. Rolling-caption repetition is what
+(>>, a dash) where there are no labels. Where nothing has marked a speaker yet, a
+turn also begins after a pause: a gap far out of all the video's gaps. Rolling-caption repetition is what
 stands at the end of one cue and the start of the next. The sweep goes over
 chunks of a video, joined by a summary row each, so a live stream spreads.
 """
@@ -24,6 +25,7 @@ from sheaf.llm.runs import cue_runs, slipped
 from sheaf.session import cut
 
 CHUNK = 512
+PAUSE = 1.0  # least seconds of a pause; a video's own gaps may ask for more
 
 # fixed values: speakers by role, openers that look like labels, sounds, fillers
 ROLES = {"host", "cohost", "co-host", "guest", "moderator", "speaker", "interviewer", "interviewee", "narrator", "presenter", "announcer", "audience", "caller", "panelist", "reporter", "anchor", "voice", "questioner", "respondent", "participant", "man", "woman"}
@@ -341,22 +343,35 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def speaker_turns(captions: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(video_id, turn_no, speaker, first_idx, start, end_time, text) of videos that mark speakers.
+    """(video_id, turn_no, speaker, first_idx, start, end_time, text) of every video with spoken words.
 
-    Text before the first mark is turn 0 without a speaker.
+    Text before the first mark, and all of a video without marks, is turn 0 without
+    a speaker and is split at pauses: gaps of PAUSE seconds or more that pass the
+    upper quartile of the video's gaps by three times the range between quartiles.
     """
     changes = cut(speaker_changes(captions, chapters))
-    cues = captions.where("video_id IS NOT NULL AND seg_idx IS NOT NULL").select("video_id", F.col("seg_idx").cast("long").alias("i"), "text", F.col("start").alias("s"), (F.col("start") + F.coalesce("duration", F.lit(0.0))).alias("e"))
-    runs = cue_runs(captions.where("video_id IS NOT NULL"), ["video_id"], "seg_idx").where("cues >= 2").select("video_id", F.explode(F.sequence(F.col("first_idx") + 1, F.col("last_idx"))).alias("i"))
-    cues = cues.join(changes.select("video_id").distinct(), "video_id", "left_semi").dropDuplicates(["video_id", "i"]).join(runs, ["video_id", "i"], "left_anti")
+    length = F.greatest(F.coalesce(F.when(~F.isnan("duration"), F.col("duration")), F.lit(0.0)), F.lit(0.0))
+    cues = captions.where("video_id IS NOT NULL AND seg_idx IS NOT NULL").select("video_id", F.col("seg_idx").cast("long").alias("i"), "text", F.when(~F.isnan("start"), F.col("start")).alias("s"), length.alias("d"))
+    runs = cut(cue_runs(captions.where("video_id IS NOT NULL"), ["video_id"], "seg_idx").where("cues >= 2").select("video_id", "first_idx", "last_idx", (F.col("start") + F.col("duration")).alias("run_end")))
+    again = runs.select("video_id", F.explode(F.sequence(F.col("first_idx") + 1, F.col("last_idx"))).alias("i"))
+    # a repeated cue is spoken until its last repetition ends
+    cues = cues.dropDuplicates(["video_id", "i"]).join(again, ["video_id", "i"], "left_anti").join(runs.select("video_id", F.col("first_idx").alias("i"), "run_end"), ["video_id", "i"], "left").withColumn("e", F.greatest(F.col("s") + F.col("d"), F.col("run_end")))
     at = changes.groupBy("video_id", F.col("seg_idx").cast("long").alias("i")).agg(F.sort_array(F.collect_list(F.struct("at", "speaker"))).alias("x"))
     pieces = cues.join(at, ["video_id", "i"], "left").select("video_id", "i", "text", "s", "e", "x").mapInArrow(_pieces, "video_id string, i long, k int, speaker string, opens boolean, s double, e double, text string")
     part = pieces.withColumn("c", F.floor(F.col("i") / CHUNK))
     inside = Window.partitionBy("video_id", "c").orderBy("i", "k")
-    part = cut(part.withColumn("n", F.sum(F.col("opens").cast("int")).over(inside)))
-    per_chunk = part.groupBy("video_id", "c").agg(F.sum(F.col("opens").cast("int")).alias("m"))
-    offset = per_chunk.select("video_id", "c", (F.sum("m").over(Window.partitionBy("video_id").orderBy("c")) - F.col("m")).alias("o"))
-    numbered = part.join(offset, ["video_id", "c"]).withColumn("turn_no", (F.col("n") + F.col("o")).cast("int"))
+    past = Window.partitionBy("video_id").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    part = cut(part.withColumn("n", F.sum(F.col("opens").cast("int")).over(inside)).withColumn("until", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1))))
+    per_chunk = part.groupBy("video_id", "c").agg(F.sum(F.col("opens").cast("int")).alias("m"), F.max("e").alias("e"))
+    offset = per_chunk.select("video_id", "c", F.coalesce(F.sum("m").over(past), F.lit(0)).alias("o"), F.max("e").over(past).alias("before"))
+    marked = part.join(offset, ["video_id", "c"]).withColumn("marks", F.col("n") + F.col("o")).withColumn("gap", F.col("s") - F.greatest("until", "before"))
+    marked = cut(marked.drop("n", "o", "until", "before"))
+    quartile = F.percentile_approx("gap", F.array(F.lit(0.25), F.lit(0.75)), 1000)
+    limits = marked.where("k = 0 AND gap IS NOT NULL").groupBy("video_id").agg(quartile.alias("q")).select("video_id", (F.col("q")[1] + 3 * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
+    pause = (F.col("marks") == 0) & (F.col("gap") >= PAUSE) & (F.col("gap") > F.col("limit"))
+    paused = marked.join(limits, "video_id", "left").withColumn("paused", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("p", F.sum("paused").over(inside))
+    pauses = paused.groupBy("video_id", "c").agg(F.sum("paused").alias("m")).select("video_id", "c", F.coalesce(F.sum("m").over(past), F.lit(0)).alias("o"))
+    numbered = paused.join(pauses, ["video_id", "c"]).withColumn("turn_no", (F.col("marks") + F.col("p") + F.col("o")).cast("int"))
     turns = numbered.groupBy("video_id", "turn_no").agg(
         F.max("speaker").alias("speaker"), F.min("i").cast("int").alias("first_idx"), F.min("s").alias("start"), F.max("e").alias("end_time"), F.transform(F.sort_array(F.collect_list(F.struct("i", "k", "text"))), lambda x: x["text"]).alias("parts")
     )

@@ -38,3 +38,29 @@ def test_turns_are_clean(spark):
     rows = [("v", 0, 0.0, 1.0, "[00:00:01] Gwen: um, I see ♪ the", "en", False, None), ("v", 1, 1.0, 1.0, "I see the river. FARID: [Music] uh, yes", "en", False, None)]
     out = turns.speaker_turns(spark.createDataFrame(rows, SCHEMAS["captions"]), spark.createDataFrame([], SCHEMAS["chapters"])).orderBy("turn_no").collect()
     assert [(r.speaker, r.text) for r in out] == [("gwen", "I see the river."), ("farid", "yes")]
+
+
+def turn_texts(spark, cues):
+    rows = [("v", i, s, d, t, "en", False, None) for i, (s, d, t) in enumerate(cues)]
+    out = turns.speaker_turns(spark.createDataFrame(rows, SCHEMAS["captions"]), spark.createDataFrame([], SCHEMAS["chapters"]))
+    return [(r.turn_no, r.speaker, r.first_idx, r.start, r.end_time, r.text) for r in out.orderBy("turn_no").collect()]
+
+
+def test_pauses_split_what_nobody_is_named_for(spark):
+    # over chunks: the second pause stands at a chunk's border
+    at, cues = 0.0, []
+    for i in range(turns.CHUNK + 10):
+        at += 9.0 if i in (5, turns.CHUNK) else 0.25 * (i % 3)
+        cues.append((at, 2.0, f"w{i}"))
+        at += 2.0
+    got = turn_texts(spark, cues)
+    assert [(n, who, first) for n, who, first, *_ in got] == [(0, None, 0), (1, None, 5), (2, None, turns.CHUNK)]
+    assert got[0][5] == "w0 w1 w2 w3 w4" and got[1][3] == cues[5][0] and got[1][4] == cues[turns.CHUNK - 1][0] + 2.0
+
+
+def test_pauses_are_measured_by_the_video(spark):
+    slow = [(i * 5.0, 2.0, f"w{i}") for i in range(9)]
+    assert len(turn_texts(spark, slow)) == 1
+    # a sound and repeated cues are no pause's end and no pause; a named speaker may pause
+    cues = [(0.0, 1.0, "one"), (1.0, 1.0, "two"), (2.0, 1.0, "two"), (3.0, 4.0, "Two."), (7.0, 1.0, "three"), (13.0, 1.0, "[Music]"), (14.0, 1.0, "four"), (15.0, 1.0, "Gwen: five"), (29.0, 1.0, "six"), *((30.0 + i, 1.0, f"x{i}") for i in range(9)), (None, None, "seven")]
+    assert [x[1:3] + x[5:] for x in turn_texts(spark, cues)] == [(None, 0, "one two three"), (None, 6, "four"), ("gwen", 7, "five six x0 x1 x2 x3 x4 x5 x6 x7 x8 seven")]
