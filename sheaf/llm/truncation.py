@@ -66,7 +66,8 @@ FROM (
     WHERE length(tail) > 0))
 """
 
-_SPOKEN = r"NOT regexp_like(left(text, 600), '[.,;:?!。、#|()\\p{Lu}]|\n\n')"
+# running speech: at most one mark or capital in 600 characters of the whole text
+_SPOKEN = r"regexp_count(text, '[.,;:?!。、#|()\\p{Lu}]|\n\n') * 600 <= length(text)"
 
 _KIND = r"""CASE WHEN line RLIKE '^\\s*[|]' THEN 'table' WHEN line RLIKE '^#' THEN 'heading' WHEN line RLIKE '^([-*+•]|[0-9]+[.)]) ' THEN 'list' ELSE 'prose' END"""
 

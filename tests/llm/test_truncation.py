@@ -58,3 +58,12 @@ def test_cuts_inside_lists_tables_headings_and_fences(spark):
     docs += [(i, "web", sentence() + "\n\n" + end) for i, end in ends.items()]
     got = {r.doc_id for r in truncated(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()}
     assert got == {i for i in ends if i < 2000}
+
+
+def test_speech_is_told_by_the_whole_text(spark):
+    from sheaf.llm import truncation
+
+    words = " ".join(WORDS * 20)
+    texts = {"starts unmarked": words[:700] + " The river. " + "A stone, a bridge. " * 40, "one mark": "so, " + words[:1500], "no mark": words[:300], "prose": "The river. " * 30}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    assert {r.name for r in df.where(truncation._SPOKEN).collect()} == {"one mark", "no mark"}
