@@ -301,16 +301,25 @@ def clean(text: str) -> str:
     return re.sub(r"\s+([,.?!])", r"\1", re.sub(r"\s+", " ", text)).strip()
 
 
+def _overlap(end: list[str], start: list[str]) -> int:
+    """The length of the longest end of the one that begins the other, by the prefix function: linear."""
+    line = [*start, None, *end]
+    borders = [0] * len(line)
+    for i in range(1, len(line)):
+        k = borders[i - 1]
+        while k and line[i] != line[k]:
+            k = borders[k - 1]
+        borders[i] = k + (line[i] == line[k])
+    return borders[-1] if end else 0
+
+
 def joined(parts: list[str]) -> str:
     """Pieces in order, without what the end of one and the start of the next have in common (two words or more)."""
     words: list[str] = []
     for part in parts:
         new = part.split()
-        low = [w.lower().strip(".,?!") for w in words[-40:]]
-        for n in range(min(len(low), len(new)), 1, -1):
-            if low[-n:] == [w.lower().strip(".,?!") for w in new[:n]]:
-                new = new[n:]
-                break
+        n = _overlap([w.lower().strip(".,?!") for w in words[-len(new) :]], [w.lower().strip(".,?!") for w in new]) if new else 0
+        new = new[n if n > 1 else 0 :]
         words += new
     return " ".join(words)
 

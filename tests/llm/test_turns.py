@@ -64,3 +64,9 @@ def test_pauses_are_measured_by_the_video(spark):
     # a sound and repeated cues are no pause's end and no pause; a named speaker may pause
     cues = [(0.0, 1.0, "one"), (1.0, 1.0, "two"), (2.0, 1.0, "two"), (3.0, 4.0, "Two."), (7.0, 1.0, "three"), (13.0, 1.0, "[Music]"), (14.0, 1.0, "four"), (15.0, 1.0, "Gwen: five"), (29.0, 1.0, "six"), *((30.0 + i, 1.0, f"x{i}") for i in range(9)), (None, None, "seven")]
     assert [x[1:3] + x[5:] for x in turn_texts(spark, cues)] == [(None, 0, "one two three"), (None, 6, "four"), ("gwen", 7, "five six x0 x1 x2 x3 x4 x5 x6 x7 x8 seven")]
+
+
+def test_long_repetitions_are_joined():
+    words = [f"w{i}" for i in range(100)]
+    assert turns.joined([" ".join(words[:80]), " ".join(words[10:])]) == " ".join(words)
+    assert turns.joined(["", "a b", "b c", "b c d", ""]) == "a b b c d"
