@@ -24,6 +24,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.found(table(spark, d, "captions"))
 
 
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every cue with words, runs collapsed into one with count and whole duration."""
+    return runs.cue_runs(table(spark, d, "captions").where("video_id IS NOT NULL"), ["video_id"], "seg_idx")
+
+
+def p3_window_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two or more among the segments of windows."""
+    return runs.window_runs(table(spark, d, "windows"), least=2)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.found(table(spark, d, "citation_records"))
 
@@ -69,4 +79,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_runs, p3_window_runs, p4_found, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}

@@ -16,6 +16,16 @@ def test_same_words():
     assert same_words("the quick fox", "teh quick foxx") and not same_words("step 4 of 9", "step 5 of 9") and not same_words(None, None)
 
 
+def test_every_word_may_slip():
+    words = "alpha bravo carbon delta echoes forest garden harbour island jungle kernel lantern".split()
+    assert same_words(" ".join(words), " ".join(w[1:] for w in words))
+
+
+def test_entities_in_capitals_are_no_words(spark):
+    df = spark.createDataFrame([("v", 0, 0.0, 1.0, "&gt;&gt; Ann: so"), ("v", 1, 1.0, 1.0, "&GT;&GT; ANN: SO")], CUES)
+    assert [r.cues for r in cue_runs(df, ["video_id"], "seg_idx").collect()] == [2]
+
+
 def brute(rows, norm):
     by = {}
     for r in rows:
@@ -59,3 +69,11 @@ def test_duration_is_the_whole_run(spark):
 def test_runs_go_on_over_windows(spark):
     df = spark.createDataFrame([("v", 0, [(0.0, 1.0, "x"), (1.0, 1.0, "y")]), ("v", 1, [(2.0, 1.0, "Y"), (3.0, 1.0, "z")])], "video_id string, win_idx int, segments array<struct<start:double,duration:double,text:string>>")
     assert sorted(r.cues for r in window_runs(df).collect()) == [1, 1, 2]
+    r = window_runs(df, least=2).first()
+    assert (r.first_win, r.first_pos, r.last_win, r.last_pos, r.duration) == (0, 1, 1, 0, 2.0)
+
+
+def test_long_windows_do_not_collide(spark):
+    a, b = [(0.0, 1.0, f"word{i % 2}") for i in range(100_001)], [(0.0, 1.0, "word0")]
+    df = spark.createDataFrame([("v", 0, a), ("v", 1, b)], "video_id string, win_idx int, segments array<struct<start:double,duration:double,text:string>>")
+    assert [(r.first_win, r.first_pos, r.last_win) for r in window_runs(df, least=2).collect()] == [(0, 100_000, 1)]
