@@ -36,9 +36,25 @@ def test_cut_texts_are_found_and_whole_ones_are_not(spark):
     assert rates["forum"] > 0.9 > rates["web"]
 
 
-def test_marks_of_a_cut(spark):
-    df = spark.createDataFrame([(1, "w", "A whole sentence. And a part of…"), (2, "w", "A whole sentence. And half \ufffd"), (3, "w", "All is whole."), (4, "w", "“All is whole.”"), (5, "w", " \n")], "doc_id long, source string, text string")
-    assert {1, 2} <= {r.doc_id for r in truncated(df).collect()} <= {1, 2}
+def test_marks_of_a_cut_are_taken_away_before_the_trigram_is_judged(spark):
+    whole = [(i, "w", "All of the river is whole and all of the stone is too. “So it was.”") for i in range(10, 80)]
+    df = spark.createDataFrame([(1, "w", "A whole sentence. And a part of…"), (2, "w", "A whole sentence, with stones. And half of it \ufffd"), (3, "w", "All is whole."), (4, "w", "“All is whole.”"), (5, "w", " \n"), (6, "w", "The stone is on the shelf.\n\nsee the shelf."), *whole], "doc_id long, source string, text string")
+    assert {r.doc_id: r.evidence for r in truncated(df).collect()} == {1: "trigram", 2: "trigram"}
+
+
+def test_scripts_without_spaces(spark):
+    docs = [(i, "w", "この資料には52個の資料があり、変換表によって整理される。文書と区間を比べると、目次のほうが早く更新される。") for i in range(70)]
+    df = spark.createDataFrame([*docs, (100, "w", "この資料には52個の資料があり、変換表によって整理される。文書と区間を比")], "doc_id long, source string, text string")
+    assert [r.doc_id for r in truncated(df).collect()] == [100]
+
+
+def test_a_limit_is_evidence_only_and_decides_in_speech_alone(spark):
+    random.seed(8)
+    prose = [(i, "s", ("The " + " ".join(random.choice(WORDS) for _ in range(30))).capitalize() + ".") for i in range(100)]
+    prose = [(i, s, t[:-1][:150] + ".") for i, s, t in prose]  # whole texts of one length
+    speech = [(1000 + i, "captions", " ".join(random.choice(WORDS) for _ in range(400))[:900]) for i in range(20)] + [(2000 + i, "captions", " ".join(random.choice(WORDS) for _ in range(100 + 7 * i))) for i in range(60)]
+    got = {r.doc_id: (r.evidence, r.at_limit) for r in truncated(spark.createDataFrame(prose + speech, "doc_id long, source string, text string")).collect()}
+    assert set(got) == {1000 + i for i in range(20)} and all(at for _, at in got.values())
 
 
 def test_cuts_inside_lists_tables_headings_and_fences(spark):
