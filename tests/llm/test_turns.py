@@ -43,7 +43,13 @@ def test_turns_are_clean(spark):
 def turn_texts(spark, cues):
     rows = [("v", i, s, d, t, "en", False, None) for i, (s, d, t) in enumerate(cues)]
     out = turns.speaker_turns(spark.createDataFrame(rows, SCHEMAS["captions"]), spark.createDataFrame([], SCHEMAS["chapters"]))
-    return [(r.turn_no, r.speaker, r.first_idx, r.start, r.end_time, r.text) for r in out.orderBy("turn_no").collect()]
+    turns_of = {}
+    for r in out.orderBy("turn_no", "part").collect():
+        t = turns_of.setdefault(r.turn_no, [r.speaker, r.first_idx, r.start, r.end_time, []])
+        assert t[0] == r.speaker and len(t[4]) == r.part
+        t[3] = max(t[3] or 0.0, r.end_time or 0.0)
+        t[4].append(r.text)
+    return [(n, *t[:4], " ".join(t[4])) for n, t in turns_of.items()]
 
 
 def test_pauses_split_what_nobody_is_named_for(spark):
@@ -66,7 +72,30 @@ def test_pauses_are_measured_by_the_video(spark):
     assert [x[1:3] + x[5:] for x in turn_texts(spark, cues)] == [(None, 0, "one two three"), (None, 6, "four"), ("gwen", 7, "five six x0 x1 x2 x3 x4 x5 x6 x7 x8 seven")]
 
 
-def test_long_repetitions_are_joined():
+def test_repetition_is_taken_away():
     words = [f"w{i}" for i in range(100)]
-    assert turns.joined([" ".join(words[:80]), " ".join(words[10:])]) == " ".join(words)
-    assert turns.joined(["", "a b", "b c", "b c d", ""]) == "a b b c d"
+    long = " ".join(words[10:])
+    assert long[turns.new_from(" ".join(words[:80]), long) :].split() == words[80:]
+    assert turns.new_from("a b", "b c") == 0 and "b c d"[turns.new_from("a b c", "b c d") :] == " d"
+    assert turns.new_from("Ann: so we go", "ANN: So w go.") == len("ANN: So w go.") and turns.new_from(None, "x y") == 0
+
+
+def test_a_label_in_what_is_repeated_begins_no_turn(spark):
+    assert starts(spark, ["Gwen: a river", "Farid: of stone", "Farid: of stone and Gwen: more"]) == [0, 1, 2]
+    assert starts(spark, ["so. Gwen: it ends. Farid: and", "Gwen: it ends. Farid: and now"]) == [0]
+
+
+def test_repetition_over_chunks(spark):
+    rows = [("v", i, float(i), 1.0, "w" + str(i), "en", False, None) for i in range(turns.CHUNK - 1)] + [("v", turns.CHUNK - 1, 900.0, 1.0, "Ann Poe: and so", "en", False, None), ("v", turns.CHUNK, 901.0, 1.0, "Bob Orr: here", "en", False, None), ("v", turns.CHUNK + 1, 902.0, 1.0, "Bob Orr: here", "en", False, None), ("v", 2 * turns.CHUNK - 1, 950.0, 1.0, "Ann Poe: yes. Bob Orr: no", "en", False, None), ("v", 2 * turns.CHUNK, 951.0, 1.0, "Ann Poe: yes. Bob Orr: no", "en", False, None)]
+    caps, ch = spark.createDataFrame(rows, SCHEMAS["captions"]), spark.createDataFrame([], SCHEMAS["chapters"])
+    assert sorted(r.first_idx for r in turns.found(caps, ch).collect()) == [turns.CHUNK - 1, turns.CHUNK, 2 * turns.CHUNK - 1]
+
+
+def test_openers_are_told_from_all_videos(spark):
+    rows = [(f"v{v}", i, float(i), 1.0, t, "en", False, None) for v in range(9) for i, t in enumerate(["Gwen: Sidebar: a", "Farid: b", "Sidebar: c", "Gwen: d"])]
+    caps, ch = spark.createDataFrame(rows, SCHEMAS["captions"]), spark.createDataFrame([], SCHEMAS["chapters"])
+    assert sorted({r.first_idx for r in turns.found(caps, ch).collect()}) == [0, 1, 3]
+
+
+def test_labels_of_three_words(spark):
+    assert starts(spark, ["Ana Maria Sato: a", "Gwen: b", "Ana Maria Sato: c", "A. Sato: d"]) == [0, 1, 2]
