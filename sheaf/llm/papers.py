@@ -10,7 +10,8 @@ no hot key.
 Survivor: token-level consensus. The distinct values of a field are aligned
 progressively, heaviest first, against a growing column profile; tokens vote in
 each column with the weight of the records that hold them, and the existing
-value closest to the winning tokens survives.
+value closest to the winning tokens survives. DOIs vote as well, with weights by
+authority: one of a higher kind outweighs all of the lower kinds together.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from sheaf.operators.components import components
 from sheaf.session import cut
 from sheaf.sources.tables import latest
 
-FIELDS = ("title", "venue", "authors")
-MANY = 64  # distinct values of a field in one paper from which the consensus goes over two levels
+FIELDS = ("title", "venue", "authors", "doi")
+MANY = 64  # the heaviest values of a field in one paper are aligned; every other votes through the nearest of them
+BETWEEN = "\x1f"  # stands between the authors of a list, in no name
 
 
 def clean_doi(doi: Column) -> Column:
@@ -95,7 +97,8 @@ def paper_members(one: DataFrame) -> DataFrame:
     own = dois.join(titles_of, "d", "left").where("a = b")
     shared = own.withColumn("kind", doi_kind(F.col("d"))).groupBy("tkey", "kind").agg((F.min("d") != F.max("d")).alias("several")).groupBy("tkey").agg(F.max("several").alias("shared"))
     judged = base.select("record_id", "doi", "tkey", "mark", "year").join(shared, "tkey", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    by_doi = dois.where("tkey IS NOT NULL").select("record_id", F.concat_ws("\t", F.lit("d"), "d", "tkey").alias("key"))
+    # a DOI of several titles (a volume's) says nothing about a title of several papers ("Preface")
+    by_doi = dois.where("tkey IS NOT NULL").join(titles_of, "d").join(shared, "tkey", "left").where(~((F.col("a") != F.col("b")) & F.coalesce("shared", F.lit(False)))).select("record_id", F.concat_ws("\t", F.lit("d"), "d", "tkey").alias("key"))
     by_title = judged.where("tkey IS NOT NULL").select(
         "record_id", F.when(~F.col("shared"), F.concat_ws("\t", F.lit("t"), "tkey")).when(F.col("mark") != "", F.concat_ws("\t", F.lit("a"), "tkey", "mark", F.coalesce(F.col("year").cast("string"), F.lit("")))).alias("key")
     )
@@ -106,20 +109,21 @@ def paper_members(one: DataFrame) -> DataFrame:
     return components(by_doi.unionByName(by_title).unionByName(by_own).unionByName(alone), "record_id", "key")
 
 
-def surviving_dois(one: DataFrame, members: DataFrame) -> DataFrame:
-    """(component, doi, alt_dois): the most authoritative DOI and all others.
+def doi_votes(one: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, value, weight): the DOIs that a paper's records name, with weights by authority.
 
-    The publisher's comes before 10.1101/ and that before 10.48550/; ties go to
-    the DOI that more records have as their own, then that more name, then the
-    least. A DOI that other papers name too (a volume's) survives only where
-    no other is there.
+    The publisher's comes before 10.1101/ and that before 10.48550/, and one of a
+    higher kind outweighs all others. Within a kind the records that have a DOI as
+    their own count first, then those that name it. A DOI that other papers name
+    too (a volume's), and no record here has as its own, is the least of all.
     """
     named = one.select("record_id", "doi", F.explode(F.array_distinct(F.filter(F.concat(F.array("doi"), "alt_dois"), lambda x: x.isNotNull()))).alias("d")).join(members, "record_id")
-    counted = named.groupBy("component", "d").agg(F.count("*").alias("named"), F.sum((F.col("doi") == F.col("d")).cast("int")).alias("own"))
-    spread = counted.groupBy("d").agg((F.min("component") != F.max("component")).alias("spread"))
-    ranked = counted.join(spread, "d").withColumn("rank", F.struct((F.col("spread") & (F.coalesce("own", F.lit(0)) == 0)).cast("int").alias("s"), doi_kind(F.col("d")).alias("k"), (-F.coalesce("own", F.lit(0))).alias("o"), (-F.col("named")).alias("n"), F.col("d").alias("d")))
-    out = ranked.groupBy("component").agg(F.min("rank").alias("r"), F.sort_array(F.collect_set("d")).alias("all"))
-    return out.select("component", F.col("r.d").alias("doi"), F.array_remove("all", F.col("r.d")).alias("alt_dois"))
+    counted = cut(named.groupBy("component", "d").agg(F.count("*").alias("named"), F.sum(F.coalesce((F.col("doi") == F.col("d")).cast("int"), F.lit(0))).alias("own")))
+    shared = counted.groupBy("d").agg((F.min("component") != F.max("component")).alias("spread"))
+    total = counted.groupBy("component").agg((F.sum("named") + 1).cast("double").alias("t"))
+    level = F.when(F.col("spread") & (F.col("own") == 0), 0).otherwise(3 - doi_kind(F.col("d")))
+    weight = (F.col("own") * F.col("t") + F.col("named")) * F.pow("t", 3 * level)
+    return counted.join(shared, "d").join(total, "component").select("component", F.col("d").alias("value"), weight.alias("weight"))
 
 
 def tokens(value: str) -> list[str]:
@@ -127,7 +131,7 @@ def tokens(value: str) -> list[str]:
     return re.findall(r"[^\W_]+", plain.lower())
 
 
-def consensus(values: list[tuple[str, int]]) -> str:
+def consensus(values: list[tuple[str, float]]) -> str:
     """The existing value closest to the tokens that win the vote in each column.
 
     Values are aligned one after the other, heaviest first (ties: longest, then
@@ -144,7 +148,7 @@ def consensus(values: list[tuple[str, int]]) -> str:
     winners = [max(c.items(), key=lambda kv: (kv[1] * (0.5 if kv[0] is None else 1.0), kv[0] is not None, kv[0] or "")) for c in columns]
     target = [w for w, _ in winners if w is not None]
 
-    def far(item: tuple[str, int]):
+    def far(item: tuple[str, float]):
         value, weight = item
         shouting = value.upper() == value and value.lower() != value
         return (_distance(tokens(value), target), bool(re.search(r"[<{]", value)), shouting, value != value.strip(), -weight, value)
@@ -186,7 +190,8 @@ def _distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-_VOTE = pa.schema([("component", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("weight", pa.int64())])
+_VOTE = pa.schema([("component", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("weight", pa.float64())])
+_VOTE_DDL = "component long, field string, value string, weight double"
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +202,31 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, _VOTE)], schema=_VOTE)
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A value's vote goes to the heavy value with the least token distance, the heaviest of those."""
+    for batch in batches:
+        component, field, value, weight, heavy = (batch.column(i).to_pylist() for i in range(5))
+        to = [min(enumerate(h), key=lambda kv: (_distance(tokens(v), tokens(kv[1]["value"])), kv[0]))[1]["value"] for v, h in zip(value, heavy)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((component, field, to, weight), _VOTE)], schema=_VOTE)
+
+
 def _elect(values: DataFrame) -> DataFrame:
     """The consensus value of each (component, field) from (component, field, value, weight).
 
-    Distinct values are counted before they meet; where a paper has many, they
-    are split by hash and the winners of the parts vote again.
+    Distinct values are counted before they meet, so a copy costs nothing. The
+    MANY heaviest of a field are aligned; each other value adds its weight to the
+    nearest of them, in a row of its own. So every value votes, one rule holds at
+    every size, and no row holds more than MANY values.
     """
-    counted = values.groupBy("component", "field", "value").agg(F.sum("weight").alias("weight"))
-    sized = counted.groupBy("component", "field").agg(F.count("*").alias("distinct"))
-    part = F.when(F.col("distinct") > MANY, F.pmod(F.xxhash64("value"), F.ceil(F.col("distinct") / MANY).cast("long"))).otherwise(F.lit(0))
-    split = counted.join(sized, ["component", "field"]).withColumn("part", part)
-    ddl = "component long, field string, value string, weight long"
-    first = split.groupBy("component", "field", "part").agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("v")).select("component", "field", "v").mapInArrow(_vote, ddl)
-    return first.groupBy("component", "field").agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("v")).select("component", "field", "v").mapInArrow(_vote, ddl)
+    keys = ["component", "field"]
+    counted = values.groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    ranked = cut(counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("weight"), "value"))))
+    heavy = ranked.where(F.col("rank") <= MANY).select(*keys, "value", "weight")
+    list_of = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "value"))), lambda x: F.struct(x["value"].alias("value")))
+    rest = ranked.where(F.col("rank") > MANY).join(heavy.groupBy(*keys).agg(list_of.alias("heavy")), keys)
+    added = rest.select(*keys, "value", "weight", "heavy").mapInArrow(_nearest, _VOTE_DDL)
+    votes = heavy.unionByName(added).groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
+    return votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", "weight"))).alias("v")).select(*keys, "v").mapInArrow(_vote, _VOTE_DDL)
 
 
 def merged_papers(records: DataFrame) -> DataFrame:
@@ -238,9 +255,10 @@ def _survivors(one: DataFrame, members: DataFrame) -> DataFrame:
     # a venue in full words is worth more than a shortened one, a server's name less than any
     worth = F.when(F.lower(venue).rlike(r"^(arxiv|biorxiv|medrxiv)?\s*(preprint)?$"), 1).when(venue.rlike(r"\.( |$)"), 4).otherwise(16)
     fields = (
-        rows.where(F.trim("title") != "").select("component", F.lit("title").alias("field"), F.col("title").alias("value"), F.lit(1).cast("long").alias("weight"))
-        .unionByName(rows.where(venue != "").select("component", F.lit("venue").alias("field"), venue.alias("value"), worth.cast("long").alias("weight")))
-        .unionByName(rows.where(F.size("authors") > 0).select("component", F.lit("authors").alias("field"), F.array_join("authors", "; ").alias("value"), F.size("authors").cast("long").alias("weight")))
+        rows.where(F.trim("title") != "").select("component", F.lit("title").alias("field"), F.col("title").alias("value"), F.lit(1.0).alias("weight"))
+        .unionByName(rows.where(venue != "").select("component", F.lit("venue").alias("field"), venue.alias("value"), worth.cast("double").alias("weight")))
+        .unionByName(rows.where(F.size("authors") > 0).select("component", F.lit("authors").alias("field"), F.array_join("authors", BETWEEN).alias("value"), F.size("authors").cast("double").alias("weight")))
+        .unionByName(doi_votes(one, members).select("component", F.lit("doi").alias("field"), "value", "weight"))
     )
     elected = _elect(fields).groupBy("component").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
     years = rows.where("year IS NOT NULL").groupBy("component", "year").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "year")).alias("y")).select("component", F.col("y.year").alias("year"))
@@ -255,14 +273,18 @@ def _survivors(one: DataFrame, members: DataFrame) -> DataFrame:
         newest("source_tool"),
         newest("retraction"),
     )
-    dois = surviving_dois(one, members)
-    out = rest.join(dois, "component", "left").join(elected, "component", "left").join(years, "component", "left")
-    return out.withColumn("authors", F.split("authors", "; "))
+    named = one.select("record_id", F.explode(F.concat(F.array("doi"), "alt_dois")).alias("d")).where("d IS NOT NULL").join(members, "record_id").groupBy("component").agg(F.sort_array(F.collect_set("d")).alias("dois"))
+    out = rest.join(elected, "component", "left").join(named, "component", "left").join(years, "component", "left")
+    return out.withColumn("alt_dois", F.array_remove("dois", F.col("doi"))).drop("dois").withColumn("authors", F.split("authors", BETWEEN))
 
 
 def found(records: DataFrame) -> DataFrame:
-    """Every record of a paper with two or more records, with the surviving DOI (null if none of them has one)."""
+    """Every record of a paper with two or more records, with the surviving DOI (null if none of them has one).
+
+    The DOI is the one the consensus elects.
+    """
     one = cut(prepared(records))
     members = cut(paper_members(one))
-    papers = _survivors(one, members).where("records >= 2").select("component", "doi")
+    elected = _elect(doi_votes(one, members).select("component", F.lit("doi").alias("field"), "value", "weight")).select("component", F.col("value").alias("doi"))
+    papers = members.groupBy("component").agg(F.count("*").alias("records")).where("records >= 2").join(elected, "component", "left")
     return members.join(papers, "component").select("record_id", "doi")
