@@ -2,13 +2,13 @@
 
 Names are read into family and given tokens. Tokens, not names, are compared:
 suffix blocking indexes the suffixes of each distinct token above a least
-length; a suffix that too many tokens have is refined with the token's first
-letters; what is left of a token without any one letter is indexed as well, so
-that every slip meets its right form; pairs within a block are compared by
-longest-common-subsequence ratio and then for one slipped letter. A token is replaced by the more frequent one
-it slipped from. Names that then agree in family and given name are one author.
-Nicknames and initials join the only author they fit; where they fit several,
-the author decides with whom they share papers and ORCIDs.
+length; a suffix that too many tokens have is refined with what stands before
+it, less any one letter, so that none is left out and no pair is lost; pairs
+within a block are compared by longest-common-subsequence ratio. A token is
+replaced by the more frequent one it slipped from. Names that then agree in
+family and given name are one author. Nicknames and initials join the only
+author they fit; where they fit several, the author decides with whom they share
+papers and ORCIDs.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import papers
-from sheaf.llm.runs import slipped
 from sheaf.session import cut
 
 SUFFIX = 4  # least length of an indexed suffix
 COMMON = 40  # tokens from which a suffix is refined
-RATIO = 0.8  # longest common subsequence, of the mean length
 
 # fixed values: short forms of given names
 NICKNAMES = {
@@ -168,32 +166,54 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
 
 
+def linked(a: str, b: str) -> bool:
+    """Whether the longest-common-subsequence ratio is as high as one slip leaves it: a letter left out or doubled
+    makes the shorter token a subsequence of the longer, a swap leaves all letters but one in order."""
+    if not (a.isalpha() and b.isalpha()) or abs(len(a) - len(b)) > 1:
+        return False
+    most = 2 * min(len(a), len(b)) / (len(a) + len(b))
+    if len(a) == len(b):
+        return lcs_ratio(a, b) >= most - 1 / len(a) - 1e-9 and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2
+    return lcs_ratio(a, b) >= most - 1e-9
+
+
+def blocks(tokens: DataFrame) -> DataFrame:
+    """(role, token, n, ratio, key) of tokens and the blocks they are in.
+
+    Suffixes of SUFFIX letters or more are keys. One that more than COMMON tokens
+    have is refined with the letters before it, less any one of them and whole:
+    two tokens that differ by a slip before a common suffix have one of these
+    keys in common. A slip in the last SUFFIX letters leaves no such suffix; there
+    the token less one of its last letters is the key. A refined key is had by no
+    more distinct tokens than there are ways to put one letter into it.
+    """
+    n = F.length("token")
+    less = lambda k, upto: F.concat(F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, upto - k))
+    ends = F.concat(F.array(F.col("token")), F.transform(F.sequence(F.greatest(F.lit(1), n - SUFFIX), n), lambda k: less(k, n)))
+    base = tokens.where(n >= SUFFIX).select("role", "token", "n", "ratio")
+    by_suffix = base.withColumn("q", F.explode(F.sequence(F.lit(SUFFIX), n))).withColumn("key", F.substring("token", -F.col("q"), F.col("q")))
+    by_suffix = by_suffix.withColumn("c", F.count("*").over(Window.partitionBy("role", "key"))).where("c > 1")
+    head = F.col("q") < n
+    heads = F.when(head, F.concat(F.array(F.substring("token", F.lit(1), n - F.col("q"))), F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("q"), F.lit(1))), lambda k: less(k, n - F.col("q"))))).otherwise(F.array(F.lit("")))
+    refined = by_suffix.where(F.col("c") > COMMON).select("role", "token", "n", "ratio", F.explode(F.array_distinct(heads)).alias("h"), "key").select("role", "token", "n", "ratio", F.concat(F.lit("r"), "h", F.lit("|"), "key").alias("key"))
+    plain = by_suffix.where(F.col("c") <= COMMON).select("role", "token", "n", "ratio", F.concat(F.lit("s"), "key").alias("key"))
+    late = base.select("role", "token", "n", "ratio", F.explode(F.array_distinct(ends)).alias("h")).select("role", "token", "n", "ratio", F.concat(F.lit("e"), "h").alias("key"))
+    return plain.unionByName(refined).unionByName(late)
+
+
 def slips(tokens: DataFrame) -> DataFrame:
     """(role, token, canon): tokens that slipped from one at least ``ratio`` times as frequent.
 
     ``tokens`` has role, token, n and ratio. Tokens of under four letters, and numbers, never slip.
     """
-    # all suffixes above the least length, and what is left of a token without any one letter: two
-    # tokens of which one slipped from the other always have one of the latter in common, whatever
-    # their length and wherever the slip is, and few others have it
-    keys = F.concat(
-        F.transform(F.sequence(F.lit(SUFFIX), F.length("token")), lambda k: F.concat(F.lit("s"), F.substring("token", -k, k))),
-        F.transform(F.sequence(F.lit(1), F.length("token")), lambda k: F.concat(F.lit("d"), F.substring("token", F.lit(1), k - 1), F.substring("token", k + 1, F.length("token")))),
-        F.array(F.concat(F.lit("d"), "token")),
-    )
-    keyed = tokens.where(F.length("token") >= SUFFIX).select("role", "token", "n", "ratio", F.explode(keys).alias("key"))
-    block = Window.partitionBy("role", "key")
-    exact = F.substring("key", 1, 1) == "d"
-    # a suffix that is too common is refined with the first letters; one that then still is is left to the exact keys
-    refined = keyed.withColumn("c", F.count("*").over(block)).where("c > 1").withColumn("key", F.when((F.col("c") > COMMON) & ~exact, F.concat_ws("|", "key", F.substring("token", 1, 2))).otherwise(F.col("key")))
-    blocks = refined.withColumn("c", F.count("*").over(block)).where((F.col("c") > 1) & ((F.col("c") <= 4 * COMMON) | exact))
-    a = blocks.select("role", "key", "token", "n", "ratio")
-    b = blocks.select("role", "key", F.col("token").alias("canon"), F.col("n").alias("m"))
+    keyed = blocks(tokens)
+    a = keyed.select("role", "key", "token", "n", "ratio")
+    b = keyed.select("role", "key", F.col("token").alias("canon"), F.col("n").alias("m"))
     pairs = (
         a.join(b, ["role", "key"])
         .where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("canon") < F.col("token"))))
         .where((F.col("n") * F.col("ratio") <= F.col("m")) & (F.abs(F.length("token") - F.length("canon")) <= 1))
-        .select("token", "canon", "role", "m")
+        .select("token", "canon", "role", "m").distinct()
     )
     near = pairs.mapInArrow(_near, "token string, canon string, role string, m long")
     once = near.groupBy("role", "token").agg(F.max_by("canon", F.struct("m", "canon")).alias("canon"))
@@ -203,8 +223,7 @@ def slips(tokens: DataFrame) -> DataFrame:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = [lcs_ratio(x, y) >= RATIO and slipped(x, y) for x, y in zip(a, b)]
+        keep = [linked(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

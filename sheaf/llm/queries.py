@@ -38,6 +38,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.found(table(spark, d, "citation_records"))
 
 
+def p4_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its author: membership in place of pairs."""
+    return names.linked_names(table(spark, d, "citation_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return codedocs.found(table(spark, d, "source_files"))
 
@@ -79,4 +84,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_runs, p3_window_runs, p4_found, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_runs, p3_window_runs, p4_found, p4_authors, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}

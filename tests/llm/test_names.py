@@ -43,16 +43,29 @@ def test_an_ambiguous_initial_stays_alone(spark):
     assert pairs(spark, [["Marx, Maria"], ["Marx, Marco"], ["Marx, M."]]) == set()
 
 
+def test_the_ratio_is_that_of_one_slip():
+    ok = [("john", "jonh"), ("mara", "maara"), ("satelidez", "sateldez"), ("pokinedez", "pokinedze")]
+    assert all(names.linked(a, b) and names.linked(b, a) for a, b in ok)
+    assert not any(names.linked(a, b) for a, b in [("marx", "mars"), ("anna", "anne"), ("oscar", "oskar"), ("abcd", "dcba"), ("a1b2", "a1b")])
+
+
+def test_refined_blocks_are_bounded(spark):
+    import itertools
+
+    crowd = ["".join(x) + "berg" for x in itertools.product("bcdf", "aeio", "bcdf", "aeio")]
+    df = spark.createDataFrame([("r", w, 1, 5) for w in crowd], "role string, token string, n long, ratio int")
+    sizes = [r["count"] for r in names.blocks(df).groupBy("role", "key").count().collect()]
+    assert max(sizes) <= names.COMMON
+
+
 def test_slips_against_brute_force(spark):
     import random
 
-    from sheaf.llm.runs import slipped
-
     random.seed(5)
     words = {"".join(random.choice("abde") for _ in range(random.randint(4, 9))): random.randint(1, 9) for _ in range(150)}
     df = spark.createDataFrame([("r", w, n, 1) for w, n in words.items()], "role string, token string, n long, ratio int")
     got = {r.token for r in names.slips(df).collect()}
-    want = {a for a, n in words.items() for b, m in words.items() if (m > n or m == n and b < a) and slipped(a, b) and names.lcs_ratio(a, b) >= names.RATIO}
+    want = {a for a, n in words.items() for b, m in words.items() if (m > n or m == n and b < a) and names.linked(a, b)}
     assert got == want
 
 
