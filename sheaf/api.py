@@ -40,7 +40,7 @@ class Engine:
         """The named sections' text; with expand also what is filed under them. Names that match nothing
         come out with a null text."""
         secs = structure.with_subtree_end(structure.sections(docs, key, text), key, "idx")
-        asked = docs.select(key).distinct().join(F.broadcast(self.spark.createDataFrame([(n,) for n in names], "req string")))
+        asked = docs.select(key).distinct().withColumn("req", F.explode(F.array(*map(F.lit, names))))
         hits = structure.matched_sections(secs.drop("subtree_end"), asked, key)
         spans = secs.select(key, "idx", "start_pos", F.col("subtree_end" if expand else "end_pos").alias("stop"))
         out = hits.join(spans, [key, "idx"], "left").join(docs.select(key, F.col(text).alias("_t")), key)

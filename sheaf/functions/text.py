@@ -31,10 +31,11 @@ def heading_text(text: Column) -> Column:
 
 def clean_forum_post(raw: Column) -> Column:
     """Quotes as block quotes, uploads as [image], no contents box, no image sizes."""
-    t = F.regexp_replace(raw, r"<div data-theme-toc=\"true\">\s*</div>", "")
+    t = F.regexp_replace(raw, r"<div\b[^>]*\bdata-theme-toc\b[^>]*>(?:(?!</div>)[\s\S])*</div>", "")
     t = F.regexp_replace(t, r"\[quote=\"([^,\"\]]+)(?:,[^\"\]]*?)?,\s*post:(\d+)[^\"\]]*\"\]\s*", "> **@$1** (post #$2):\n> ")
     t = F.regexp_replace(t, r"\[quote=\"([^,\"\]]+)[^\"\]]*\"\]\s*", "> **@$1**:\n> ")
-    t = F.regexp_replace(t, r"\[/quote\]\s*", "\n")
+    # fixed values: the forum's closing mark and its size hints
+    t = F.regexp_replace(t, r"(?i)\[/quote\]\s*", "\n")
     t = F.regexp_replace(t, r"!\[[^\]]*\]\(upload://[^)]*\)", "[image]")
     t = F.regexp_replace(t, r"\|(\d+x\d+|\d+)(, \d+%)?(?=\])", "")
     return F.trim(t)

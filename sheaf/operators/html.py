@@ -168,29 +168,29 @@ class _Writer(HTMLParser):
                 self.out.append("\n" if tail.endswith("\n") else "\n\n")
 
 
+_ITEM_HEADING = re.compile(r"^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)(#{1,6}[ \t]+\S.*)((?:\n[ \t]*$|\n[ \t]+\S.*$)*)", re.M)
+
+
 def promote_list_headings(markdown: str) -> str:
-    """Headings inside list items come out of the list; the item's body loses the marker's width."""
-    mark = re.compile(r"^([ \t]*(?:[-*+]|\d+[.)])[ \t]+)(#{1,6}[ \t]+\S.*)$")
-    if not re.search(mark.pattern, markdown, re.M):
-        return markdown
+    """Headings inside list items come out of the list; the item's body loses the marker's width.
+
+    An item is matched with the indented lines below it; code at the margin stays as it is.
+    """
     from sheaf.operators.structure import fenced_ranges
 
-    code, out, width, pos = fenced_ranges(markdown), [], 0, 0
-    for line in markdown.split("\n"):
-        m = mark.match(line)
-        inside = any(a <= pos < b for a, b in code)
-        pos += len(line) + 1
-        if width and line.strip():
-            if len(line) - len(line.lstrip(" \t")) >= width:
-                out.append(line[width:])
-                continue
-            width = 0
-        if m and not inside:
-            width = len(m[1])
-            out.append(m[2])
-        else:
-            out.append(line)
-    return "\n".join(out)
+    def lifted(m: re.Match) -> str:
+        width = len(m[1])
+        deep = re.match(rf"(?:\n[ \t]*$|\n[ \t]{{{width},}}\S.*$)*", m[3], re.M)
+        body = re.sub(rf"\n(?=[ \t]*\S)[ \t]{{{width}}}", "\n", deep[0])
+        return m[2] + body + _ITEM_HEADING.sub(lifted, m[3][deep.end() :])
+
+    if not _ITEM_HEADING.search(markdown):
+        return markdown
+    out, at = [], 0
+    for a, b in [*fenced_ranges(markdown), (len(markdown), len(markdown))]:
+        out += [_ITEM_HEADING.sub(lifted, markdown[at:a]), markdown[a:b]]
+        at = b
+    return "".join(out)
 
 
 def html_to_markdown(page: str | None, links: bool = True) -> tuple[str, str]:
@@ -237,9 +237,18 @@ def unwrap_heading_anchors(page: Column) -> Column:
 
 
 def flatten_heading_blocks(page: Column) -> Column:
-    """Block tags inside headings become a blank."""
-    inner = F.regexp_replace(page, r"(?is)(<h[1-6][^>]*>(?:(?!</h[1-6]>).)*?)\s*</?(?:div|p|section|br)\b[^>]*>\s*", "$1 ")
-    return F.when(page.rlike(r"(?is)<h[1-6][^>]*>(?:(?!</h[1-6]>).)*</?(?:div|p|section|br)\b"), inner).otherwise(page)
+    """Block tags inside headings become a blank, however many there are."""
+    inside = r"(?is)<h([1-6])\b[^>]*>(?:(?!</h[1-6]>)[\s\S])*?</?(?:div|p|section|br)\b[\s\S]*?</h\1>"
+    flat = F.udf(_flatten, "string", useArrow=True)
+    return F.when(page.rlike(inside), flat(page)).otherwise(page)
+
+
+_HEADING_TAG = re.compile(r"(<h([1-6])\b[^>]*>)(.*?)(?=</h\2>)", re.S | re.I)
+_BLOCK_TAG = re.compile(r"(?:\s*</?(?:div|p|section|br)\b[^>]*>\s*)+", re.I)
+
+
+def _flatten(page: str | None) -> str | None:
+    return None if page is None else _HEADING_TAG.sub(lambda m: m[1] + _BLOCK_TAG.sub(" ", m[3]).strip(), page)
 
 
 def markdown_pages(responses: DataFrame, key: str, html: Column) -> DataFrame:

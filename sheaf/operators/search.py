@@ -199,13 +199,16 @@ def _phrase(words: Column, phrase: list[str], slop: int) -> Column:
         padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
         return F.contains(padded, F.lit(" " + " ".join(phrase) + " "))
     at = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i)), lambda i: i.isNotNull())
+    rest = F.array(*map(F.lit, phrase[1:])) if phrase[1:] else F.array().cast("array<string>")
 
     def from_here(i):
-        window = F.slice(words, i + 1, len(phrase) + slop)
-        ok = F.lit(True)
-        for w in phrase[1:]:
-            ok = ok & F.array_contains(window, w)
-        return ok
+        # each next word is looked for after the one before, so a place counts once; the nearest keeps the span least
+        def step(p, w):
+            k = F.array_position(F.slice(words, p + 2, len(phrase) + slop), w).cast("int")
+            return F.when((p >= 0) & (k > 0), p + k).otherwise(F.lit(-1))
+
+        last = F.aggregate(rest, i, step)
+        return (last >= 0) & (last - i < len(phrase) + slop)
 
     return F.exists(at, from_here)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,39 +14,31 @@ from pyspark.sql import functions as F
 from sheaf.sources.tables import spread
 
 MOST_LINE_CHARS = 1_000_000
-_FENCE = re.compile(r"^(`{3,}|~{3,})", re.M)
+# a fenced block as a whole: up to the same mark, at least as long; without one, to the end of the text
+_FENCED = re.compile(r"^(`{3,}|~{3,})[\s\S]*?(?:^\1(?:(?<=`)`*|(?<=~)~*)(?P<closed>)|\Z)", re.M)
 _HEADING = re.compile(r"^(#{1,6})[^\S\n]+(.+)$", re.M)
-_EXOTIC = re.compile("[" + "".join(map(chr, (0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
+_BLANKS = dict.fromkeys((0xA0, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF), " ")
 
 
 def fenced_ranges(text: str) -> list[tuple[int, int]]:
-    """Spans of fenced code: a fence closes with the same mark, at least as long; one left open is none."""
-    out, opened = [], None
-    for m in _FENCE.finditer(text):
-        mark = m[1]
-        if opened is None:
-            opened = (m.start(), mark)
-        elif mark[0] == opened[1][0] and len(mark) >= len(opened[1]):
-            out.append((opened[0], m.end()))
-            opened = None
-    return out
+    """Spans of fenced code; a fence left open is none."""
+    return [m.span() for m in _FENCED.finditer(text) if m["closed"] is not None]
 
 
 def sections_in(text: str) -> list[tuple[str, int, int, int, bool]]:
     """(name, level, start, end, header only) of each heading outside code; names of one character are none."""
-    ranges = fenced_ranges(text)
-    heads, r = [], 0
-    for m in _HEADING.finditer(text):
-        while r < len(ranges) and ranges[r][1] <= m.start():
-            r += 1
-        if r < len(ranges) and ranges[r][0] <= m.start():
-            continue
-        name = _EXOTIC.sub(" ", m[2].strip())
-        name = "".join(c if c.isprintable() else " " for c in name).strip()
-        if len(name) > 1:
-            heads.append((name, len(m[1]), m.start(), m.end()))
-    ends = [h[2] for h in heads[1:]] + [len(text)]
-    return [(name, level, start, end, not text[line_end:end].strip()) for (name, level, start, line_end), end in zip(heads, ends)]
+    borders = [x for span in fenced_ranges(text) for x in span]
+    heads = [m for m in _HEADING.finditer(text) if bisect_right(borders, m.start()) % 2 == 0]
+    named = [(m, _shown(m[2])) for m in heads]
+    named = [(m, name) for m, name in named if len(name) > 1]
+    starts = [m.start() for m, _ in named] + [len(text)]
+    return [(name, len(m[1]), a, b, text[m.end() : b].isspace() or m.end() == b) for (m, name), (a, b) in zip(named, pairwise(starts))]
+
+
+def _shown(name: str) -> str:
+    """A heading's text with plain blanks for all blanks and for what can't be printed."""
+    name = name.strip().translate(_BLANKS)
+    return (name if name.isprintable() else "".join(c if c.isprintable() else " " for c in name)).strip()
 
 
 def _rows(fn, schema: pa.Schema):
@@ -124,19 +118,21 @@ def contents_page(total: Column, index: Column, size: int = 100) -> Column:
 
 
 def line_chunks(text: str, size: int = 1800) -> list[tuple[int, int, str]] | None:
-    """(index, offset, text) of runs of whole lines up to size; None if a line is beyond all bounds."""
-    out, start, buf, used, pos = [], 0, [], 0, 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
-        if len(line) > MOST_LINE_CHARS:
-            return None
-        if used and used + len(line) > size:
-            out.append((len(out), start, "".join(buf)))
-            start, buf, used = pos, [], 0
-        buf.append(line)
-        used += len(line)
-        pos += len(line)
-    if buf:
-        out.append((len(out), start, "".join(buf)))
+    """(index, offset, text) of runs of whole lines up to size; None if a line is beyond all bounds.
+
+    The ends of the lines are prefix sums; each run ends at the last of them within size of its start,
+    or at the first if that is a longer line.
+    """
+    ends = [m.end() for m in re.finditer("\n", text)]
+    if text and not text.endswith("\n"):
+        ends.append(len(text))
+    if any(b - a > MOST_LINE_CHARS for a, b in pairwise([0, *ends])):
+        return None
+    out, start = [], 0
+    while start < len(text):
+        k = max(bisect_right(ends, start + size) - 1, bisect_right(ends, start))
+        out.append((len(out), start, text[start : ends[k]]))
+        start = ends[k]
     return out
 
 
@@ -183,12 +179,18 @@ def chunks(docs: DataFrame, key: str, text: str, how: str = "semantic") -> DataF
     return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(_rows(lambda t: split(t) or [], _CHUNKS), f"`{key}` long, idx int, off int, text string")
 
 
-def marked_posts(docs: DataFrame, key: str, text: str, mark: str = r"^#{3,6} (?:\d+|(?:ic|rc)_\w+|[a-z0-9]{5,8})$") -> DataFrame:
-    """Slices of a thread: each begins at a heading that is a post's number or id."""
+# fixed values: headings that begin a comment, a post, and a comment or file of an issue
+MARKS = {"comments": r"^#{3,6} \S+$", "posts": r"^### \d+$", "issues": r"^#{2,6} (?:ic_|rc_|\S+\.\S+)"}
+
+
+def marked_posts(docs: DataFrame, key: str, text: str, kind: str = "comments") -> DataFrame:
+    """(key, idx, off, text): a thread cut before each heading of its kind; what stands before the first is slice 0."""
+    mark = re.compile(MARKS[kind], re.M)
 
     def split(t: str):
-        starts = sorted({0, *(m.start() for m in re.finditer(mark, t, re.M))}) if t else []
-        return [(i, a, t[a:b]) for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(t)])) if t[a:b].strip()]
+        starts = [m.start() for m in mark.finditer(t)] or [0]
+        starts = starts if starts[0] == 0 else [0, *starts]
+        return [(i, a, t[a:b].rstrip()) for i, (a, b) in enumerate(pairwise([*starts, len(t)]))]
 
     return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(_rows(split, _CHUNKS), f"`{key}` long, idx int, off int, text string")
 
@@ -230,13 +232,31 @@ def hard_cut(text: Column, tokens: int) -> Column:
 
 
 def packed_prefix(parts: list[str], budget: int) -> int:
-    """How many pieces fit: the first always, and one beyond the budget while less than half is used."""
-    used = 0
-    for k, p in enumerate(parts):
-        if k and used + len(p) > budget and used >= budget // 2:
-            return k
-        used += len(p)
-    return len(parts)
+    """How many pieces fit: the first always, and one beyond the budget while less than half is used.
+
+    In sums: the cut is at the first sum over the budget whose predecessor is half of it or more.
+    """
+    sums = list(accumulate(map(len, parts)))
+    over = max(bisect_right(sums, budget), bisect_left(sums, budget // 2) + 1, 1)
+    return min(over, len(parts))
+
+
+def packed(pieces: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
+    """The pieces of each text that packed_prefix keeps, by running sums, with whether any was left out."""
+    w = Window.partitionBy(key).orderBy(order)
+    used = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = pieces.withColumn("_u", used).withColumn("_s", F.col("_u") + size)
+    s = s.withColumn("_keep", (F.row_number().over(w) == 1) | (F.col("_s") <= budget) | (F.col("_u") < budget // 2))
+    return s.withColumn("cut", F.min("_keep").over(Window.partitionBy(key)) == False).where("_keep").drop("_u", "_s", "_keep")  # noqa: E712
+
+
+def entries_within(entries: DataFrame, key: str, order: str, size: Column, budget: int) -> DataFrame:
+    """Whole entries of each key with a joining character between them until one would pass the budget, the first
+    always kept; ``kept`` tells which."""
+    w = Window.partitionBy(key).orderBy(order)
+    n = F.row_number().over(w)
+    used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) + n - 1
+    return entries.withColumn("_n", n).withColumn("_used", used).withColumn("kept", (F.col("_n") == 1) | (F.max("_used").over(w.rowsBetween(Window.unboundedPreceding, 0)) <= budget)).drop("_n", "_used")
 
 
 def matched_sections(secs: DataFrame, requests: DataFrame, key: str) -> DataFrame:

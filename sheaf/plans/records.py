@@ -23,7 +23,7 @@ def _thread(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EV = "(SELECT user_id, k, CASE WHEN k > 1 THEN k // 2 END AS parent FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events))"
-_TREE = f"WITH RECURSIVE r AS (SELECT user_id, k, 0 AS depth, lpad(CAST(k AS VARCHAR), 12, '0') AS path FROM {_EV} WHERE parent IS NULL UNION ALL SELECT e.user_id, e.k, r.depth + 1, r.path || '/' || lpad(CAST(e.k AS VARCHAR), 12, '0') FROM r JOIN {_EV} e ON e.user_id = r.user_id AND e.parent = r.k WHERE r.depth + 1 < 6)"
+_TREE = f"WITH RECURSIVE r AS (SELECT user_id, k, 0 AS depth, lpad(CAST(k AS VARCHAR), 20, '0') AS path FROM {_EV} WHERE parent IS NULL UNION ALL SELECT e.user_id, e.k, r.depth + 1, r.path || '/' || lpad(CAST(e.k AS VARCHAR), 20, '0') FROM r JOIN {_EV} e ON e.user_id = r.user_id AND e.parent = r.k WHERE r.depth + 1 < 6)"
 
 
 def g1_thread_tree(spark: SparkSession, d: str) -> DataFrame:

@@ -75,6 +75,30 @@ def test_titles_fall_back():
 def test_list_headings_come_out():
     assert html.promote_list_headings("*   ## H\n    body\nnext") == "## H\nbody\nnext"
     assert html.promote_list_headings("```\n* # no\n```") == "```\n* # no\n```"
+    assert html.promote_list_headings("- # A\n  one\n\n    deep\n - ## B\nout\n1. ### C") == "# A\none\n\n  deep\n## B\nout\n### C"
+
+
+def test_all_blocks_of_a_heading_are_flattened(spark):
+    from pyspark.sql import functions as F
+
+    page = "<h2 class=a><div>One</div><p>Two<br/>three</p></h2><div>x</div><h4>Plain</h4><h5><section>y</section></h5>"
+    assert spark.range(1).select(html.flatten_heading_blocks(F.lit(page))).first()[0] == "<h2 class=a>One Two three</h2><div>x</div><h4>Plain</h4><h5>y</h5>"
+
+
+def test_long_ids_keep_their_own_paths(spark):
+    from sheaf.operators.threads import thread_tree
+
+    ids = [1000000000001, 1000000000002, 9]
+    rows = thread_tree(spark.createDataFrame([(1, i, None) for i in ids], "t long, n long, p long"), "t", "n", "p").orderBy("path").collect()
+    assert [r.n for r in rows] == sorted(ids)
+
+
+def test_any_contents_box_goes_from_a_forum_post(spark):
+    from pyspark.sql import functions as F
+
+    from sheaf.functions.text import clean_forum_post
+
+    assert spark.range(1).select(clean_forum_post(F.lit('a <div class="x" data-theme-toc="true" id=y> <b>toc</b> </div>b <div>c</div>'))).first()[0] == "a b <div>c</div>"
 
 
 def test_shells_that_scripts_fill():

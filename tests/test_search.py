@@ -18,6 +18,11 @@ def test_grammar(docs, query, hits):
     assert {r.id for r in matching(docs, "id", "t", query).collect()} == hits
 
 
+@pytest.mark.parametrize("query, hit", [('"new new"~1', False), ('"new york"~1', True), ('"york new"~1', False), ('"new times"~1', True), ('"new times"~0', False), ('"new york times"~2', True), ('"york york"~3', False)])
+def test_a_place_counts_once_in_a_phrase_with_slop(spark, query, hit):
+    assert bool(matching(spark.createDataFrame([(1, "new york times")], "id long, t string"), "id", "t", query).collect()) is hit
+
+
 def test_a_stray_mark_warns_and_does_not_fail():
     assert Query("foo:bar").warnings and Query("(open").warnings and Query(")").warnings
 

@@ -55,7 +55,34 @@ def test_packing_allows_one_piece_over_while_little_is_used():
     assert st.packed_prefix(["a" * 500], 100) == 1
 
 
+def test_packing_by_windows_keeps_what_packing_by_sums_keeps(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    random.seed(3)
+    texts = {k: ["x" * random.randint(1, 60) for _ in range(random.randint(1, 9))] for k in range(60)}
+    df = spark.createDataFrame([(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)], "k long, i int, t string")
+    got = {r.k: (r.n, r.cut) for r in st.packed(df, "k", "i", F.length("t"), 100).groupBy("k").agg(F.count("*").alias("n"), F.max("cut").alias("cut")).collect()}
+    want = {k: st.packed_prefix(ts, 100) for k, ts in texts.items()}
+    assert got == {k: (n, n < len(texts[k])) for k, n in want.items()}
+
+
+def test_whole_entries_within_a_budget(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 1, 60), (1, 2, 39), (1, 3, 1), (2, 1, 500), (2, 2, 1), (3, 1, 50), (3, 2, 60), (3, 3, 2)], "k long, i int, n int")
+    assert sorted((r.k, r.i) for r in st.entries_within(df, "k", "i", F.col("n"), 100).where("kept").collect()) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+
+
+def test_fences_of_two_kinds_and_headings_between():
+    text = "~~~\n```\n~~~~\n# In between\n````md\n# no\n```\n````\n# After\n```\n# Shown\n"
+    assert names(text) == ["In between", "After", "Shown"]
+
+
 def test_marked_posts(spark):
-    md = "intro\n### 1\nfirst\n### 2\nsecond\n"
-    rows = st.marked_posts(spark.createDataFrame([(1, md), (2, None)], "id long, t string"), "id", "t").orderBy("idx").collect()
-    assert [r.text for r in rows] == ["intro\n", "### 1\nfirst\n", "### 2\nsecond\n"]
+    rows = lambda md, kind: [r.text for r in st.marked_posts(spark.createDataFrame([(1, md), (2, None)], "id long, t string"), "id", "t", kind).orderBy("idx").collect()]
+    assert rows("intro\n### 1\nfirst\n### 2\nsecond\n### two words\n", "posts") == ["intro", "### 1\nfirst", "### 2\nsecond\n### two words"]
+    assert rows("### abc12\na\n##### q9\nb\n## no\n", "comments") == ["### abc12\na", "##### q9\nb\n## no"]
+    assert rows("body\n## Comments\n### ic_7\nx\n### src/a.py\n#### rc_8\ny", "issues") == ["body\n## Comments", "### ic_7\nx", "### src/a.py", "#### rc_8\ny"]
+    assert rows("no marks", "posts") == ["no marks"]
