@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.session import cut
 
 
-def components(members: DataFrame, id_col: str, key_col: str, most_rounds: int = 50) -> DataFrame:
+def components(members: DataFrame, id_col: str, key_col: str) -> DataFrame:
     """(id, component): ids that share keys, directly or over others; the component is its least id.
 
     Each round takes the least label of every key and gives it to the key's
@@ -19,7 +19,7 @@ def components(members: DataFrame, id_col: str, key_col: str, most_rounds: int =
     """
     edges = cut(members.where(F.col(id_col).isNotNull() & F.col(key_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).distinct())
     labels = cut(edges.select("id").distinct().withColumn("label", F.col("id")))
-    for _ in range(most_rounds):
+    while True:  # labels only fall, and pointer jumping makes the rounds as many as the logarithm of the longest chain
         by_key = edges.join(labels, "id").groupBy("key").agg(F.min("label").alias("least"))
         near = edges.join(by_key, "key").groupBy("id").agg(F.min("least").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("to"))
@@ -29,6 +29,4 @@ def components(members: DataFrame, id_col: str, key_col: str, most_rounds: int =
         labels = new.select("id", F.col("to").alias("label"))
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return labels.select(F.col("id").alias(id_col), F.col("label").alias("component"))

@@ -73,15 +73,27 @@ def cache_trace(requests: DataFrame, owner: str, key: str, order: list[str], mos
     return requests.repartition(owner).sortWithinPartitions(owner, *order).select(owner, key, *ids).mapInArrow(_replay(most, promote), ddl)
 
 
-def granted(requests: DataFrame, owner: str, at: Column, order: list, interval: float) -> DataFrame:
+def granted(requests: DataFrame, owner: str, at: Column, order: list, interval: float, span: float | None = None) -> DataFrame:
     """Adds granted: when a limiter with a least interval lets each request pass. Closed form of
-    t' = max(t, last + d): n d + the running maximum of t - j d."""
-    w = Window.partitionBy(owner).orderBy(*order)
-    n = F.row_number().over(w) - 1
-    r = requests.withColumn("_n", n).withColumn("_t", at)
-    return r.withColumn("granted", F.col("_n") * interval + F.max(F.col("_t") - F.col("_n") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_t")
+    t' = max(t, last + d): n d + the running maximum of t - j d.
+
+    ``order`` begins with what ``at`` is made of. Counts and maxima are taken
+    within stretches of ``span`` (1,000 intervals), and those of the stretches
+    before come from one row for each, so an owner's requests are many sorts.
+    """
+    span = span or interval * 1000
+    r = requests.withColumn("_t", at).withColumn("_c", F.floor(F.col("_t") / span))
+    past = Window.partitionBy(owner).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(owner, "_c").orderBy(*order)
+    counts = r.groupBy(owner, "_c").agg(F.count("*").alias("_k")).withColumn("_o", F.coalesce(F.sum("_k").over(past), F.lit(0))).drop("_k")
+    r = r.withColumn("_i", F.row_number().over(inside) - 1).join(counts, [owner, "_c"]).withColumn("_n", F.col("_i") + F.col("_o")).withColumn("_v", F.col("_t") - F.col("_n") * interval)
+    tops = r.groupBy(owner, "_c").agg(F.max("_v").alias("_top")).withColumn("_before", F.max("_top").over(past)).drop("_top")
+    high = F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("_high", high).join(tops, [owner, "_c"]).withColumn("granted", F.col("_n") * interval + F.greatest("_high", "_before")).drop("_t", "_c", "_i", "_o", "_n", "_v", "_high", "_before")
 
 
 def fires(events: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Adds fires: whether a tip is shown, which it is once for each key."""
-    return events.withColumn("fires", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    """Adds fires: whether a tip is shown, which it is once for each key: at its first event, found by one
+    map-side combined aggregation. Events of one key that agree in all of ``order`` fire together."""
+    first = events.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    return events.join(first, keys).withColumn("fires", F.struct(*order) == F.col("_first")).drop("_first")

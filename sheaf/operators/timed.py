@@ -19,31 +19,55 @@ def density(text: Column) -> Column:
     return F.when(words > 0, F.regexp_count(text, F.lit("[.!?]")) / words).otherwise(F.lit(0.0))
 
 
+SPAN = 600.0  # seconds of a video that are sorted together
+BLOCK = 1024  # segments of a block
+
+
+def _spans(key: str, *order: str):
+    """A segment's stretch of SPAN seconds, and a window over it: no sort holds a whole video."""
+    return F.floor(F.col(order[0]) / SPAN), Window.partitionBy(key, "_c").orderBy(*order)
+
+
 def gaps(segments: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds gap: the time from a segment's end to the next one's start; null after the last."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return segments.withColumn("gap", F.lead("start").over(w) - (F.col("start") + F.col("duration")))
+    """Adds gap: the time from a segment's end to the next one's start; null after the last.
+
+    ``order`` begins with the start. The last segment of a stretch looks at the
+    first of the next, which comes from one summary row for each stretch.
+    """
+    span, w = _spans(key, *order)
+    s = segments.withColumn("_c", span)
+    firsts = s.groupBy(key, "_c").agg(F.min("start").alias("_f"))
+    ahead = firsts.select(key, "_c", F.lead("_f").over(Window.partitionBy(key).orderBy("_c")).alias("_next"))
+    return s.withColumn("_lead", F.lead("start").over(w)).join(ahead, [key, "_c"]).withColumn("gap", F.coalesce("_lead", "_next") - (F.col("start") + F.col("duration"))).drop("_c", "_lead", "_next")
+
+
+def positions(segments: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds i and n: a segment's place in its video, counted from 0, and how many there are: by counts of stretches."""
+    span, w = _spans(key, *order)
+    s = segments.withColumn("_c", span)
+    video = Window.partitionBy(key)
+    counts = s.groupBy(key, "_c").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(video.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_k").over(video)).drop("_k")
+    return s.withColumn("i", F.row_number().over(w) - 1).join(counts, [key, "_c"]).withColumn("i", F.col("i") + F.col("_before")).drop("_c", "_before")
 
 
 def outlier_gaps(segments: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds outlier: gaps unusual against the median of the ten around them.
 
     The frame starts five gaps back, at the first gap at the earliest, and holds
-    ten gaps from there. Both forms of the frame are row frames; the median is of
-    at most ten numbers.
+    ten gaps from there. Blocks of BLOCK segments come with the few of their
+    neighbours that a frame can reach, so a long video is many sorts.
     """
-    g = gaps(segments, key, order)
-    w = Window.partitionBy(key).orderBy(*order)
-    near = F.collect_list("gap").over(w.rowsBetween(-5, 4))
-    first = F.collect_list("gap").over(Window.partitionBy(key).orderBy(*order).rowsBetween(-5, GAPS))
-    i = F.row_number().over(w) - 1
-    n = F.count("gap").over(Window.partitionBy(key))
-    g = g.withColumn("_i", i).withColumn("_n", n).withColumn("_near", near).withColumn("_first", first)
-    frame = F.array_sort(F.when(F.col("_i") < 5, F.slice("_first", 1, GAPS)).otherwise(F.col("_near")))
-    k = F.size(frame)
-    middle = F.when(k % 2 == 1, F.get(frame, F.floor(k / 2).cast("int"))).otherwise((F.get(frame, (k / 2 - 1).cast("int")) + F.get(frame, (k / 2).cast("int"))) / 2)
-    limit = F.when(F.col("_n") < GAPS, F.lit(FIXED_OUTLIER)).otherwise(F.greatest(TIMES_MEDIAN * middle, F.lit(LEAST_OUTLIER)))
-    return g.withColumn("outlier", F.coalesce(F.col("gap") >= limit, F.lit(False))).drop("_i", "_n", "_near", "_first")
+    g = positions(gaps(segments, key, order), key, order)
+    block = F.floor(F.col("i") / BLOCK)
+    near = F.array_distinct(F.array(block, F.floor((F.col("i") + 5) / BLOCK), F.floor((F.greatest(F.col("i") - GAPS, F.lit(0))) / BLOCK)))
+    g = g.withColumn("_b", F.explode(near))
+    w = Window.partitionBy(key, "_b").orderBy("i")
+    frame = F.when(F.col("i") < 5, F.slice(F.collect_list("gap").over(w.rowsBetween(-5, GAPS)), 1, GAPS)).otherwise(F.collect_list("gap").over(w.rowsBetween(-5, 4)))
+    g = g.withColumn("_frame", F.array_sort(frame)).where(F.col("_b") == block)
+    k = F.size("_frame")
+    middle = F.when(k % 2 == 1, F.get("_frame", F.floor(k / 2).cast("int"))).otherwise((F.get("_frame", (k / 2 - 1).cast("int")) + F.get("_frame", (k / 2).cast("int"))) / 2)
+    limit = F.when(F.col("n") - 1 < GAPS, F.lit(FIXED_OUTLIER)).otherwise(F.greatest(TIMES_MEDIAN * middle, F.lit(LEAST_OUTLIER)))
+    return g.withColumn("outlier", F.coalesce(F.col("gap") >= limit, F.lit(False))).drop("i", "n", "_b", "_frame")
 
 
 def _fold(sentence_aware: bool | None, shortest: float, longest: float, pause: float):

@@ -18,6 +18,20 @@ def q4_bm25_documents(spark: SparkSession, d: str) -> DataFrame:
     return se.bm25(_docs(spark, d), "doc_id", "text", ["scorecard", "distant", "verified"])
 
 
+def q4_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a persisted index, written in two batches to the shared folder."""
+    import uuid
+
+    from sheaf.operators import index
+    from sheaf.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for part in (0, 1):
+        index.add(_docs(spark, d).where(half == part), "doc_id", "text", path)
+    return index.bm25(spark, path, ["scorecard", "distant", "verified"]).withColumnRenamed("key", "doc_id")
+
+
 def q4_bm25_boosted(spark: SparkSession, d: str) -> DataFrame:
     """Body and title, the title counting twice."""
     return se.bm25(_docs(spark, d), "doc_id", "text", ["module", "distant"], boosts={"text": 1.0, "title": 2.0})
@@ -53,6 +67,15 @@ def q5_fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
     return words.where(F.levenshtein("term", F.lit("reader")) <= 2).groupBy("term").agg(F.count("*").alias("df"))
 
 
+_REPEATS = [(1, "new new york"), (2, "new york new"), (3, "york then new"), (4, "new a b york"), (5, "new a york b times"), (6, None), (7, "york new times york")]
+
+
+def q5_repeated_words(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases with slop over texts that repeat a word."""
+    r = inline(spark, _REPEATS, "id long, v string")
+    return se.matching(r, "id", "v", '"new new"~2').withColumn("q", F.lit("a")).unionByName(se.matching(r, "id", "v", '"new york times"~1').withColumn("q", F.lit("b"))).unionByName(se.matching(r, "id", "v", '"york new"~1').withColumn("q", F.lit("c")))
+
+
 _MIXED = [(1, "東京タワー and 大阪"), (2, "カタカナ・テスト"), (3, "plain latin"), (4, "한국어 검색"), (5, "ภาษาไทย"), (6, None), (7, "検、索")]
 
 
@@ -85,7 +108,7 @@ def q12_grouped_snippets(spark: SparkSession, d: str) -> DataFrame:
     return g
 
 
-QUERIES = {f.__name__: f for f in (q4_bm25_documents, q4_bm25_boosted, q1_token_stats, q5_boolean, q5_grouped, q5_phrase, q5_slop, q5_fuzzy, q5_fuzzy_terms, q2_unspaced_runs, q3_unspaced_match, q3_japanese, q6_outcome, q12_grouped_snippets)}
+QUERIES = {f.__name__: f for f in (q4_bm25_documents, q4_indexed, q4_bm25_boosted, q1_token_stats, q5_boolean, q5_grouped, q5_phrase, q5_slop, q5_repeated_words, q5_fuzzy, q5_fuzzy_terms, q2_unspaced_runs, q3_unspaced_match, q3_japanese, q6_outcome, q12_grouped_snippets)}
 
 _W = "(SELECT doc_id, coalesce(source, '') AS source, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda x: strlen(x) < 40) AS w FROM documents)"
 
@@ -105,12 +128,14 @@ _RUN = "[\\x{3041}-\\x{309F}\\x{30A1}-\\x{30FA}\\x{30FC}-\\x{30FF}\\x{31F0}-\\x{
 _MV = "(" + values(_MIXED, "id", "v") + ")"
 SQL = {
     "q4_bm25_documents": _bm25_sql([("text", 1.0)], ["scorecard", "distant", "verified"]),
+    "q4_indexed": _bm25_sql([("text", 1.0)], ["scorecard", "distant", "verified"]),
     "q4_bm25_boosted": _bm25_sql([("text", 1.0), ("title", 2.0)], ["module", "distant"]),
     "q1_token_stats": f"SELECT source, count(*) AS tokens, count(DISTINCT t) AS distinct_terms FROM (SELECT source, unnest(w) AS t FROM {_W}) GROUP BY source",
     "q5_boolean": f"SELECT doc_id FROM {_W} WHERE list_contains(w, 'reviewer') AND NOT list_contains(w, 'scorecard')",
     "q5_grouped": f"SELECT doc_id FROM {_W} WHERE (list_contains(w, 'distant') OR list_contains(w, 'verified')) AND list_contains(w, 'reviewer')",
     "q5_phrase": f"SELECT doc_id FROM {_W} WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' described as a ')",
     "q5_slop": f"SELECT DISTINCT a.doc_id FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM {_W}) a JOIN (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM {_W}) b ON a.doc_id = b.doc_id AND a.t = 'neither' AND b.t = 'nor' AND b.i BETWEEN a.i AND a.i + 5",
+    "q5_repeated_words": "WITH p AS (SELECT id, unnest(string_split(v, ' ')) AS t, generate_subscripts(string_split(v, ' '), 1) AS i FROM (" + values(_REPEATS, "id", "v") + ") WHERE v IS NOT NULL) SELECT DISTINCT a.id, 'a' AS q FROM p a JOIN p b ON a.id = b.id AND a.t = 'new' AND b.t = 'new' AND b.i BETWEEN a.i + 1 AND a.i + 3 UNION ALL SELECT DISTINCT a.id, 'b' FROM p a JOIN p b ON a.id = b.id AND a.t = 'new' AND b.t = 'york' AND b.i > a.i JOIN p c ON c.id = b.id AND c.t = 'times' AND c.i > b.i AND c.i - a.i <= 3 UNION ALL SELECT DISTINCT a.id, 'c' FROM p a JOIN p b ON a.id = b.id AND a.t = 'york' AND b.t = 'new' AND b.i BETWEEN a.i + 1 AND a.i + 2",
     "q5_fuzzy": f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(w) AS t FROM {_W}) WHERE levenshtein(t, 'scorecrad') <= 2",
     "q5_fuzzy_terms": f"SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS t FROM {_W}) WHERE levenshtein(t, 'reader') <= 2 GROUP BY t",
     "q2_unspaced_runs": f"SELECT id, generate_subscripts(r, 1) - 1 AS pos, unnest(r) AS run FROM (SELECT id, regexp_extract_all(v, '{_RUN}') AS r FROM {_MV})",
