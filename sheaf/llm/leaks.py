@@ -1,13 +1,14 @@
 """Evaluation passages in training text (problem 9).
 
-Distributed positional inverted index: every batch of documents is a shard that
-stores, for the terms of the test passages, sorted lists of the positions at
-which they stand. A term is a pair of adjacent words, as single words are
-seldom rare. A passage is looked up by its rarest terms: each window of WINDOW
-words keeps the rarest one and the rarest that shares no word with it, so that
-one replaced word leaves one of them whole. Their lists, moved by the term's
-offset in the passage, meet at the place where the passage would begin; only
-such places are compared word for word. Rarity is counted over all documents.
+Distributed positional inverted index: the postings of the corpus, (term,
+document, positions), are written once as a table for all terms of the test
+passages. A term is a run of RUN words, as single words are seldom rare. A passage is looked up by its rarest terms: each window of WINDOW words keeps the
+rarest one and the rarest that shares no word with it, so that one replaced word
+leaves one of them whole. Joined with the postings and moved by the term's offset
+in the passage, their positions meet at the place where the passage would begin;
+only such places are compared word for word. Rarity is counted over all
+documents. Passages, like documents, are rows of a table throughout; what every
+worker gets is a bitmap of fixed size that tells terms no passage has.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.sources.tables import spread
+from sheaf.session import checkpoint_dir, cut
+from sheaf.sources.tables import maybe_broadcast, spread
 
 WINDOW = 14
 REPLACED = 1  # the choice of terms rests on this
-SHARD = 1000  # documents in a shard
-BLOCK = 20_000  # passages looked up in one pass over the corpus
+RUN = 4  # words of a term; two that share no word fit into a window wherever one of them stands
+SHARD = 500  # documents whose terms are looked at together
+BITS = 25  # the bitmap has 2 ** BITS bits, 4 MB, whatever the number of terms; fuller, it lets more through and loses nothing
+KEEP = 500_000  # words whose codes a worker remembers
 
 _WORD = re.compile(r"[^\W_]+")
 _IN_NUMBER = re.compile(r"(\d)[.,](?=\d)")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,500}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _NOTHING = dict.fromkeys([0xAD, *range(0x200B, 0x200E), 0x2060, 0xFEFF, 0x27, 0x2019, 0x60])
 
@@ -53,167 +58,181 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(_IN_NUMBER.sub(r"\1", text.lower()))
 
 
-class Terms:
-    """The word pairs of the passages as sorted codes, and their positions in documents."""
+class _Codes:
+    """64-bit codes of words; equal words always have equal codes, and what meets by chance is compared word for word."""
 
-    def __init__(self, passages: list[list[str]]):
-        self.ids = {t: i for i, t in enumerate(dict.fromkeys(t for w in passages for t in w))}
-        coded = [np.array([self.ids[t] for t in w], dtype=np.int64) for w in passages]
-        self.pairs = [w[:-1] * len(self.ids) + w[1:] for w in coded]
-        self.codes = np.unique(np.concatenate(self.pairs))
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-    def word_ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of a shard (-1: in no passage) and the length of each text."""
-        size = np.array([len(w) for w in texts], dtype=np.int64)
-        get = self.ids.get
-        return np.array([get(t, -1) for w in texts for t in w], dtype=np.int64), size
+    def of(self, words: list[str]) -> np.ndarray:
+        import xxhash
 
-    def positions(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the shard's terms and the number of each among the codes."""
-        if len(ids) < 2:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        last = np.zeros(len(ids), dtype=bool)
-        last[np.cumsum(size)[size > 0] - 1] = True  # no term reaches into the next text
-        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~last[:-1])
-        code = ids[at] * len(self.ids) + ids[at + 1]
-        number = np.searchsorted(self.codes, code)
-        known = self.codes[np.minimum(number, len(self.codes) - 1)] == code
-        return at[known], number[known]
+        known = self.known
+        if len(known) > KEEP:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _count(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
-        total = np.zeros(len(terms.codes), dtype=np.int64)
-        for batch in batches:
-            for k in range(0, batch.num_rows, SHARD):
-                _, number = terms.positions(*terms.word_ids([words_of(t) for t in batch.column(0).slice(k, SHARD).to_pylist()]))
-                total += np.bincount(number, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["term", "n"])
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def terms(codes: np.ndarray) -> np.ndarray:
+    """The code of each run of RUN words."""
+    n = len(codes) - RUN + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = codes[:n]
+        for k in range(1, RUN):
+            mixed = ((mixed ^ (mixed >> np.uint64(31))) * _FACTOR) ^ codes[k : k + n]
+        return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+_TERMS = pa.schema([("pid", pa.int64()), ("off", pa.int32()), ("term", pa.int64())])
+
+
+def _passage_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes = _Codes()
+    for batch in batches:
+        found = [terms(codes.of(w)) for w in batch.column(1).to_pylist()]
+        size = [len(t) for t in found]
+        off = np.concatenate([np.arange(n, dtype=np.int32) for n in size]) if size else np.empty(0, np.int32)
+        flat = np.concatenate(found).view(np.int64) if size else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(off), pa.array(flat)], schema=_TERMS)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
+
+
+_POSTINGS = pa.schema([("term", pa.int64()), ("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))])
 
-    return run
 
+def _postings(shared):
+    """Documents to the postings of terms that may be in a passage: one row for each term of a document."""
 
-def _anchors(terms: Terms, often: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each term the (passage, offset) that are looked up by it."""
-    out: list[set] = [set() for _ in terms.codes]
-    for p, pairs in enumerate(terms.pairs):
-        number = np.searchsorted(terms.codes, pairs)
-        rarity = often[number]
-        for a in range(len(pairs) - WINDOW + 2):
-            window = sorted(range(a, a + WINDOW - 1), key=lambda i: (rarity[i], i))
-            second = next(i for i in window if abs(i - window[0]) > 1)
-            for i in (window[0], second):
-                out[number[i]].add((p, i))
-    return [sorted(s) for s in out]
-
-
-class _Index:
-    """The passages as arrays, made once for each task."""
-
-    def __init__(self, passages: list[list[str]], anchors: list[list[tuple[int, int]]]):
-        self.terms = Terms(passages)
-        self.length = np.array([len(w) for w in passages])
-        self.words = np.full((len(passages), self.length.max()), -2, dtype=np.int64)
-        for p, w in enumerate(passages):
-            self.words[p, : len(w)] = [self.terms.ids[t] for t in w]
-        self.start = np.cumsum([0, *map(len, anchors)])
-        flat = np.array([x for s in anchors for x in s], dtype=np.int64)
-        self.passage, self.offset = flat[:, 0], flat[:, 1]
-
-    def search(self, texts: list[list[str]], step: int = 50_000) -> list[tuple[int, int, int, int]]:
-        """(text, passage, longest window with one word replaced, words equal) of each match."""
-        ids, size = self.terms.word_ids(texts)
-        at, term = self.terms.positions(ids, size)
-        order = np.argsort(term, kind="stable")
-        at, term = at[order], term[order]  # the shard's index: sorted positions of each term
-        many = self.start[term + 1] - self.start[term]
-        ends = np.cumsum(size)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for a, b in _blocks(many, step):
-            m = many[a:b]
-            if not m.any():
-                continue
-            entry = np.repeat(self.start[term[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            begin = np.repeat(at[a:b], m) - self.offset[entry]
-            doc = np.repeat(np.searchsorted(ends, at[a:b], side="right"), m)
-            cand = np.unique(np.stack([self.passage[entry], doc, begin]), axis=1)
-            for p, t, run, equal in self._compare(ids, size, ends, *cand):
-                if best.get((t, p), (0, 0)) < (run, equal):
-                    best[t, p] = (run, equal)
-        return [(t, p, run, equal) for (t, p), (run, equal) in best.items()]
-
-    def _compare(self, ids, size, ends, passage, doc, begin):
-        wide = np.arange(self.words.shape[1])
-        place = begin[:, None] + wide
-        inside = (place >= (ends - size)[doc][:, None]) & (place < ends[doc][:, None])
-        equal = (ids[np.clip(place, 0, len(ids) - 1)] == self.words[passage]) & inside
-        window = np.lib.stride_tricks.sliding_window_view
-        enough = (window(equal, WINDOW, axis=1).sum(2) >= WINDOW - REPLACED) & window(inside & (wide < self.length[passage][:, None]), WINDOW, axis=1).all(2)
-        for i in np.flatnonzero(enough.any(1)):
-            where = np.flatnonzero(enough[i])
-            runs = np.split(where, np.flatnonzero(np.diff(where) > 1) + 1)
-            yield int(passage[i]), int(doc[i]), max(len(r) for r in runs) + WINDOW - 1, int(equal[i].sum())
-
-
-def _blocks(many: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
-    total, a = np.cumsum(many), 0
-    while a < len(many):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + step, side="right")))
-        yield a, b
-        a = b
-
-
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("passage_no", pa.int32()), ("matched_words", pa.int32()), ("equal_words", pa.int32())])
-
-
-def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(*shared.value)
+        bits, codes, shift = np.frombuffer(shared.value, dtype=np.uint8), _Codes(), np.uint64(64 - BITS)
         for whole in batches:
             for k in range(0, whole.num_rows, SHARD):
                 batch = whole.slice(k, SHARD)
-                docs = batch.column(0).to_pylist()
-                rows = [(docs[t], p, run, equal) for t, p, run, equal in index.search([words_of(x) for x in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, _SCHEMA)], schema=_SCHEMA)
+                texts = [words_of(t) for t in batch.column(1).to_pylist()]
+                size = np.array([len(w) for w in texts], dtype=np.int64)
+                term = terms(codes.of([w for t in texts for w in t]))
+                place = term >> shift
+                may = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                ends = np.cumsum(size)
+                for k in range(1, RUN):  # no term reaches into the next text
+                    reach = ends - k
+                    may[reach[(reach >= 0) & (reach < len(may))]] = 0
+                at = np.flatnonzero(may)
+                doc = np.searchsorted(ends, at, side="right")
+                order = np.lexsort((at, term[at], doc))
+                at, doc, t = at[order], doc[order], term[at][order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])
+                first = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at - (ends - size)[doc], pa.int32()))
+                ids = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(t[first].view(np.int64)), pa.array(ids[doc[first]]), lists], schema=_POSTINGS)
 
     return run
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, block: int = BLOCK) -> DataFrame:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms, with their offsets, that each passage is looked up by."""
+    for batch in batches:
+        rows = []
+        for pid, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rarity = [x["n"] for x in found]
+            chosen = set()
+            for a in range(len(found) - WINDOW + RUN):
+                window = sorted(range(a, a + WINDOW - RUN + 1), key=lambda i: (rarity[i], i))
+                chosen |= {window[0], next(i for i in window if abs(i - window[0]) >= RUN)}
+            rows += [(pid, i, found[i]["term"]) for i in sorted(chosen) if rarity[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 3, _TERMS)], schema=_TERMS)
+
+
+def _compare(words: np.ndarray, passage: np.ndarray, begins: np.ndarray) -> tuple[int, int]:
+    """(longest stretch in words, words equal) of a passage laid on a text at places, one word in WINDOW replaced; 0, 0 if nowhere."""
+    place = begins[:, None] + np.arange(len(passage))
+    inside = (place >= 0) & (place < len(words))
+    equal = (words[np.clip(place, 0, len(words) - 1)] == passage) & inside
+    view = np.lib.stride_tricks.sliding_window_view
+    enough = (view(equal, WINDOW, axis=1).sum(2) >= WINDOW - REPLACED) & view(inside, WINDOW, axis=1).all(2)
+    best = (0, 0)
+    for i in np.flatnonzero(enough.any(1)):
+        where = np.flatnonzero(enough[i])
+        runs = np.split(where, np.flatnonzero(np.diff(where) > 1) + 1)
+        best = max(best, (max(len(r) for r in runs) + WINDOW - 1, int(equal[i].sum())))
+    return best
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("pid", pa.int64()), ("matched_words", pa.int32()), ("equal_words", pa.int32())])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places to matches; as they come from a join by document, those of one stand together and its words are read once."""
+    last, words = None, []
+    for batch in batches:
+        rows = []
+        for doc_id, text, pid, passage, begins in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (doc_id, text) != last:
+                last, words = (doc_id, text), words_of(text)
+            number = {w: k for k, w in enumerate(dict.fromkeys(passage))}
+            run, equal = _compare(np.array([number.get(w, -1) for w in words]), np.array([number[w] for w in passage]), np.array(sorted(set(begins))))
+            if run:
+                rows.append((doc_id, pid, run, equal))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, _FOUND)], schema=_FOUND)
+
+
+def _bitmap(term: DataFrame) -> bytearray:
+    """The bitmap of the terms' leading bits: at most 2 ** (BITS - 6) numbers of 64 bits reach the driver."""
+    place = F.shiftrightunsigned("term", 64 - BITS)
+    parts = term.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - BITS}) & 63 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    rows = parts.toArrow()
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return bytearray(out.tobytes())
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id and the length of the longest matching stretch of each leak.
 
-    The held-out items are the query set; they go to every worker in blocks of
-    ``block`` passages, a block at a time, whatever their number. Null texts,
-    null passages and passages of under WINDOW words match nothing; a passage
-    that stands in several items is looked up once and counts for each.
+    Null texts, null passages and passages of under WINDOW words match nothing; a
+    passage that stands in several items is looked up once and counts for each.
+    A document id that stands in several rows leaks what any of them holds.
     """
     spark = documents.sparkSession
     docs = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    by_passage: dict[tuple[str, ...], list[int]] = {}
-    for row in eval_items.select("item_id", "passage").where("passage IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
-        w = tuple(words_of(row.passage))
-        if len(w) >= WINDOW:
-            by_passage.setdefault(w, []).append(row.item_id)
-    passages = sorted(by_passage)
-    out = None
-    for k in range(0, len(passages), block):
-        part = [list(w) for w in passages[k : k + block]]
-        terms = Terms(part)
-        counts = docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(part)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        often = np.zeros(len(terms.codes), dtype=np.int64)
-        for r in counts.toLocalIterator():  # one row for each term of the block at most
-            often[r.term] = r.n
-        shared = spark.sparkContext.broadcast((part, _anchors(terms, often)))
-        hits = docs.mapInArrow(_search(shared), "doc_id long, passage_no int, matched_words int, equal_words int")
-        items = spark.createDataFrame([(p, int(i)) for p, w in enumerate(passages[k : k + block]) for i in dict.fromkeys(by_passage[w])], "passage_no int, item_id long")
-        found_here = hits.join(F.broadcast(items) if items.count() <= block * 4 else items, "passage_no").select("doc_id", "item_id", "matched_words", "equal_words")
-        out = found_here if out is None else out.unionByName(found_here)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, matched_words int, equal_words int")
-    return out
+    read = eval_items.where("passage IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
+    items = cut(read.mapInArrow(_words, "item_id long, words array<string>").where(F.size("words") >= WINDOW))
+    passages = cut(items.groupBy("words").agg(F.min("item_id").alias("pid")))
+    # an item's passage may be had in several forms: the words tell them apart
+    members = items.join(passages.withColumnRenamed("pid", "least"), "words").select(F.xxhash64("words").alias("pid"), "item_id").distinct()
+    passages = passages.select(F.xxhash64("words").alias("pid"), "words")
+    of = cut(passages.mapInArrow(_passage_terms, "pid long, off int, term long"))
+
+    shared = spark.sparkContext.broadcast(bytes(_bitmap(of)))
+    where = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    docs.mapInArrow(_postings(shared), "term long, doc_id long, positions array<int>").write.parquet(where)
+    postings = spark.read.schema("term long, doc_id long, positions array<int>").parquet(where)
+
+    counts = postings.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+    rare = of.join(counts, "term", "left").groupBy("pid").agg(F.transform(F.sort_array(F.collect_list(F.struct("off", "term", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"))).alias("t"))
+    anchors = cut(rare.mapInArrow(_anchors, "pid long, off int, term long"))
+    places = postings.join(anchors, "term").select("doc_id", "pid", F.transform("positions", lambda p: p - F.col("off")).alias("begins"))
+    pairs = places.groupBy("doc_id", "pid").agg(F.array_distinct(F.flatten(F.collect_list("begins"))).alias("begins"))
+    # places are few beside the texts: written, their size is known, and while it is small the texts stay where they are
+    pairs.join(passages, "pid").write.parquet(f"{where}-places")
+    asked = docs.join(maybe_broadcast(spark.read.schema("pid long, doc_id long, begins array<int>, words array<string>").parquet(f"{where}-places"), limit=2 << 20), "doc_id").select("doc_id", "text", "pid", "words", "begins")
+    hits = asked.mapInArrow(_verify, "doc_id long, pid long, matched_words int, equal_words int")
+    best = hits.groupBy("doc_id", "pid").agg(F.max(F.struct("matched_words", "equal_words")).alias("m"))
+    return best.join(members, "pid").groupBy("doc_id", "item_id").agg(F.max("m").alias("m")).select("doc_id", "item_id", "m.matched_words", "m.equal_words")
 
 
 def found(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    return leaks(documents, eval_items).select("doc_id", "item_id").distinct()
+    return leaks(documents, eval_items).select("doc_id", "item_id")

@@ -6,7 +6,8 @@ depth-first and carries for each node the last token of the encoding of its
 path: of all tokens that end there, the one that stays itself next to the last
 token of the path before it. A shared prefix is therefore encoded once. A
 word's ids are read backwards along its path. Words stay in the worker's memory
-between batches, up to KEEP of them; nothing is shuffled or broadcast.
+between batches, up to KEEP of them, and twice as many facts of token pairs;
+nothing is shuffled or broadcast.
 """
 
 from __future__ import annotations
@@ -59,6 +60,11 @@ class TrieEncoder:
         self.sure: set[int] = set()  # tokens known to stand
         self.bytes_of = {v: k for k, v in ranks.items()}
 
+    def forget(self) -> None:
+        """What is known of tokens side by side goes; it is found again where it is needed."""
+        self.pairs.clear()
+        self.sure.clear()
+
     def merge(self, text: bytes) -> list[int]:
         """Plain byte pair encoding of a short string; decides which tokens may stand side by side."""
         parts, ranks = [text[i : i + 1] for i in range(len(text))], self.ranks
@@ -125,11 +131,11 @@ def encoder(vocabulary: str, folder: str) -> TrieEncoder:
 
 
 class _Known:
-    """Words already encoded: their ids stand one after the other in one array."""
+    """Words already encoded: their ids stand one after the other in one array, which doubles when it is full."""
 
     def __init__(self, trie: TrieEncoder):
-        self.trie, self.number = trie, {}
-        self.ids, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.trie, self.number, self.used = trie, {}, 0
+        self.ids, self.start, self.length = np.empty(1 << 12, np.int32), np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
 
     def learn(self, seen: set[str]) -> None:
         new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in seen.difference(self.number))
@@ -137,10 +143,13 @@ class _Known:
             return
         encoded = self.trie.encode_all([b for b, _ in new])
         length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first, end = len(self.number), len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, int(length.sum()))])
-        self.start = np.concatenate([self.start, end + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
+        first, total = len(self.number), int(length.sum())
+        self.ids = _room(self.ids, self.used + total)
+        self.start, self.length = _room(self.start, first + len(new)), _room(self.length, first + len(new))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
+        self.start[first : first + len(new)] = self.used + np.cumsum(length) - length
+        self.length[first : first + len(new)] = length
+        self.used += total
         self.number.update((w, first + k) for k, (_, w) in enumerate(new))
 
     def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +162,14 @@ class _Known:
         return np.append(0, ends)[np.append(0, np.cumsum(size))], self.ids[place]
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 @lru_cache(1)
 def _known(vocabulary: str, folder: str) -> _Known:
     """A worker's words; its later tasks find them as well."""
@@ -166,7 +183,8 @@ def _encode(vocabulary: str, folder: str, keep: int):
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 texts = [words(t) if t else [] for t in batch.column(1).to_pylist()]
-                if len(known.number) > keep:
+                if len(known.number) > keep or len(known.trie.pairs) > 2 * keep:
+                    known.trie.forget()
                     _known.cache_clear()
                     known = _known(vocabulary, folder)
                 known.learn(set(chain.from_iterable(texts)))

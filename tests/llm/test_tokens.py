@@ -45,3 +45,15 @@ def test_special_looking_text_is_ordinary(spark):
     df = spark.createDataFrame([(1, "<|endoftext|>"), (2, None), (3, "")], "doc_id long, text string")
     out = {r.doc_id: r.ids for r in tokens.encode(df).collect()}
     assert 50256 not in out[1] and len(out[1]) > 1 and out[2] == [] and out[3] == []
+
+
+def test_a_small_memory_changes_no_ids(reference):
+    import pyarrow as pa
+
+    texts = [f"word{i} and wört{i % 7} 漢字{i}" * 3 for i in range(4100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tokens._known.cache_clear()
+    out = [x for b in tokens._encode("byte_bpe_50k", tokens.FOLDER, 100)(iter([batch])) for x in b.column(1).to_pylist()]
+    assert out == [reference.encode_ordinary(t) for t in texts]
+    known = tokens._known("byte_bpe_50k", tokens.FOLDER)
+    assert known.trie.pairs and len(known.number) < 4000
