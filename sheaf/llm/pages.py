@@ -7,12 +7,15 @@ looks like and how many other pages carry it; parent-child potentials
 say how often a child is what its parent is. Sum-product messages upward and
 downward give every line's marginal. Both are trained on pages whose markup
 names its regions (main, article; nav, aside, footer, dialog); as the model
-sees no such names, it works where markup has none.
+sees no such names, it works where markup has none. How much a line's own
+evidence weighs is decided by sites held out of the training. Each page is parsed
+once; its tree and lines are what is kept of it.
 """
 
 from __future__ import annotations
 
 import html
+import marshal
 import math
 import re
 from collections.abc import Iterator
@@ -20,14 +23,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.session import cut
 
-TRAINING_PAGES = 600  # labelled pages at most, the least by hash of url
-TRAINING_LINES = 300_000
-SCALE = 2.0  # weight of a line's own evidence against its neighbours'
+TRAINING_PAGES = 600  # labelled pages at most: of each site by turns, the least by hash of url
+TRAINING_LINES = 100_000  # and so many of their lines: pages are taken in that order until they are full
+SCALES = (1.0, 1.5, 2.0, 3.0)  # weights of a line's own evidence against its neighbours'; held-out sites decide
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code em font i img input kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +67,10 @@ class Page:
     def __init__(self, text: str, content_type: str | None = None):
         self.parent, self.tag, self.region = [-1], ["root"], [None]
         self.lines: list[dict] = []  # no, node, text, linked, first tag, region
-        self.html = "<" in text and (re.search(r"<(?:html|body|!doctype|div|p|table)\b", text[:4000], re.I) is not None)
+        # what its type calls HTML, or what begins with a tag where the type says nothing, if it has any block at all
+        kind = (content_type or "").lower()
+        marked = "html" in kind or not re.search(r"text/(?:plain|markdown)", kind) and text.lstrip("\ufeff \t\r\n").startswith("<")
+        self.html = marked and re.search(r"<(?:html|body|!doctype|div|p|table)\b", text, re.I) is not None
         if self.html:
             self._read_html(text)
         else:
@@ -72,6 +79,15 @@ class Page:
             line["text"] = re.sub(r"\s+", " ", line["text"]).strip()
         self.lines = [x for x in self.lines if re.search(r"\w|[^\x00-\x7f]", x["text"])]
 
+    def dump(self) -> bytes:
+        return marshal.dumps((self.html, self.parent, self.tag, self.region, self.lines))
+
+    @classmethod
+    def load(cls, data: bytes) -> Page:
+        page = cls.__new__(cls)
+        page.html, page.parent, page.tag, page.region, page.lines = marshal.loads(data)
+        return page
+
     def _node(self, tag: str, parent: int, region) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
@@ -154,14 +170,19 @@ class Page:
                 fresh = True
                 continue
             heading = re.match(r"^#{1,6}\s", line) is not None and not fence
-            short = _short(line)
-            if fresh or heading or (self.lines and not fence and (self.lines[-1]["tag"][0] == "h" or short != _short(self.lines[-1]["text"]))):
+            item = _ITEM.match(line) is not None and not fence
+            last = self.lines[-1] if self.lines else None
+            # a list is one block; else a block ends where few words without a stop begin or end
+            if fresh or heading or (last and not fence and not (item and last["tag"] == "li") and (last["tag"][0] == "h" or item or last["tag"] == "li" or _short(line) != _short(last["text"]))):
                 block = self._node("pre" if fence else "block", block, None)
-                fresh = False
+            gap, fresh = fresh, False
             linked = sum(len(a) for a in re.findall(r"\[([^\]]*)\]\([^)]*\)", line)) if "](" in line else 0
             shown = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", line)
-            tag = "pre" if fence else "h" + str(len(line) - len(line.lstrip("#"))) if heading else "li" if re.match(r"^\s*(?:[-*+•]|\d+[.)])\s", line) else "tr" if line.lstrip().startswith("|") else "blockquote" if line.lstrip().startswith(">") else "p"
-            self.lines.append({"no": number, "node": block, "text": shown if fence else re.sub(r"^\s*(?:#{1,6}|[-*+•>]|\d+[.)])\s+", "", shown), "linked": linked, "tag": tag, "region": None})
+            tag = "pre" if fence else "h" + str(len(line) - len(line.lstrip("#"))) if heading else "li" if item else "tr" if line.lstrip().startswith("|") else "blockquote" if line.lstrip().startswith(">") else "p"
+            self.lines.append({"no": number, "node": block, "text": shown if fence else re.sub(r"^\s*(?:#{1,6}|[-*+•>]|\d+[.)])\s+", "", shown), "linked": linked, "tag": tag, "region": None, "gap": gap})
+
+
+_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 
 
 def _short(text: str) -> bool:
@@ -182,7 +203,19 @@ def line_key(text: str) -> int:
     return xxhash.xxh64(" ".join(words)).intdigest() - (1 << 63)
 
 
-FEATURES = 52
+def frame_keys(text: str) -> list[int]:
+    """Keys of a short line without a stop, less one word each: insertions often carry one word that changes."""
+    import xxhash
+
+    if text[-1:] in ".?!。:;":
+        return []
+    words = ["0" if w.isdigit() else w for w in re.findall(r"\w+", text.lower())]
+    if not 5 <= len(words) <= 12:
+        return []
+    return [xxhash.xxh64(" ".join([*words[:i], "*", *words[i + 1 :]])).intdigest() - (1 << 63) for i in range(len(words))]
+
+
+FEATURES = 54
 
 
 def features(page: Page, spread: dict[int, tuple], total: int, plain: bool | None = None) -> np.ndarray:
@@ -221,7 +254,7 @@ def features(page: Page, spread: dict[int, tuple], total: int, plain: bool | Non
         x[m, 25] = np.minimum(3, often[m].max())
         x[m, 38] = often[m[0]] if len(m) > 1 else 0
         x[m, 41] = (often[m] > 1).mean()
-    heading = 0.0  # how widely the last heading-like line is spread
+    heading = under = 0.0  # how widely the last heading-like line is spread
     since = 0
     titles = [i for i, a in enumerate(lines) if a["tag"] == "h1"]
     top = titles[0] if titles and not (plain and page.html) else first_long
@@ -276,6 +309,13 @@ def features(page: Page, spread: dict[int, tuple], total: int, plain: bool | Non
             x[i, 47] = far[i] > 0.002 and head < 0.3 and words[i] <= 8
             x[i, 48] = far[i] > 0.002 and head > 0.6 and linked < 0.3
             x[i, 49] = min(4, wide[i]) * (x[i, 26] and x[i, 27])
+        # below a short line that many pages carry, before the next gap: what a site lists
+        if a["gap"] if "gap" in a else i and _holder(page, a["node"]) != _holder(page, lines[i - 1]["node"]):
+            under = 0.0
+        x[i, 52] = under * (1 - full[i])
+        x[i, 53] = under * full[i]
+        if words[i] <= 6 and not stop[i] and far[i] > 0.002:
+            under = 1.0
         if headish:
             heading, since = often[i], 0
         else:
@@ -358,10 +398,14 @@ def as_text(page: Page, links: bool) -> Page:
                 items = [dict(items[0], text=" | ".join(a["text"] for a in menu), no=-items[0]["no"])]
         for a in items:
             kind = a["tag"] if a["tag"] in ("li", "tr", "td", "pre") else None
-            if last is None or region[0] == 1 and (kind is None or kind != last[0]) or _short(a["text"]) != last[1]:
+            item = links and kind == "li"  # Markdown shows the items of a list, text does not
+            if last is None or region[0] == 1 and (kind is None or kind != last[0]) or item != (links and last[0] == "li") or not item and _short(a["text"]) != last[1]:
                 block = out._node("block", block, region[0])
+                gap = last is None or region[0] == 1
+            else:
+                gap = False
             last = (kind or "x", _short(a["text"]))
-            out.lines.append(dict(a, node=block, linked=a["linked"] * links, tag="p", was=a["tag"]))
+            out.lines.append(dict(a, node=block, linked=a["linked"] * links, tag="p", was=a["tag"], gap=gap))
     return out
 
 
@@ -379,15 +423,25 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, r
     return w
 
 
+def _common(total: int) -> float:
+    """How many pages make a line the site's."""
+    return max(4, 0.003 * total)
+
+
+def _views(page: Page, spread: dict[int, tuple], total: int):
+    """A labelled page as it is, as plain text and as Markdown, with the labels of its lines."""
+    common = _common(total)
+    for view, plain in ((page, False), (as_text(page, False), True), (as_text(page, True), True)):
+        yield view, plain, [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 0))[0] < common)) for a in view.lines]
+
+
 def _examples(page: Page, spread: dict[int, tuple], total: int):
     """Training rows of a labelled page: (plain, label, features) of its lines and (kind, agrees) of its edges.
 
     A line that many other pages carry belongs to the site, wherever it stands, unless it is a heading.
     """
-    common = max(4, 0.003 * total)
     rows, edges = [], []
-    for view, plain in ((page, False), (as_text(page, False), True), (as_text(page, True), True)):
-        labels = [None if a["region"] is None else int(a["region"] == 1 and (a.get("was", a["tag"])[0] == "h" or spread.get(a["no"], (1, 0))[0] < common)) for a in view.lines]
+    for view, plain, labels in _views(page, spread, total):
         x = features(view, spread, total, plain)
         rows += [(plain, y, v.tolist()) for y, v in zip(labels, x) if y is not None]
         votes: dict[int, list[int]] = {}
@@ -410,38 +464,63 @@ def _examples(page: Page, spread: dict[int, tuple], total: int):
 _DEFAULT_AGREE = {"chain": 0.8, "top": 0.5, "item": 0.95, "inner": 0.95, "line": 0.95}
 
 
-def _pages(batch: pa.RecordBatch):
-    for fetch_id, content_type, content, spread in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows):
-        yield fetch_id, Page(decode(content, content_type), content_type), {s["no"]: (s["far"], s["near"], s["head"], s["link"]) for s in spread or []}
+_PARSED = pa.schema([("fetch_id", pa.int64()), ("site", pa.string()), ("u", pa.int64()), ("labelled", pa.bool_()), ("size", pa.int32()), ("page", pa.binary()), ("keys", pa.list_(pa.struct([("no", pa.int32()), ("key", pa.int64()), ("frame", pa.bool_()), ("head", pa.int32()), ("link", pa.int32())])))])
+_PARSED_DDL = "fetch_id long, site string, u long, labelled boolean, size int, page binary, keys array<struct<no:int,key:long,frame:boolean,head:int,link:int>>"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Responses to pages without their text but for that of lines, and the keys of their lines."""
     for batch in batches:
-        ids, numbers, keys, heads, links = [], [], [], [], []
-        for fetch_id, page, _ in _pages(batch.select([0, 1, 2])):
+        rows = []
+        for fetch_id, site, u, content_type, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            page = Page(decode(content, content_type), content_type)
+            keys = []
             for a in page.lines:
-                ids.append(fetch_id)
-                numbers.append(a["no"])
-                keys.append(line_key(a["text"]))
-                heads.append(int(a["tag"][0] == "h" and a["tag"][1:].isdigit()))
-                links.append(int(a["linked"] * 2 > len(a["text"])))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64()), pa.array(heads, pa.int32()), pa.array(links, pa.int32())], names=["fetch_id", "no", "key", "head", "link"])
+                head, link = int(a["tag"][0] == "h" and a["tag"][1:].isdigit()), int(a["linked"] * 2 > len(a["text"]))
+                # of a line's keys the one that most pages carry counts
+                for k, key in enumerate((line_key(a["text"]), *frame_keys(a["text"]))):
+                    keys.append({"no": a["no"], "key": key, "frame": k > 0, "head": head, "link": link})
+            rows.append((fetch_id, site, u, {0, 1} <= {a["region"] for a in page.lines}, len(page.lines), page.dump(), keys))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(_PARSED), _PARSED)], schema=_PARSED)
+
+
+def _pages(batch: pa.RecordBatch):
+    for fetch_id, page, spread in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        yield fetch_id, Page.load(page), {s["no"]: (s["far"], s["near"], s["head"], s["link"]) for s in sorted(spread or [], key=lambda s: s["far"])}
+
+
+_EXAMPLE = pa.schema([("fold", pa.int32()), ("plain", pa.bool_()), ("label", pa.int32()), ("x", pa.list_(pa.float32())), ("kind", pa.string()), ("agrees", pa.int32())])
+_EXAMPLE_DDL = "fold int, plain boolean, label int, x array<float>, kind string, agrees int"
 
 
 def _train(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, label, x, kinds, agrees = [], [], [], [], []
-            for _, page, spread in _pages(batch):
-                regions = {a["region"] for a in page.lines}
-                if not {0, 1} <= regions:
-                    continue
+            out = []
+            for (_, page, spread), fold in zip(_pages(batch), batch.column(3).to_pylist()):
                 rows, edges = _examples(page, spread, total)
-                for p, y, v in rows:
-                    plain.append(p), label.append(y), x.append(v), kinds.append(None), agrees.append(None)
-                for k, y in edges:
-                    plain.append(None), label.append(None), x.append(None), kinds.append(k), agrees.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.bool_()), pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(kinds, pa.string()), pa.array(agrees, pa.int32())], names=["plain", "label", "x", "kind", "agrees"])
+                out += [(fold, p, y, v, None, None) for p, y, v in rows]
+                out += [(fold, None, None, None, k, y) for k, y in edges]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(_EXAMPLE), _EXAMPLE)], schema=_EXAMPLE)
+
+    return run
+
+
+def _held_out(total: int, models: list[dict]):
+    """Errors of each weight on the pages of a fold, by the model of the other folds: (plain, weight, errors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        errors: dict[tuple[bool, float], int] = {}
+        for batch in batches:
+            for (_, page, spread), fold in zip(_pages(batch), batch.column(3).to_pylist()):
+                for view, plain, labels in _views(page, spread, total):
+                    model = models[fold]
+                    evidence = features(view, spread, total, plain) @ np.array(model["plain" if plain else "html"])
+                    for scale in SCALES:
+                        got = marginals(view, np.clip(scale * evidence, -15, 15), model["agree"]) > 0.5
+                        errors[plain, scale] = errors.get((plain, scale), 0) + sum(y is not None and bool(g) != bool(y) for g, y in zip(got, labels))
+        rows = [(p, s, n) for (p, s), n in errors.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.bool_(), pa.float64(), pa.int64()))], names=["plain", "scale", "errors"])
 
     return run
 
@@ -453,8 +532,9 @@ def _infer(total: int, model):
             for fetch_id, page, spread in _pages(batch):
                 if not page.lines:
                     continue
-                x = features(page, spread, total)
-                p = marginals(page, np.clip(SCALE * (x @ np.array(model["html" if page.html else "plain"])), -15, 15), model["agree"])
+                kind = "html" if page.html else "plain"
+                evidence = features(page, spread, total) @ np.array(model[kind])
+                p = marginals(page, np.clip(model["scale"][kind] * evidence, -15, 15), model["agree"])
                 for a, q in zip(page.lines, p):
                     ids.append(fetch_id), numbers.append(a["no"]), texts.append(a["text"]), ps.append(float(q))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(ps, pa.float64())], names=["fetch_id", "line_no", "text", "p"])
@@ -462,6 +542,9 @@ def _infer(total: int, model):
     return run
 
 
+FOLDS = 2
+
+
 def body_lines(responses: DataFrame) -> DataFrame:
     """(fetch_id, line_no, text, p): the lines of each page with their probability of being main body.
 
@@ -470,52 +553,64 @@ def body_lines(responses: DataFrame) -> DataFrame:
     own site, pages fetched again counting once. Without labelled pages every
     line's evidence is its default (long sentences that no other page has).
     """
-    spark = responses.sparkSession
     content_type = F.get(F.map_values(F.map_filter("headers", lambda k, v: F.lower(k) == "content-type")), F.lit(0))
     pages = (
         responses.where("status_code = 200 AND content IS NOT NULL AND fetch_id IS NOT NULL")
         .select("fetch_id", F.coalesce("url", F.lit("")).alias("url"), content_type.alias("content_type"), "content", "fetched_at")
         .groupBy("fetch_id").agg(F.max_by(F.struct("url", "content_type", "content"), F.struct("fetched_at", F.xxhash64("content"))).alias("v")).select("fetch_id", "v.*")
     )
-    pages = cut(pages)
     site = F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/:?#]+)", 1)
-    where = pages.select("fetch_id", site.alias("site"), F.xxhash64("url").alias("u"))
-    lines = cut(pages.select("fetch_id", "content_type", "content").mapInArrow(_keys, "fetch_id long, no int, key long, head int, link int").join(where, "fetch_id"))
+    parsed = cut(pages.select("fetch_id", site.alias("site"), F.xxhash64("url").alias("u"), "content_type", "content").mapInArrow(_parse, _PARSED_DDL))
+    where = parsed.select("fetch_id", "site", "u")
+    lines = parsed.select("fetch_id", "site", "u", F.explode("keys").alias("k")).select("fetch_id", "site", "u", "k.*")
     # distinct pages before distinct sites, both combined before they are shuffled
     per_page = lines.groupBy("key", "site", "u").agg(F.max("head").alias("head"), F.max("link").alias("link"))
     per_site = per_page.groupBy("key", "site").agg(F.count("*").alias("near"), F.sum("head").alias("head"), F.sum("link").alias("link"))
     # only marked-up pages tell headings and links; a line that stands in plain text alone has none
-    far = per_site.groupBy("key").agg(F.count("*").alias("sites"), F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
+    far = per_site.groupBy("key").agg(F.sum("near").alias("pages"), F.sum("head").alias("heads"), F.sum("link").alias("links"))
     site_pages = where.groupBy("site").agg(F.count_distinct("u").alias("pages_here"))
     spread_of = per_site.select("key", "site", "near").join(far, "key").where("pages > 1").join(site_pages, "site")
     facts = F.struct("no", F.col("pages").cast("int").alias("far"), ((F.col("near") - 1) / F.greatest(F.col("pages_here") - 1, F.lit(1))).alias("near"), (F.col("heads") / F.col("pages")).alias("head"), (F.col("links") / F.col("pages")).alias("link"))
-    spread = lines.join(spread_of, ["key", "site"]).groupBy("fetch_id").agg(F.collect_list(facts).alias("spread"))
     total = where.select("u").distinct().count()
-    known = cut(pages.select("fetch_id", "content_type", "content").join(spread, "fetch_id", "left"))
-    order = pages.where(F.col("content").cast("string").rlike("(?i)<(?:main|article)[ >]")).select("fetch_id", F.xxhash64("url").alias("h")).orderBy("h", "fetch_id").limit(TRAINING_PAGES)
-    sample = known.join(order.select("fetch_id"), "fetch_id", "left_semi").mapInArrow(_train(total), "plain boolean, label int, x array<double>, kind string, agrees int")
-    model = _learn(sample.limit(TRAINING_LINES).toArrow())
-    return known.mapInArrow(_infer(total, model), "fetch_id long, line_no int, text string, p double")
+    # a frame counts only where so many pages carry it that it is the site's
+    counted = lines.join(spread_of, ["key", "site"]).where(~F.col("frame") | (F.col("pages") >= _common(total)))
+    spread = cut(counted.groupBy("fetch_id").agg(F.collect_list(facts).alias("spread")))
+
+    # pages of every labelled site by turns, each page once, until there are enough
+    named = parsed.where("labelled").groupBy("site", "u").agg(F.min(F.struct("fetch_id", "size")).alias("v")).select("site", "u", "v.*")
+    turn = named.withColumn("turn", F.row_number().over(Window.partitionBy("site").orderBy("u"))).where(F.col("turn") <= TRAINING_PAGES)
+    first = turn.orderBy("turn", "u").limit(TRAINING_PAGES)
+    order = Window.orderBy("turn", "u")  # over TRAINING_PAGES rows at most
+    placed = first.withColumn("lines", F.sum("size").over(order)).withColumn("place", F.row_number().over(order)).withColumn("fold", ((F.dense_rank().over(Window.orderBy("site")) - 1) % FOLDS).cast("int"))
+    chosen = cut(placed.where((F.col("lines") <= TRAINING_LINES) | (F.col("place") == 1)).select("fetch_id", "fold"))
+    sample = parsed.select("fetch_id", "page").join(F.broadcast(chosen), "fetch_id").join(spread, "fetch_id", "left").select("fetch_id", "page", "spread", "fold")
+    examples = sample.mapInArrow(_train(total), _EXAMPLE_DDL).toArrow()
+    model = _learn(examples)
+    folds = set(examples["fold"].to_pylist())
+    if len(folds) == FOLDS:
+        models = [_learn(examples.filter(pc.not_equal(examples["fold"], k))) for k in range(FOLDS)]
+        errors = {(r.plain, r.scale): r.errors for r in sample.mapInArrow(_held_out(total, models), "plain boolean, scale double, errors long").groupBy("plain", "scale").agg(F.sum("errors").alias("errors")).toLocalIterator()}
+        model["scale"] = {kind: min(SCALES, key=lambda s: (errors.get((plain, s), 0), s)) for kind, plain in (("html", False), ("plain", True))}
+    return parsed.select("fetch_id", "page").join(spread, "fetch_id", "left").select("fetch_id", "page", "spread").mapInArrow(_infer(total, model), "fetch_id long, line_no int, text string, p double")
 
 
 def _learn(rows: pa.Table) -> dict:
-    out = {"agree": dict(_DEFAULT_AGREE)}
-    d = rows.to_pydict()
+    out = {"agree": dict(_DEFAULT_AGREE), "scale": {"html": SCALES[0], "plain": SCALES[0]}}
     for name, flag in (("html", False), ("plain", True)):
-        at = [i for i, p in enumerate(d["plain"]) if p is flag]
-        if len({d["label"][i] for i in at}) == 2:
-            x = np.array([d["x"][i] for i in at])
-            y = np.array([d["label"][i] for i in at], dtype=float)
+        of = rows.filter(pc.equal(rows["plain"], flag)).combine_chunks()
+        y = of["label"].to_numpy().astype(float)
+        if len(set(y.tolist())) == 2:
+            x = np.asarray(pc.list_flatten(of["x"]).to_numpy(), dtype=float).reshape(len(y), FEATURES)
             out[name] = _fit(x, y, np.ones(len(y))).tolist()
         else:
             w = np.zeros(FEATURES)
             w[0], w[1], w[39], w[5], w[4] = -2, 0.5, 3, -1.5, -3
             out[name] = w.tolist()
+    edges = rows.filter(pc.is_valid(rows["kind"]))
     for kind in _DEFAULT_AGREE:
-        got = [a for k, a in zip(d["kind"], d["agrees"]) if k == kind]
+        got = edges.filter(pc.equal(edges["kind"], kind))["agrees"].to_pylist()
         if got:
             out["agree"][kind] = min(0.99, max(0.5, (sum(got) + 1) / (len(got) + 2)))
-    out["agree"]["top"] = 0.5 if not any(k == "top" for k in d["kind"]) else out["agree"]["top"]
     return out
 
 

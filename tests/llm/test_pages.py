@@ -73,3 +73,35 @@ def test_charsets():
 def test_lines_count_at_the_line_feed():
     page = pages.Page("<html>\n<script>var a = '<p>no</p>';\n</script>\n<p>one\ntwo</p></html>")
     assert [(a["no"], a["text"]) for a in page.lines] == [(4, "one"), (5, "two")]
+
+
+def test_what_a_site_lists_goes_as_a_block(spark):
+    """Lists of titles no other page has, below a heading of the site, in text without marks."""
+    random.seed(12)
+    rows, truth = [], {}
+    title = lambda: " ".join(random.choice(WORDS) for _ in range(random.randint(1, 7))).capitalize()
+    for i in range(120):
+        listed, letter = [title() for _ in range(5)], f"Sign up for our weekly {random.choice(WORDS)} letter"
+        if i < 70:
+            body = [f"<h1>{sentence(3)[:-1]}</h1>", f"<p>{sentence()}</p>", f"<div>{letter}</div>", f"<p>{sentence()} {sentence()}</p>"]
+            lines = ["<html><body><main>", *body, "</main><aside>", "<h3>Most read</h3>", *(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(listed)), "</aside><footer>", "<p>Back to top</p>", "</footer></body></html>"]
+            kind = "text/html"
+        else:
+            lines = [title(), "", sentence(), "", letter, "", sentence() + " " + sentence(), "", "Most read", *listed, "", "Back to top"]
+            truth[i], kind = {1, 3, 7}, "text/plain"
+        rows.append((i, f"http://s{i % 10}.test/{i}", 200, {"content-type": kind}, bytearray("\n".join(lines).encode()), None, None, None, None, None))
+    got = {}
+    for r in pages.found(spark.createDataFrame(rows, SCHEMAS["fetch_responses"])).collect():
+        got.setdefault(r.fetch_id, set()).add(r.line_no)
+    wrong = sum(len(truth[i] ^ got.get(i, set())) for i in truth)
+    assert wrong <= 0.05 * sum(map(len, truth.values()))
+
+
+def test_code_with_tags_is_no_markup():
+    assert not pages.Page("Some text\n\n```\n<div>x</div>\n```\n", "text/markdown").html and not pages.Page("Some text <p>").html
+    assert pages.Page("  <p>x</p>").html and pages.Page("x\n" * 9000 + "<p>x</p>", "text/html").html
+
+
+def test_a_page_is_what_was_kept_of_it():
+    page = pages.Page("<html><body><main><p>one</p>\n<p>two <a href=x>three</a></p></main></body></html>", "text/html")
+    assert pages.Page.load(page.dump()).__dict__ == page.__dict__
