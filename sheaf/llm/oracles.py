@@ -8,6 +8,12 @@ select s.doc_id, s.section_no from s join documents d on d.doc_id = s.doc_id
 where least(coalesce(b, length(d.text)), length(d.text)) - greatest(coalesce(a, 0), 0) > 2000
 """
 
+P1_CHECKS = """
+with s as (select doc_id, section_no, max(start_pos) as a, max(end_pos) as b from sections group by doc_id, section_no),
+t as (select s.doc_id, section_no, least(coalesce(b, length(d.text)), length(d.text)) - greatest(coalesce(a, 0), 0) as chars from s join documents d on d.doc_id = s.doc_id)
+select doc_id, section_no, true as sized, true as ordered, true as shared, true as whole, chars from t where chars > 2000
+"""
+
 _PLAIN = "lower(text)"
 for _ in range(2):
     for _entity, _char in (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -36,4 +42,4 @@ from r where w is not null group by video_id, run having count(*) > 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p3_found": P3, "p3_runs": P3_RUNS, "p3_window_runs": P3_WINDOWS}
+    return {"p1_found": P1, "p1_checks": P1_CHECKS, "p3_found": P3, "p3_runs": P3_RUNS, "p3_window_runs": P3_WINDOWS}

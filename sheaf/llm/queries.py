@@ -12,6 +12,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sections.found(table(spark, d, "documents"), table(spark, d, "sections"))
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every section longer than a page slice."""
+    return sections.split_sections(table(spark, d, "documents"), table(spark, d, "sections"))
+
+
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of each section."""
+    return sections.piece_checks(table(spark, d, "documents"), table(spark, d, "sections"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return papers.found(table(spark, d, "citation_records"))
 
@@ -84,4 +94,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p3_runs, p3_window_runs, p4_found, p4_authors, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checks, p2_found, p2_records, p3_found, p3_runs, p3_window_runs, p4_found, p4_authors, p5_found, p5_pairs, p6_found, p6_bodies, p7_found, p7_turns, p8_ids, p9_found, p10_found, p10_rates)}

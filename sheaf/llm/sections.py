@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.sources.tables import latest
@@ -156,3 +156,26 @@ def split_sections(documents: DataFrame, sections: DataFrame, max_chars: int = M
 def found(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """The sections that had to be split."""
     return split_sections(documents, sections).where("piece_no = 0 AND pieces > 1").select("doc_id", "section_no")
+
+
+def piece_checks(documents: DataFrame, sections: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, section_no, sized, ordered, shared, whole) of each split section: whether its pieces keep within the
+    limit, come in order, share up to ``overlap`` characters and, joined without what they share, are the section."""
+    p = split_sections(documents, sections, max_chars, overlap)
+    per = Window.partitionBy("doc_id", "section_no").orderBy("piece_no")
+    before = F.lag("end_pos").over(per)
+    p = p.select("*", before.alias("before"), F.lag("start_pos").over(per).alias("begun"))
+    fresh = F.substring("text", F.coalesce(F.col("before") - F.col("start_pos"), F.lit(0)) + 1, F.length("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", fresh.alias("t")))), lambda x: x["t"]), "")
+    # a section's pieces make up one text of a document
+    out = p.groupBy("doc_id", "section_no").agg(
+        F.max(F.length("text")).alias("longest"),
+        F.min(F.coalesce((F.col("start_pos") > F.col("begun")) & (F.col("end_pos") > F.col("before")), F.lit(True))).alias("ordered"),
+        F.min(F.coalesce((F.col("before") - F.col("start_pos")).between(0, overlap), F.lit(True))).alias("shared"),
+        F.min("start_pos").alias("a"),
+        F.max("end_pos").alias("b"),
+        joined.alias("joined"),
+    )
+    texts = documents.select("doc_id", F.col("text").alias("source"))
+    same = F.col("joined") == F.substring("source", F.col("a") + 1, F.col("b") - F.col("a"))
+    return out.join(texts, "doc_id").select("doc_id", "section_no", (F.col("longest") <= max_chars).alias("sized"), "ordered", "shared", same.alias("whole"), (F.col("b") - F.col("a")).alias("chars"))

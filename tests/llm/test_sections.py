@@ -47,3 +47,16 @@ def test_pieces_stay_in_their_section(spark):
     rows = split_sections(docs, secs).orderBy("piece_no").collect()
     assert {r.section_no for r in rows} == {1} and rows[-1].end_pos == cut
     assert all(text[r.start_pos : r.end_pos] == r.text for r in rows)
+
+
+def test_an_edit_moves_only_the_pieces_next_to_it():
+    import random
+
+    random.seed(9)
+    words = "river stone harbour light paper engine quiet seven".split()
+    text = " ".join(" ".join(random.choice(words) for _ in range(random.randint(4, 14))).capitalize() + random.choice([".", ".\n", ".\n\n"]) for _ in range(900))
+    at = len(text) // 2
+    edited = text[:at] + " a new sentence stands here." + text[at:]
+    kept = lambda t: {t[a:b] for a, b in cut_points(t)}
+    a, b = kept(text), kept(edited)
+    assert len(a) > 20 and len(a - b) <= 6
