@@ -73,6 +73,25 @@ def cache_trace(requests: DataFrame, owner: str, key: str, order: list[str], mos
     return requests.repartition(owner).sortWithinPartitions(owner, *order).select(owner, key, *ids).mapInArrow(_replay(most, promote), ddl)
 
 
+def grouped_trace(requests: DataFrame, owner: str, key: str, group: str, order: list[str], most: int = 8) -> DataFrame:
+    """Adds hit and evicted to each request, for a cache whose keys of one group leave together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, cache = None, None
+        for batch in batches:
+            hits, gone = [], []
+            for o, k, g in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if o != who:
+                    who, cache = o, TwoQueues(most)
+                hits.append(cache.get(k))
+                gone.append(None if hits[-1] else ",".join(map(str, cache.store(k, group=g))) or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_()), pa.array(gone, pa.string())], names=[*batch.schema.names, "hit", "evicted"])
+
+    kinds = dict(requests.dtypes)
+    columns = [owner, key, group, *[c for c in order if c not in (owner, key, group)]]
+    return requests.repartition(owner).sortWithinPartitions(owner, *order).select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", hit boolean, evicted string")
+
+
 def granted(requests: DataFrame, owner: str, at: Column, order: list, interval: float, span: float | None = None) -> DataFrame:
     """Adds granted: when a limiter with a least interval lets each request pass. Closed form of
     t' = max(t, last + d): n d + the running maximum of t - j d.

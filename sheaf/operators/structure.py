@@ -173,9 +173,17 @@ def semantic_chunks(text: str, low: int = 1600, high: int = 2000) -> list[tuple[
 _CHUNKS = pa.schema([("key", pa.int64()), ("idx", pa.int32()), ("off", pa.int32()), ("text", pa.string())])
 
 
+SPLITTERS = {"semantic": semantic_chunks, "lines": line_chunks}
+
+
+def register_splitter(name: str, split) -> None:
+    """Make a splitter of one's own known to ``chunks``: it gives (index, offset, text) of one text's slices, or None."""
+    SPLITTERS[name] = split
+
+
 def chunks(docs: DataFrame, key: str, text: str, how: str = "semantic") -> DataFrame:
     """Slices (idx, off, text) of each text. Texts with a line of over a million characters have none."""
-    split = {"semantic": semantic_chunks, "lines": line_chunks}[how]
+    split = SPLITTERS[how]
     return spread(docs.select(F.col(key).cast("long"), text)).mapInArrow(_rows(lambda t: split(t) or [], _CHUNKS), f"`{key}` long, idx int, off int, text string")
 
 

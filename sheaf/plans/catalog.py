@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.plans import extra, metadata, records, scalars, search, structure, timed, windows
+from sheaf.plans import extra, metadata, records, scalars, search, services, structure, timed, windows
 
 
 def _modules():
-    return (search, scalars, structure, timed, metadata, records, windows, extra)
+    return (search, scalars, structure, timed, metadata, records, windows, extra, services)
 
 
 def queries() -> dict:
