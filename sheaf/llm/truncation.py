@@ -75,15 +75,15 @@ FROM (
         WHERE length(tail) > 0))))
 """
 
-# what stands in lines, in one pass: trigrams of classes (what 3) and words (what 1), by kind of line,
-# inside a line and at its end
+# what stands in lines, in one pass: trigrams of classes (what 3) and, but for prose, words (what 1), by kind of
+# line, inside a line and at its end
 _LINES = r"""
 SELECT kind, x.what, x.g, count_if(NOT x.final) AS inside, count_if(x.final) AS ends FROM (
   SELECT kind, explode(concat(
     transform(IF(size(w) > 2, sequence(2, size(w) - 1), array()), i -> struct(3 AS what, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g, i = size(w) - 1 AS final)),
     transform(words, (x, i) -> struct(1 AS what, x AS g, i = size(words) - 1 AS final)))) AS x
   FROM (
-    SELECT kind, {classes} AS w, filter(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '') AS words
+    SELECT kind, {classes} AS w, IF(kind = 'prose', array(), filter(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '')) AS words
     FROM (SELECT line, {kind} AS kind FROM (SELECT rtrim({blank}, raw) AS line FROM (SELECT explode(split(text, '\n')) AS raw FROM {{documents}} WHERE text IS NOT NULL)))
     WHERE line <> ''))
 GROUP BY 1, 2, 3
@@ -97,16 +97,26 @@ SELECT l.kind, l.g FROM last l JOIN inside i ON i.kind = l.kind AND i.g = l.g
 WHERE IF(l.kind = 'prose', l.last, i.ends) <= {{terminal}} * (i.inside + IF(l.kind = 'prose', l.last, i.ends))
 """
 
-# last words that tell a cut in lists, tables and headings
-_UNFINISHED = r"""
+# last words that tell a cut in lists, tables and headings: those that go on, and those that such lines have nowhere
+# else and that begin a known word
+_LAST_WORDS = r"""
 WITH words AS (SELECT kind, g AS word, inside, ends FROM {lines} WHERE what = 1),
 last AS (SELECT kind, word, count(*) AS last FROM {features} WHERE word <> '' GROUP BY 1, 2),
 texts AS (SELECT word, sum(last) AS last FROM last GROUP BY word),
 total AS (SELECT word, sum(inside + ends) AS n, sum(sum(inside + ends)) OVER () AS every FROM words GROUP BY word),
 begun AS (SELECT DISTINCT explode(transform(sequence(1, length(word) - 1), k -> left(word, k))) AS word FROM total WHERE n >= {known} * every AND length(word) > 1)
-SELECT l.kind, l.word FROM last l JOIN words w ON w.kind = l.kind AND w.word = l.word WHERE w.ends <= {terminal} * (w.inside + w.ends)
+SELECT l.kind, l.word, false AS new FROM last l JOIN words w ON w.kind = l.kind AND w.word = l.word WHERE w.ends <= {terminal} * (w.inside + w.ends)
 UNION
-SELECT l.kind, l.word FROM last l JOIN texts t ON t.word = l.word JOIN total a ON a.word = l.word LEFT SEMI JOIN begun b ON b.word = l.word WHERE a.n <= t.last AND NOT l.word RLIKE '^[0-9]'
+SELECT l.kind, l.word, true FROM last l JOIN texts t ON t.word = l.word JOIN total a ON a.word = l.word LEFT SEMI JOIN begun b ON b.word = l.word WHERE a.n <= t.last AND NOT l.word RLIKE '^[0-9]'
+"""
+
+# of the latter those that prose does not have either; without any the texts are not read again
+_UNFINISHED = r"""
+WITH asked AS (SELECT DISTINCT word FROM {{last_words}} WHERE new),
+had AS (SELECT DISTINCT p.word FROM (
+  SELECT explode(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS word FROM (SELECT line, {kind} AS kind FROM (SELECT explode(split(text, '\n')) AS line FROM {{documents}} WHERE text IS NOT NULL)) WHERE kind = 'prose') p
+  JOIN asked a ON a.word = p.word)
+SELECT l.kind, l.word FROM {{last_words}} l LEFT ANTI JOIN had h ON h.word = l.word AND l.new
 """
 
 _SPOKEN_WORDS = r"""
@@ -161,7 +171,7 @@ WHERE f.open_end AND (f.fence OR s.doc_id IS NOT NULL OR u.word IS NOT NULL OR (
 def _sql(template: str) -> str:
     for name, part in (("classes", _CLASSES), ("short", _SHORT), ("kind", _KIND), ("spoken_test", _SPOKEN.replace("{", "{{").replace("}", "}}")), ("blank", _BLANK)):
         template = template.replace("{" + name + "}", part)
-    return template.replace("{{documents}}", "{documents}").replace("{{lines}}", "{lines}").replace("{{features}}", "{features}").replace("{{terminal}}", "{terminal}")
+    return template.replace("{{documents}}", "{documents}").replace("{{lines}}", "{lines}").replace("{{features}}", "{features}").replace("{{terminal}}", "{terminal}").replace("{{last_words}}", "{last_words}")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
@@ -183,7 +193,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     cut_speech = spark.sql(_CUT_SPEECH, speech=speech, terminal=SPOKEN_TERMINAL)
     lines = cut(spark.sql(_sql(_LINES), documents=docs))
     rare = spark.sql(_sql(_RARE), lines=lines, features=features, terminal=TERMINAL)
-    unfinished = spark.sql(_UNFINISHED, features=features, lines=lines, known=KNOWN, terminal=TERMINAL)
+    last_words = cut(spark.sql(_LAST_WORDS, features=features, lines=lines, known=KNOWN, terminal=TERMINAL))
+    unfinished = spark.sql(_sql(_UNFINISHED), last_words=last_words, documents=docs)
     return spark.sql(_VERDICT, features=features, rare=rare, unfinished=unfinished, cut_speech=cut_speech, footer=FOOTER, limit=LIMIT, limit_share=LIMIT_SHARE)
 
 
