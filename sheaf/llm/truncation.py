@@ -75,17 +75,19 @@ FROM (
         WHERE length(tail) > 0))))
 """
 
-# what stands in lines, in one pass: trigrams of classes (what 3) and, but for prose, words (what 1), by kind of
-# line, inside a line and at its end
+# what stands in lines, by kind of line, inside a line and at its end: trigrams of classes (what 3) and, but for
+# prose, words (what 1). Positions and shifted copies in place of lambdas keep the passes in compiled code.
+_EACH_LINE = r"""(SELECT line, {kind} AS kind FROM (SELECT rtrim({blank}, raw) AS line FROM (SELECT explode(split(text, '\n')) AS raw FROM {{documents}} WHERE text IS NOT NULL)) WHERE line <> '')"""
 _LINES = r"""
-SELECT kind, x.what, x.g, count_if(NOT x.final) AS inside, count_if(x.final) AS ends FROM (
-  SELECT kind, explode(concat(
-    transform(IF(size(w) > 2, sequence(2, size(w) - 1), array()), i -> struct(3 AS what, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g, i = size(w) - 1 AS final)),
-    transform(words, (x, i) -> struct(1 AS what, x AS g, i = size(words) - 1 AS final)))) AS x
-  FROM (
-    SELECT kind, {classes} AS w, IF(kind = 'prose', array(), filter(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '')) AS words
-    FROM (SELECT line, {kind} AS kind FROM (SELECT rtrim({blank}, raw) AS line FROM (SELECT explode(split(text, '\n')) AS raw FROM {{documents}} WHERE text IS NOT NULL)))
-    WHERE line <> ''))
+SELECT kind, 3 AS what, a || ' ' || b || ' ' || c AS g, inside, ends FROM (
+  SELECT kind, a, b, c, count_if(pos < n - 3) AS inside, count_if(pos = n - 3) AS ends FROM (
+    SELECT kind, n, pos, z.w AS a, z.`1` AS b, z.`2` AS c FROM (
+      SELECT kind, size(w) AS n, posexplode(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)))) AS (pos, z) FROM (SELECT kind, {classes} AS w FROM {each_line})))
+  WHERE c IS NOT NULL GROUP BY 1, 2, 3, 4)
+UNION ALL
+SELECT kind, 1 AS what, g, count_if(pos < n - 1) AS inside, count_if(pos = n - 1) AS ends FROM (
+  SELECT kind, size(words) AS n, posexplode(words) AS (pos, g) FROM (
+    SELECT kind, filter(split(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '') AS words FROM {each_line} WHERE kind <> 'prose'))
 GROUP BY 1, 2, 3
 """
 
@@ -169,7 +171,7 @@ WHERE f.open_end AND (f.fence OR s.doc_id IS NOT NULL OR u.word IS NOT NULL OR (
 
 
 def _sql(template: str) -> str:
-    for name, part in (("classes", _CLASSES), ("short", _SHORT), ("kind", _KIND), ("spoken_test", _SPOKEN.replace("{", "{{").replace("}", "}}")), ("blank", _BLANK)):
+    for name, part in (("each_line", _EACH_LINE), ("classes", _CLASSES), ("short", _SHORT), ("kind", _KIND), ("spoken_test", _SPOKEN.replace("{", "{{").replace("}", "}}")), ("blank", _BLANK)):
         template = template.replace("{" + name + "}", part)
     return template.replace("{{documents}}", "{documents}").replace("{{lines}}", "{lines}").replace("{{features}}", "{features}").replace("{{terminal}}", "{terminal}").replace("{{last_words}}", "{last_words}")
 
